@@ -1,4 +1,11 @@
-"""Corpus pipeline over `documents`: stages that filter, deduplicate and pack, each built on one operator."""
+"""Corpus pipeline over `documents`: language ID, quality rules, near duplicates, packing.
+
+Each stage works on all that the one before kept. All but the last return the columns of `documents`; the last returns
+the pieces of the packed sequences. A stage keeps rows whole and unchanged; which rows go:
+language ID those of no language (null text, or no letter), quality rules those that fail the base rules or diverge from every
+language, the join all but the smallest doc_id of each group of linked documents. Rows with a null doc_id are kept
+unless a stage rejects their text; of rows that repeat a doc_id, the join keeps those of its group's smallest.
+"""
 
 from __future__ import annotations
 
@@ -6,22 +13,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstead import ship
-from loomstead.llm import common
-from loomstead.llm.ngram_join import jaccard_join
+from loomstead.llm import common, langid, ngram_join, pack, quality
+from loomstead.llm.queries import tokenizer_file
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return langid.reject_unknown(docs)
 
 
-def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays: that with the smallest doc_id."""
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    joined = jaccard_join(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(joined, "doc_id", "left_semi").select(docs.columns)
+    return quality.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    joined = ngram_join.jaccard_join(docs)
+    gone = joined.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return pack.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
+
 
+STAGES = [("language_id", language_id), ("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("best_fit_packing", best_fit_packing)]
 
-STAGES = [("near_duplicates", dedup)]
+#: The classifier, the references and the packing have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn; what each keeps is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -146,7 +146,7 @@ def hash_word(word: bytes, lower: bool = False) -> int:
     """Hash of one word, as `words` gives it."""
     data = np.frombuffer(word, np.uint8)
     sums = ((_LOWER_VALUES if lower else _VALUES)[data] * _table("p", _BASE, len(data))).sum(dtype=np.uint64) if len(data) else _U(0)
-    return int(mix(np.array([sums + _U(len(data) * 0xD6E8FEB86659FD93 % 2**64)], np.uint64))[0])
+    return int(mix(np.array([sums], np.uint64) + np.array([len(data) * 0xD6E8FEB86659FD93 % 2**64], np.uint64))[0])
 
 
 def chain(h: np.ndarray, n: int) -> np.ndarray:

@@ -193,19 +193,19 @@ class Model:
         for k in range(length):
             prefix[:, k + 1] = prefix[:, k] * _U(_BASE) + code[:, k]
             power.append(power[-1] * _BASE % 2**64)
-        best = np.full((m, length + 1), -np.inf)
+        best = np.full((m, length + 1), -np.inf, np.float32)
         best[:, 0] = 0
         back = np.zeros((m, length + 1), np.int64)
         piece = np.full((m, length + 1), self.unk, np.int64)
         row = np.arange(m)
         for end in range(1, length + 1):
-            sizes = np.arange(1, min(end, self.longest) + 1)
+            sizes = np.arange(min(end, self.longest), 0, -1)  # of equal sums the longest last piece wins, as in the library
             starts = end - sizes
             h = prefix[:, end][:, None] - prefix[:, starts] * np.array([power[s] for s in sizes], np.uint64)
             at = np.minimum(np.searchsorted(self.piece_hash, h), len(self.piece_hash) - 1)
             found = self.piece_hash[at] == h
-            score = np.where(found, self.scores[self.piece_id[at]], -np.inf)
-            score[:, 0] = np.where(found[:, 0], score[:, 0], self.unk_score)
+            score = np.where(found, self.scores[self.piece_id[at]], -np.inf).astype(np.float32)
+            score[:, -1] = np.where(found[:, -1], score[:, -1], self.unk_score)
             total = best[:, starts] + score
             pick = total.argmax(1)
             best[:, end], back[:, end] = total[row, pick], starts[pick]

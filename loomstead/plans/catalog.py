@@ -1,19 +1,598 @@
-"""Registered queries of the engine's own operators, with their SQL."""
+"""Registered queries of the engine's own operators over the supplied tables, with the SQL that gives the same rows.
+
+Each runs over its whole tables. Floats are rounded to 6 places on both sides, after ranking.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from loomstead import ship
+from loomstead.functions import text as X
+from loomstead.operators import budget, diff, graph, index, parse, publish, retrieve, site
+from loomstead.plans import session
+from loomstead.sources import readers
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(fn: Callable[[Callable[[str], DataFrame]], DataFrame]) -> Callable:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
+        _QUERIES[fn.__name__] = run
+        if sql:
+            _SQL[fn.__name__] = sql
+        return fn
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages to blocks, BM25 over them, re-ranked, deduplicated, with cited relevance."""
+    ship(spark)
+    s = session.Session(spark).ingest(readers.pages(spark, f"{sf_dir}/pages.parquet"))
+    hits = retrieve.search(s.blocks, "thonre erly tion", 10)
+    return hits.select("doc_id", "block_id", "type", "url", F.round("score", 6).alias("score"), retrieve.first_sentence(F.col("text")).alias("answer"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
+_TOK = f"(SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents)"
+_KEPT = f"(SELECT * FROM {_TOK} WHERE length(term) > 1 AND term NOT IN ({_STOP}))"
+
+
+def _docs(t) -> DataFrame:
+    # A single small file would be one task for all later work.
+    return t("documents").withColumn("key", F.col("doc_id"))
+
+
+# --- pages: ids, URLs, guards
+
+
+@query("""SELECT page_id, 'sha256:' || substr(sha256(html), 1, 16) AS doc_id, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1) AS site_id,
+ trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages""")
+def page_ids(t):
+    return t("pages").select("page_id", X.doc_id("html").alias("doc_id"), X.site_id("url").alias("site_id"), X.title_tag("html").alias("title"))
+
+
+@query("""WITH u AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1) AS host FROM pages)
+SELECT page_id, CASE WHEN regexp_matches(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?]*/$') THEN u ELSE regexp_replace(u, '/+$', '') END AS normal,
+ lower(regexp_extract(path, '[.]([A-Za-z0-9]+)$', 1)) IN (""" + ", ".join(f"'{e}'" for e in X.NON_HTML) + """) AS non_html,
+ regexp_replace(regexp_replace(regexp_replace(lower(host), '^www[.]', ''), '[.][a-z]+$', ''), '[._]', '-', 'g') AS slug FROM u""")
+def page_urls(t):
+    return t("pages").select("page_id", X.normalize_url("url").alias("normal"), X.non_html("url").alias("non_html"), X.domain_slug(X.netloc("url")).alias("slug"))
+
+
+@query(r"""SELECT page_id, length(regexp_replace(substr(html, 1, 512), '[^\x00-\x08\x0E-\x1F]', '', 'g')) / length(substr(html, 1, 512)) > 0.3 AS is_binary,
+ regexp_matches(html, '<[a-zA-Z][^>]*>') AS is_html,
+ length(html) > 1000 AND length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) < 0.05 * length(html) AS thin FROM pages""")
+def page_guards(t):
+    thin = (F.length("html") > 1000) & (F.length(X.strip_tags("html")) < 0.05 * F.length("html"))
+    return t("pages").select("page_id", X.looks_binary("html").alias("is_binary"), X.looks_html("html").alias("is_html"), thin.alias("thin"))
+
+
+@query()
+def page_needs_rendering(t):
+    return t("pages").select("page_id", X.needs_rendering("html").alias("needs_rendering"))
+
+
+@query(r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS text_md5 FROM pages""")
+def page_text(t):
+    return t("pages").select("page_id", F.md5(X.strip_tags("html")).alias("text_md5"))
+
+
+@query("""SELECT page_id, regexp_replace(url || '&token=abc', '(?i)([?&](?:""" + "|".join(X.SECRET_KEYS) + r""")=)[^&#]*', '\1<redacted>', 'g') AS redacted FROM pages""")
+def redacted_urls(t):
+    return t("pages").select("page_id", X.redact(F.concat("url", F.lit("&token=abc"))).alias("redacted"))
+
+
+# --- links and graphs
+
+_LINKS = """WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages),
+l AS (SELECT page_id, url, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', 0) || href ELSE href END AS link FROM a)
+"""
+
+
+@query(_LINKS + "SELECT link, count(*) AS n_links, count(DISTINCT url) AS n_pages FROM l GROUP BY link")
+def link_targets(t):
+    return site.links(t("pages")).groupBy("link").agg(F.count("*").alias("n_links"), F.countDistinct("url").alias("n_pages"))
+
+
+@query(_LINKS + "SELECT url, 'nav_' || substr(sha256(link), 1, 8) AS node_id, count(*) AS edges FROM l GROUP BY ALL")
+def nav_graph_pages(t):
+    return site.links(t("pages")).select("url", graph.node_id("nav", F.col("link")).alias("node_id")).groupBy("url", "node_id").agg(F.count("*").alias("edges"))
+
+
+@query("""WITH e AS (SELECT DISTINCT l_orderkey AS a, l_suppkey AS b FROM lineitem WHERE l_suppkey <= 5), g AS (SELECT a AS f, -b AS t FROM e UNION SELECT -b, a FROM e),
+h0 AS (SELECT DISTINCT o_orderkey AS s FROM orders WHERE o_custkey = 1), h1 AS (SELECT DISTINCT t AS s FROM g JOIN h0 ON f = s WHERE t NOT IN (SELECT s FROM h0)),
+h2 AS (SELECT DISTINCT t AS s FROM g JOIN h1 ON f = s WHERE t NOT IN (SELECT s FROM h0) AND t NOT IN (SELECT s FROM h1))
+SELECT s AS state, 0 AS hops FROM h0 UNION ALL SELECT s, 1 FROM h1 UNION ALL SELECT s, 2 FROM h2""")
+def reachable_states(t):
+    e = t("lineitem").filter("l_suppkey <= 5").select(F.col("l_orderkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
+    edges = e.select(F.col("a").alias("from_state"), (-F.col("b")).alias("to_state")).unionByName(e.select((-F.col("b")).alias("from_state"), F.col("a").alias("to_state")))
+    return graph.reachable(edges, t("orders").filter("o_custkey = 1").select(F.col("o_orderkey").alias("state")), 2)
+
+
+_TRACE = """(SELECT event_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 'POST' ELSE 'GET' END AS method,
+ CASE WHEN user_id % 3 = 0 THEN 'https://h' || (user_id % 7) || '.example.com/api/' || event_type || '?k=1&u=2' ELSE 'https://h' || (user_id % 7) || '.example.com/p/' || event_type END AS url,
+ CASE WHEN event_id % 10 = 0 THEN 500 ELSE 200 END AS status, CASE WHEN event_id % 4 = 0 THEN 'application/json; charset=utf-8' ELSE 'text/html' END AS ct FROM events)"""
+
+
+@query(f"""WITH r AS (SELECT *, regexp_replace(url, '[?#].*$', '') AS endpoint, ct LIKE 'application/json%' AS js, url LIKE '%/api/%' AS api FROM {_TRACE}),
+k AS (SELECT *, row_number() OVER (PARTITION BY method, endpoint ORDER BY event_id) AS r FROM r WHERE js OR api)
+SELECT event_id AS ord, method, endpoint, CASE WHEN api THEN 'k,u' ELSE '' END AS params, round(least(0.95, 0.4 + CASE WHEN status = 200 THEN 0.2 ELSE 0 END + CASE WHEN js THEN 0.2 ELSE 0 END + CASE WHEN api THEN 0.1 ELSE 0 END), 2) AS confidence,
+ CASE WHEN method = 'GET' THEN 'read_only' ELSE 'write' END AS safety FROM k WHERE r = 1""")
+def api_from_trace(t):
+    u = F.col("user_id")
+    host = F.concat(F.lit("https://h"), (u % 7).cast("string"), F.lit(".example.com"))
+    url = F.when(u % 3 == 0, F.concat(host, F.lit("/api/"), "event_type", F.lit("?k=1&u=2"))).otherwise(F.concat(host, F.lit("/p/"), "event_type"))
+    r = t("events").select(
+        F.col("event_id").alias("ord"), F.when(F.col("event_type").isin("purchase", "signup"), "POST").otherwise("GET").alias("method"), url.alias("url"), F.when(F.col("event_id") % 10 == 0, 500).otherwise(200).alias("status"),
+        F.when(F.col("event_id") % 4 == 0, "application/json; charset=utf-8").otherwise("text/html").alias("content_type"), F.lit(None).cast("array<string>").alias("body_params"), F.lit(False).alias("auth"),
+    )
+    return graph.api_from_trace(r).withColumn("params", F.array_join("params", ","))
+
+
+# --- parsing (rows only: no SQL walks a tree) and what SQL can see of it
+
+
+@query(r"""WITH h AS (SELECT page_id, regexp_extract_all(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS hs FROM pages),
+x AS (SELECT page_id, trim(regexp_replace(unnest(hs), '\s+', ' ', 'g')) AS t FROM h)
+SELECT page_id, count(*) AS headings, max(md5(t)) AS text_md5 FROM x WHERE t <> '' GROUP BY page_id""")
+def page_headings(t):
+    p = t("pages").select(F.col("page_id").cast("string").alias("doc_id"), "html")
+    b = parse.blocks(p, clean=False).filter("type = 'heading'")
+    return b.groupBy(F.col("doc_id").cast("long").alias("page_id")).agg(F.count("*").alias("headings"), F.max(F.md5("text")).alias("text_md5"))
+
+
+def _parsed(t) -> tuple[DataFrame, DataFrame]:
+    p = t("pages").select(X.doc_id("html").alias("doc_id"), X.site_id("url").alias("site_id"), "url", "html").dropDuplicates(["doc_id"])
+    return p, parse.blocks(p)
+
+
+@query()
+def page_blocks(t):
+    p, b = _parsed(t)
+    return session.scored_blocks(p, b).select("doc_id", "block_id", "ord", "type", "text", "level", "section_path", "dom_path", F.round("importance", 6).alias("importance"), F.round("evidence_score", 6).alias("evidence_score"))
+
+
+@query()
+def page_actions(t):
+    return parse.actions(_parsed(t)[0]).drop("value_schema")
+
+
+@query()
+def page_assets(t):
+    return parse.assets(_parsed(t)[0])
+
+
+@query()
+def page_nav_edges(t):
+    return graph.nav_edges(parse.actions(_parsed(t)[0]))
+
+
+@query()
+def page_nav_nodes(t):
+    return graph.nav_nodes(graph.nav_edges(parse.actions(_parsed(t)[0])))
+
+
+@query()
+def page_action_graph(t):
+    p, _ = _parsed(t)
+    docs = p.select("doc_id", "url", X.title_tag("html").alias("title"))
+    return graph.action_graph(docs, parse.actions(p))[1]
+
+
+@query()
+def page_api_candidates(t):
+    p, _ = _parsed(t)
+    return graph.api_candidates(parse.actions(p).join(p.select("doc_id", "url"), "doc_id"))
+
+
+@query()
+def page_decisions(t):
+    p, _ = _parsed(t)
+    a = parse.actions(p).join(p.select("doc_id", "url"), "doc_id")
+    return graph.decide(a, graph.api_candidates(a))
+
+
+@query()
+def page_markdown(t):
+    return budget.markdown(_parsed(t)[1])
+
+
+@query()
+def page_budget(t):
+    return budget.compress(_parsed(t)[1], 400)
+
+
+@query()
+def page_quality(t):
+    return site.quality(_parsed(t)[1]).select("doc_id", "block_count", "dup_texts", "warnings", F.round("parse_confidence", 6).alias("parse_confidence"))
+
+
+@query()
+def site_profiles(t):
+    p, _ = _parsed(t)
+    kids = parse.body_children(p).join(p.select("doc_id", F.col("site_id").alias("domain")), "doc_id")
+    return site.learn_profiles(kids)
+
+
+@query()
+def site_llms_txt(t):
+    p, b = _parsed(t)
+    return publish.llms_txt(p.select("doc_id", "site_id", "url", X.title_tag("html").alias("title")), b, parse.actions(p))
+
+
+@query()
+def site_agent_json(t):
+    p, b = _parsed(t)
+    return publish.agent_json(p.select("doc_id", "site_id", "url", X.title_tag("html").alias("title")), b, parse.actions(p))
+
+
+@query()
+def site_content_json(t):
+    p, b = _parsed(t)
+    return publish.content_feed(p.select("doc_id", "site_id", "url", X.title_tag("html").alias("title")), b)
+
+
+@query()
+def site_actions_json(t):
+    p, _ = _parsed(t)
+    return publish.actions_feed(p.select("doc_id", "site_id", "url"), parse.actions(p))
+
+
+@query()
+def site_sitemap(t):
+    p, b = _parsed(t)
+    return publish.sitemap(p, b)
+
+
+@query()
+def page_axtree(t):
+    return publish.format_blocks(_parsed(t)[1], "axtree")
+
+
+@query()
+def page_xml(t):
+    return publish.format_blocks(_parsed(t)[1], "xml")
+
+
+@query()
+def page_tools(t):
+    return publish.function_calls(parse.actions(_parsed(t)[0]))
+
+
+@query()
+def event_json_blocks(t):
+    return readers.json_blocks(t("events").select(F.col("event_id").cast("string").alias("doc_id"), F.col("props").alias("json"))).select("doc_id", "block_id", "type", "text", "importance")
+
+
+@query()
+def crawl_frontier(t):
+    p = t("pages")
+    w = Window.partitionBy(X.netloc("url")).orderBy("page_id")
+    seeds = p.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("url")
+    return site.crawl(p, seeds, 2)
+
+
+# --- texts
+
+
+@query(r"""WITH w AS (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS s FROM documents), n AS (SELECT *, CASE WHEN s = '' THEN 0 ELSE length(s) - length(replace(s, ' ', '')) + 1 END AS n FROM w)
+SELECT doc_id, n AS n_words, CASE WHEN n = 0 THEN 0 ELSE greatest(1, n * 13 // 10) END AS tokens_words, greatest(1, length(text) // 4) AS tokens_chars FROM n""")
+def token_estimates(t):
+    return t("documents").select("doc_id", X.word_count("text").cast("long").alias("n_words"), X.tokens_by_words("text").cast("long").alias("tokens_words"), X.tokens_by_length("text").cast("long").alias("tokens_chars"))
+
+
+@query(r"""SELECT doc_id, trim(CASE WHEN contains(substr(text, 1, 100), '.') THEN split_part(substr(text, 1, 100), '.', 1) ELSE substr(text, 1, 100) END, ' ') AS summary,
+ CASE WHEN length(text) <= 500 THEN text ELSE rtrim(substr(text, 1, 497), ' ') || '...' END AS cut FROM documents""")
+def text_summaries(t):
+    return t("documents").select("doc_id", X.block_summary("text").alias("summary"), X.truncate("text", 500).alias("cut"))
+
+
+@query(r"""SELECT doc_id, len(x) AS n_sentences, x[1] AS first_sentence FROM (SELECT doc_id, string_split(regexp_replace(trim(text, ' '), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS x FROM documents)""")
+def sentence_split(t):
+    s = X.sentences("text")
+    return t("documents").select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.get(s, F.lit(0)).alias("first_sentence"))
+
+
+_KINDS = {k: X.ENTITY[k] for k in ("price", "email", "url", "percentage", "number_with_unit")}
+
+
+def _tagged(kind: str):
+    return lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("v"))
+
+
+@query("SELECT doc_id, kind, count(*) AS n, min(v) AS least FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}')) AS v FROM documents" for k, ps in _KINDS.items() for p in ps) + ") GROUP BY doc_id, kind")
+def entity_counts(t):
+    d = t("documents")
+    every = F.flatten(F.array(*[F.transform(X.entities("text", k), _tagged(k)) for k in _KINDS]))
+    return d.select("doc_id", F.explode(every).alias("e")).groupBy("doc_id", "e.kind").agg(F.count("*").alias("n"), F.min("e.v").alias("least"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, length(text) AS n, len(regexp_extract_all(text, '\d+')) + len(regexp_extract_all(text, '(?i)\b(?:19\d\d|20\d\d|January|February|March|April|May|June|July|August|September|October|November|December)\b')) + len(regexp_extract_all(text, '\b[A-Z][a-z]{2,}\b')) AS c FROM documents WHERE text = regexp_replace(text, '[^\x00-\x7F]', '', 'g'))
+SELECT doc_id, round(1 / (1 + exp(-(n - 100) / 50.0)), 6) AS length_score, round(CASE WHEN n = 0 THEN 0 ELSE 2 / (1 + exp(-100.0 * c / n)) - 1 END, 6) AS density FROM d""")
+def salience_features(t):
+    x = F.col("text")
+    return t("documents").filter(~x.rlike(r"[^\x00-\x7F]")).select("doc_id", F.round(X.length_score(x), 6).alias("length_score"), F.round(X.entity_density(x), 6).alias("density"))
+
+
+@query("""SELECT doc_id, round(least(1.0, 0.3 + CASE WHEN regexp_matches(text, '[$€£¥]\\s?\\d|\\d%') THEN 0.15 ELSE 0 END + 0.1 + CASE WHEN length(text) > 200 THEN 0.1 WHEN length(text) > 50 THEN 0.05 ELSE 0 END)::DOUBLE, 6) AS evidence FROM documents""")
+def evidence_scores(t):
+    x = F.col("text")
+    return t("documents").select("doc_id", F.round(X.evidence_score(F.lit("paragraph"), x, x.rlike(r"[$€£¥]\s?\d|\d%"), F.lit(True)), 6).alias("evidence"))
+
+
+# --- index and ranking
+
+
+@query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM {_KEPT} GROUP BY term")
+def term_statistics(t):
+    p = index.postings(_docs(t))
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query(f"SELECT count(*) AS n, round(avg(dl), 6) AS avgdl FROM (SELECT doc_id, count(*) AS dl FROM {_KEPT} GROUP BY doc_id)")
+def corpus_statistics(t):
+    return index.build(_docs(t)).stats.select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+_Q = {"licensed": 1, "version": 1, "license": 2}
+_BM = f"""WITH k AS (SELECT doc_id, count(*) AS dl, """ + ", ".join(f"count(*) FILTER (term = '{w}') AS t{i}" for i, w in enumerate(_Q)) + f""" FROM {_KEPT} GROUP BY doc_id),
+s AS (SELECT count(*) AS n, avg(dl) AS a, """ + ", ".join(f"count(*) FILTER (t{i} > 0) AS d{i}" for i in range(len(_Q))) + """ FROM k),
+r AS (SELECT doc_id AS key, """ + " + ".join(f"{m} * ln((n - d{i} + 0.5) / (d{i} + 0.5) + 1) * t{i} * 2.5 / (t{i} + 1.5 * (0.25 + 0.75 * dl / a))" for i, m in enumerate(_Q.values())) + """ AS score FROM k, s WHERE t0 + t1 + t2 > 0)
+"""
+_QUERY = "Licensed version license, license"
+
+
+@query(_BM + "SELECT key, round(score, 6) AS score FROM r")
+def bm25_scores(t):
+    return index.bm25(_docs(t), _QUERY, top_k=None).select("key", F.round("score", 6).alias("score"))
+
+
+@query(_BM + "SELECT key, round(score, 6) AS score FROM r ORDER BY score DESC, key LIMIT 10")
+def bm25_top10(t):
+    return index.bm25(_docs(t), _QUERY, top_k=10).select("key", F.round("score", 6).alias("score"))
+
+
+@query(_BM + "SELECT key, round(score, 6) AS score FROM r ORDER BY score DESC, key LIMIT 10")
+def bm25_indexed_top10(t):
+    return index.bm25_indexed(index.build(_docs(t)), _QUERY, 10).select("key", F.round("score", 6).alias("score"))
+
+
+@query(_BM + "SELECT key, round(score, 6) AS score FROM r WHERE key IN (SELECT doc_id FROM documents WHERE lang = 'fr') ORDER BY r.score DESC, key LIMIT 10")
+def bm25_filtered_top10(t):
+    return index.bm25(_docs(t), _QUERY, where=F.col("lang") == "fr", top_k=10).select("key", F.round("score", 6).alias("score"))
+
+
+@query("""WITH p AS (SELECT doc_id AS key, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9]+'), 1) AS pos FROM documents),
+c AS (SELECT key, term, count(*) AS tf, min(pos) AS f FROM p WHERE length(term) > 1 AND term NOT IN (""" + _STOP + """) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY tf DESC, f) AS rank FROM c)
+SELECT key, rank, term, tf FROM r WHERE rank <= 10""")
+def doc_keywords(t):
+    return index.keywords(_docs(t))
+
+
+_VOCAB = """v AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY term ORDER BY df DESC, term LIMIT 500),
+w AS (SELECT term, df, ln((SELECT count(*) FROM documents) / (1 + df)) AS idf, row_number() OVER (ORDER BY df DESC, term) - 1 AS ix FROM v)"""
+
+
+@query(f"WITH {_VOCAB} SELECT term, df, round(idf, 6) AS idf, ix FROM w")
+def tfidf_vocabulary(t):
+    return index.tfidf_vocabulary(_docs(t)).select("term", "df", F.round("idf", 6).alias("idf"), "ix")
+
+
+@query(f"""WITH {_VOCAB}, tf AS (SELECT doc_id AS key, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY ALL),
+raw AS (SELECT key, ix, tf * idf AS raw FROM tf JOIN w USING (term)), n AS (SELECT key, sqrt(sum(raw * raw)) AS norm FROM raw GROUP BY key)
+SELECT key, count(*) AS dims, round(sum(raw / norm), 6) AS total FROM raw JOIN n USING (key) WHERE norm > 0 GROUP BY key""")
+def tfidf_vectors(t):
+    e = index.tfidf_embed(_docs(t), index.tfidf_vocabulary(_docs(t)))
+    return e.groupBy("key").agg(F.count("*").alias("dims"), F.round(F.sum("w"), 6).alias("total"))
+
+
+_DENSE = "d AS (SELECT e.vec_id AS key, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q)"
+
+
+def _dense(t, top_k):
+    e = t("embeddings").withColumnRenamed("vec_id", "key")
+    return index.dense(e, e.filter("key = 7").select(F.col("embedding").alias("q")), top_k=top_k)
+
+
+@query(f"WITH {_DENSE} SELECT key, round(score, 6) AS score FROM d WHERE score > 0 ORDER BY d.score DESC, key LIMIT 10")
+def dense_top10(t):
+    return _dense(t, 10).select("key", F.round("score", 6).alias("score"))
+
+
+@query(_BM.rstrip() + f""", {_DENSE}, b50 AS (SELECT * FROM r ORDER BY score DESC, key LIMIT 50), d50 AS (SELECT * FROM d WHERE score > 0 ORDER BY score DESC, key LIMIT 50),
+bn AS (SELECT key, score / (SELECT max(score) FROM b50) AS s FROM b50), dn AS (SELECT key, score / (SELECT max(score) FROM d50) AS s FROM d50),
+j AS (SELECT coalesce(bn.key, dn.key) AS key, 0.5 * coalesce(bn.s, 0) + 0.5 * coalesce(dn.s, 0) AS score FROM bn FULL JOIN dn ON bn.key = dn.key)
+SELECT key, round(score, 6) AS score FROM j ORDER BY j.score DESC, key LIMIT 10""")
+def hybrid_top10(t):
+    return index.hybrid(index.bm25(_docs(t), _QUERY, top_k=50), _dense(t, 50)).select("key", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT label, count(*) AS n, round(avg(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS mean_cosine FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q GROUP BY label""")
+def cosine_by_label(t):
+    e = t("embeddings")
+    q = F.broadcast(e.filter("vec_id = 7").select(F.col("embedding").alias("q")))
+    return e.crossJoin(q).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(index.cosine(F.col("embedding"), F.col("q"))), 6).alias("mean_cosine"))
+
+
+# --- planning, answers, citations
+
+_W = r"CASE WHEN trim(regexp_replace(text, '\s+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) END"
+
+
+@query(r"""WITH m AS (SELECT conv_id, turn, regexp_matches(text, '""" + X._TASK + r"""') AS t, regexp_matches(text, '""" + X._TASK_ONLY + r"""') AS o, regexp_matches(text, '""" + X._EVIDENCE + r"""') AS e, regexp_matches(text, '""" + X._NAVIGATION + r"""') AS v, """ + _W + r""" AS n FROM conversations),
+i AS (SELECT *, CASE WHEN NOT t AND NOT e AND NOT v THEN 'fact' WHEN t AND v AND NOT e THEN CASE WHEN o THEN 'task' ELSE 'navigation' END WHEN t::INT + e::INT + v::INT > 1 THEN 'hybrid' WHEN t THEN 'task' WHEN e THEN 'evidence' ELSE 'navigation' END AS intent FROM m),
+b AS (SELECT *, CASE intent WHEN 'navigation' THEN 0.8::DOUBLE WHEN 'task' THEN 0.7 WHEN 'evidence' THEN 0.7 WHEN 'fact' THEN 0.6 ELSE 0.4 END AS base FROM i)
+SELECT conv_id, turn, intent, round(CASE WHEN n < 3 THEN base * 0.8 WHEN n > 8 THEN least(1.0, base * 1.1) ELSE base END, 2) AS confidence FROM b""")
+def query_intents(t):
+    return t("conversations").select("conv_id", "turn", X.intent("text").alias("intent"), X.intent_confidence("text").alias("confidence"))
+
+
+@query()
+def task_plans(t):
+    c = t("conversations").filter("role = 'user'").withColumn("key", F.concat_ws(":", "conv_id", "turn"))
+    return retrieve.task_steps(c)
+
+
+def _turns(t) -> DataFrame:
+    c = t("conversations")
+    return c.filter("role = 'assistant'").alias("a").join(c.filter("role = 'user'").alias("u"), (F.col("a.conv_id") == F.col("u.conv_id")) & (F.col("a.turn") == F.col("u.turn") + 1)).select(F.col("a.conv_id").alias("conv_id"), F.col("a.turn").alias("turn"), F.col("a.text").alias("answer"), F.col("u.text").alias("text"))
+
+
+def _set(name: str) -> str:
+    return rf"list_distinct(list_filter(list_transform(list_filter(regexp_split_to_array(lower(trim({name}, ' ')), '\s+'), lambda w: length(w) > 2), lambda w: regexp_replace(w, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')), lambda w: length(w) > 0))"
+
+
+@query(f"""WITH p AS (SELECT a.conv_id, a.turn, lower(a.text) AS low, {_set('a.text')} AS x, {_set('u.text')} AS y FROM conversations a JOIN conversations u ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE a.role = 'assistant' AND u.role = 'user')
+SELECT conv_id, turn, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE 0.6 * len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) + 0.4 * len(list_filter(y, lambda w: length(w) > 3 AND contains(low, w))) / len(y) END, 6) AS relevance FROM p""")
+def citation_relevance(t):
+    return _turns(t).select("conv_id", "turn", F.round(retrieve.relevance(F.col("answer"), F.col("text")), 6).alias("relevance"))
+
+
+@query()
+def answer_spans(t):
+    return retrieve.answer_span(_turns(t), ["conv_id", "turn"]).withColumn("overlap", F.round("overlap", 6))
+
+
+# --- diffs, feeds, memory, visits
+
+
+@query("""WITH o AS (SELECT source, text, row_number() OVER (PARTITION BY source, text ORDER BY doc_id) AS nth, doc_id FROM documents WHERE doc_id % 2 = 0), n AS (SELECT source, text, row_number() OVER (PARTITION BY source, text ORDER BY doc_id) AS nth, doc_id FROM documents WHERE doc_id % 2 = 1)
+SELECT coalesce(o.source, n.source) AS source, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN n.doc_id IS NULL THEN 'old' ELSE 'both' END AS side, count(*) AS blocks FROM o FULL JOIN n ON o.source = n.source AND o.text = n.text AND o.nth = n.nth GROUP BY ALL""")
+def exact_diff(t):
+    d = t("documents")
+    return diff.exact_block_diff(d.filter("doc_id % 2 = 0"), d.filter("doc_id % 2 = 1"), "source", "text", "doc_id").groupBy("source", "side").agg(F.count("*").alias("blocks"))
+
+
+@query()
+def fuzzy_diff(t):
+    c = t("conversations").select(F.col("conv_id").cast("string").alias("doc_id"), "turn", "role", F.explode(F.split("text", "\n")).alias("text"))
+    rows = c.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id", "role").orderBy("turn", "text")))
+    return diff.block_changes(rows.filter("role = 'user'"), rows.filter("role = 'assistant'")).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("""WITH o AS (SELECT url, md5(html) AS h FROM pages WHERE page_id % 5 <> 0), n AS (SELECT url, CASE WHEN page_id % 7 = 0 THEN 'changed' ELSE md5(html) END AS h FROM pages WHERE page_id % 5 <> 1)
+SELECT coalesce(o.url, n.url) AS url, CASE WHEN o.url IS NULL THEN 'added' WHEN n.url IS NULL THEN 'removed' ELSE 'updated' END AS change FROM o FULL JOIN n ON o.url = n.url WHERE o.url IS NULL OR n.url IS NULL OR o.h <> n.h""")
+def delta_feed(t):
+    p = t("pages")
+    old = p.filter("page_id % 5 <> 0").select("url", F.md5("html").alias("h"))
+    new = p.filter("page_id % 5 <> 1").select("url", F.col("page_id").alias("doc_id"), F.when(F.col("page_id") % 7 == 0, "changed").otherwise(F.md5("html")).alias("h2"))
+    changed = old.join(new, "url").filter("h <> h2").select("doc_id")
+    return diff.delta_feed(old, new, changed)
+
+
+@query("SELECT regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1) AS site_id, count(*) AS doc_count, max(page_id) AS last_indexed, min(url) AS first_entry FROM pages GROUP BY 1")
+def site_records(t):
+    d = t("pages").select(X.site_id("url").alias("site_id"), "url", F.col("page_id").alias("timestamp"))
+    return site.site_records(d).select("site_id", "doc_count", "last_indexed", F.get("entry_points", F.lit(0)).alias("first_entry"))
+
+
+@query(_LINKS + """, h AS (SELECT DISTINCT page_id, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1) AS domain, regexp_replace(link, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', '') AS path FROM l), p AS (SELECT domain, count(DISTINCT page_id) AS pages FROM h GROUP BY domain HAVING count(DISTINCT page_id) >= 3)
+SELECT domain, path, count(*) AS n, round(count(*) / any_value(pages), 6) AS share FROM h JOIN p USING (domain) GROUP BY domain, path HAVING count(*) >= 0.7 * any_value(pages)""")
+def template_links(t):
+    l = site.links(t("pages"))  # noqa: E741
+    h = l.select(F.col("url").alias("doc_id"), X.netloc("url").alias("domain"), F.regexp_replace("link", "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", "").alias("text"))
+    pages = h.groupBy("domain").agg(F.countDistinct("doc_id").alias("pages")).filter("pages >= 3")
+    g = h.groupBy("domain", "text").agg(F.countDistinct("doc_id").alias("n")).join(pages, "domain").filter("n >= 0.7 * pages")
+    return g.select("domain", F.col("text").alias("path"), "n", F.round(F.col("n") / F.col("pages"), 6).alias("share"))
+
+
+@query("""WITH p AS (SELECT user_id, event_type AS first, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS second FROM events), c AS (SELECT user_id, first, second, count(*) AS n FROM p WHERE second IS NOT NULL GROUP BY ALL HAVING count(*) > 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first, second) AS rank FROM c) SELECT user_id, first, second, n, rank FROM r WHERE rank <= 5""")
+def visit_sequences(t):
+    return site.url_pairs(t("events"), "user_id", "event_type", ("ts", "event_id"))
+
+
+@query("SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 10")
+def recent_visits(t):
+    return site.recent_visits(t("events"), "user_id", ("ts", "event_id")).select("event_id", "user_id", "event_type")
+
+
+@query("SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def latest_snapshots(t):
+    e = t("events").select("event_id", F.col("user_id").alias("url"), "event_type", F.col("ts").alias("captured_at"), F.col("event_id").alias("snapshot_id"))
+    return site.latest_snapshots(e).select("event_id", F.col("url").alias("user_id"), "event_type")
+
+
+@query("SELECT page_id FROM pages WHERE page_id % 3 <> 0 AND sha256(html) NOT IN (SELECT sha256(html) FROM pages WHERE page_id % 3 = 0)")
+def cache_misses(t):
+    p = t("pages")
+    cache = p.filter("page_id % 3 = 0").select(F.sha2("html", 256).alias("content_hash"), F.lit("c").alias("config"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("cached_at"))
+    return site.cache_misses(p.filter("page_id % 3 <> 0"), cache, "c", F.lit("2024-01-01 00:10:00").cast("timestamp"), 3600).select("page_id")
+
+
+@query("""WITH r AS (SELECT doc_id, source, sum(greatest(1, length(text) // 4)) OVER (PARTITION BY source ORDER BY doc_id) AS running FROM documents) SELECT doc_id, source, running::BIGINT AS running FROM r WHERE running <= 20000""")
+def budget_prefix(t):
+    return budget.prefix_within(t("documents"), ["source"], ["doc_id"], X.tokens_by_length("text"), 20_000).select("doc_id", "source", "running")
+
+
+@query("SELECT doc_id, lang, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r <= 25")
+def summary_top(t):
+    d = t("documents").select("doc_id", "lang", "n_chars")
+    w = Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")
+    return d.withColumn("r", F.row_number().over(w)).filter("r <= 25").drop("r")
+
+
+@query("SELECT source, count(*) AS docs, count(*) FILTER (n > 1) AS repeated, sum(n) AS total FROM (SELECT source, text, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source")
+def duplicate_texts(t):
+    g = t("documents").groupBy("source", "text").agg(F.count("*").alias("n"))
+    return g.groupBy("source").agg(F.count("*").alias("docs"), F.count_if(F.col("n") > 1).alias("repeated"), F.sum("n").alias("total"))
+
+
+@query("""WITH j AS (SELECT l.quality = 1 AS good, d.n_chars >= 500 AS said FROM labels l JOIN documents d USING (doc_id)) SELECT count(*) AS n, round(count(*) FILTER (good AND said) / nullif(count(*) FILTER (said), 0), 6) AS precision, round(count(*) FILTER (good AND said) / nullif(count(*) FILTER (good), 0), 6) AS recall FROM j""")
+def benchmark_metrics(t):
+    j = t("labels").join(t("documents"), "doc_id").select((F.col("quality") == 1).alias("good"), (F.col("n_chars") >= 500).alias("said"))
+    hit = F.count_if(F.col("good") & F.col("said"))
+    return j.agg(F.count("*").alias("n"), F.round(hit / F.nullif(F.count_if("said"), F.lit(0)), 6).alias("precision"), F.round(hit / F.nullif(F.count_if("good"), F.lit(0)), 6).alias("recall"))
+
+
+# --- time windows (additions of this engine) and the relational operators that the rest rests on
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def events_tumbling(t):
+    w = t("events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return w.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def events_sessions(t):
+    s = t("events").groupBy(F.session_window("ts", "30 minutes"), "user_id").agg(F.count("*").alias("n"))
+    return s.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n
+FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
+def pricing_summary(t):
+    l = t("lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))  # noqa: E741
+    return l.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"))
+
+
+@query("""SELECT n_name, c_mktsegment, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL""")
+def orders_by_nation(t):
+    j = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return j.groupBy("n_name", "c_mktsegment").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def customers_without_orders(t):
+    return t("customer").select("c_custkey").join(t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")

@@ -153,11 +153,11 @@ def api_from_trace(t):
 
 @query(r"""WITH h AS (SELECT page_id, regexp_extract_all(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS hs FROM pages),
 x AS (SELECT page_id, trim(regexp_replace(unnest(hs), '\s+', ' ', 'g')) AS t FROM h)
-SELECT page_id, count(*) AS headings, max(md5(t)) AS text_md5 FROM x WHERE t <> '' GROUP BY page_id""")
+SELECT page_id, count(*) AS headings, sum(length(regexp_replace(t, '[^a-zA-Z]', '', 'g')))::BIGINT AS letters FROM x WHERE t <> '' GROUP BY page_id""")
 def page_headings(t):
     p = t("pages").select(F.col("page_id").cast("string").alias("doc_id"), "html")
     b = parse.blocks(p, clean=False).filter("type = 'heading'")
-    return b.groupBy(F.col("doc_id").cast("long").alias("page_id")).agg(F.count("*").alias("headings"), F.max(F.md5("text")).alias("text_md5"))
+    return b.groupBy(F.col("doc_id").cast("long").alias("page_id")).agg(F.count("*").alias("headings"), F.sum(F.length(F.regexp_replace("text", "[^a-zA-Z]", ""))).alias("letters"))
 
 
 def _parsed(t) -> tuple[DataFrame, DataFrame]:

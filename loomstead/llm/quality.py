@@ -31,7 +31,7 @@ _U = np.uint64
 LOCAL, COMMON, MIN_REFERENCE = 2_000, 400, 2_000
 MIN_CHARS, MIN_WORDS = 200, 60
 #: Limits of the Jensen-Shannon distances (0 to 1).
-CHAR_LIMIT, WORD_LIMIT = 0.42, 0.75
+CHAR_LIMIT, WORD_LIMIT = 0.32, 0.46
 
 _CLASSES = 8
 _CLASS = np.full(256, 7, np.int64)  # other ASCII

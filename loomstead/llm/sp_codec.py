@@ -17,6 +17,7 @@ them); decoding gives the text back but for what <unk> hides. Normalisation othe
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 import zlib
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .bpe import merge_rows
 
 SPACE = "▁"
 _CUT = re.compile(SPACE + "*[^" + SPACE + "\n]+|" + SPACE + "+|\n")
@@ -62,6 +64,8 @@ class Model:
             self._pair_map = pairs
             self.pair_keys = np.array(sorted(pairs), np.int64)
             self.pair_piece = np.array([pairs[k] for k in sorted(pairs)], np.int64)
+            by_score = np.unique(-self.scores, return_inverse=True)[1]  # least first; equal scores are equal ranks
+            self.pair_rank = by_score[self.pair_piece].astype(np.int64)
         else:
             with np.errstate(over="ignore"):
                 by_hash = sorted((self._hash(p), k) for p, k in self.normal.items())
@@ -122,31 +126,9 @@ class Model:
         flat = "".join(words)
         table = {c: self.char.get(c, unknown) for c in set(flat)}
         ids = np.fromiter((table[c] for c in flat), np.int64, len(flat)).reshape(len(words), length)
-        n = np.full(len(words), length)
-        live = np.arange(len(words)) if length > 1 and len(self.pair_keys) else np.zeros(0, np.int64)
         done = ids.copy()
         chars = np.tile(np.arange(length), (len(words), 1))  # first character of each piece
-        while len(live):
-            width = int(n[live].max())
-            x = done[live, :width]
-            a, b = x[:, :-1], x[:, 1:]
-            key = np.where((a >= 0) & (b >= 0) & (np.arange(1, width) < n[live][:, None]), a << 32 | np.maximum(b, 0), -1)
-            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            found = self.pair_keys[at] == key
-            score = np.where(found, self.scores[self.pair_piece[at]], -np.inf)
-            best = score.argmax(1)
-            row = np.arange(len(live))
-            ok = found[row, best]
-            live, best, at, row = live[ok], best[ok], at[ok], row[ok]
-            if not len(live):
-                break
-            done[live, best] = self.pair_piece[at[np.arange(len(live)), best]]
-            column = np.arange(width)
-            shift = np.minimum(column + (column > best[:, None]), width - 1)
-            for m in (done, chars):
-                m[live, :width] = np.take_along_axis(m[live, :width], shift, 1)
-            n[live] -= 1
-            live = live[n[live] > 1]
+        n = merge_rows(done, self.pair_keys, self.pair_rank, self.pair_piece, chars)
         out = []
         for k, w in enumerate(words):
             ids_k = done[k, : n[k]].tolist()
@@ -242,10 +224,10 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cuts = [self.model.cuts(t) if t else [] for t in texts]
-        new = list({c for x in cuts for c in x if c not in self.cache})
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = list({c for x in cuts for c in x})
+        every = set().union(*cuts)
+        new = list(every - self.cache.keys())
+        if len(self.cache) + len(new) > CACHE:  # frequent cuts are in each batch and stay
+            self.cache = {c: self.cache[c] for c in every if c in self.cache}
         for c, ids in zip(new, self.model.encode_cuts(new)):
             self.cache[c] = np.array(ids, "<u4").tobytes()
         get = self.cache.__getitem__
@@ -261,6 +243,17 @@ class Codec:
         return text[1:] if text.startswith(" ") else text
 
 
+_CODECS: dict[str, Codec] = {}
+
+
+def codec_of(path: str) -> Codec:
+    """One codec in a Python worker, whose cache serves task after task."""
+    if path not in _CODECS:
+        _CODECS[path] = Codec(Model.load(path))
+    gc.disable()  # millions of cuts, no cycles
+    return _CODECS[path]
+
+
 def _batches(batch: pa.RecordBatch, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
     at = 0
@@ -277,7 +270,7 @@ def encode_documents(docs: DataFrame, model_path: str, keep_ids: bool = True) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(Model.load(model_path))
+        codec = codec_of(model_path)
         for whole in batches:
             for batch in _batches(whole):
                 texts = batch.column("text").to_pylist()
@@ -299,7 +292,7 @@ def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
     """doc_id, text: of doc_id and ids. Null ids give null text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(Model.load(model_path))
+        codec = codec_of(model_path)
         for batch in batches:
             texts = [None if x is None else codec.decode(np.array(x, "<u4").tobytes()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])

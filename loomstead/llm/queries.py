@@ -93,7 +93,7 @@ WITH base AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS ht
 n AS (SELECT greatest(1, ceil(count(*) / 1024.0))::BIGINT AS archives FROM pages),
 recs AS (
   SELECT page_id, sha256(url || chr(10) || html) AS digest,
-    (182 + strlen(url) + length(strlen(html)::VARCHAR) + strlen(html))::BIGINT AS length, count(*) AS copies
+    (193 + strlen(url) + length(strlen(html)::VARCHAR) + strlen(html))::BIGINT AS length, count(*) AS copies
   FROM base GROUP BY ALL),
 placed AS (
   SELECT *, (('0x' || substr(md5(concat_ws('|', page_id::VARCHAR, digest)), 1, 8))::BIGINT) % (SELECT archives FROM n) AS archive FROM recs)

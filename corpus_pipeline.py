@@ -17,6 +17,10 @@ from loomstead.llm import common, langid, ngram_join, pack, quality
 from loomstead.llm.queries import tokenizer_file
 
 
+#: Ids of removed documents that are broadcast at most: 8 MB.
+BROADCAST_IDS = 1_000_000
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     return langid.reject_unknown(docs)
@@ -30,7 +34,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     joined = ngram_join.jaccard_join(docs)
-    gone = joined.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    gone = common.save(joined.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "pipeline-copies")
+    if gone.count() <= BROADCAST_IDS:  # else both sides are shuffled
+        gone = F.broadcast(gone)
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

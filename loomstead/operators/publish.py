@@ -61,7 +61,7 @@ def capability(kind: Column, role: Column) -> Column:
 
 def actions_feed(docs: DataFrame, actions: DataFrame) -> DataFrame:
     """(site_id, capabilities, actions_json): actions once per role, selector and type."""
-    a = actions.join(docs.select("doc_id", "site_id", "url"), "doc_id").withColumn("r", F.coalesce("role", F.lit("")))
+    a = actions.drop("url", "site_id").join(docs.select("doc_id", "site_id", "url"), "doc_id").withColumn("r", F.coalesce("role", F.lit("")))
     one = first_of(a, ["site_id", "r", "selector", "type"], "url", "ord")
     per = one.groupBy("site_id").agg(F.sort_array(F.collect_set(capability(F.col("type"), F.col("role")))).alias("capabilities"), F.array_sort(F.collect_list(F.struct("url", "ord", "type", "role", "label", "selector", "required_fields"))).alias("actions"))
     return per.select("site_id", "capabilities", F.to_json(F.struct("capabilities", "actions")).alias("actions_json"))
@@ -164,7 +164,7 @@ def chat_messages(docs_markdown: DataFrame) -> DataFrame:
 
 def chunks(docs: DataFrame, blocks: DataFrame) -> DataFrame:
     """One row per block as text and metadata, for document loaders."""
-    return blocks.join(docs.select("doc_id", "url", "title"), "doc_id").select("doc_id", "block_id", F.col("text").alias("page_content"), F.to_json(F.struct("url", "title", "type", "section_path", F.round("importance", 3).alias("importance"))).alias("metadata"))
+    return blocks.drop("url").join(docs.select("doc_id", "url", "title"), "doc_id").select("doc_id", "block_id", F.col("text").alias("page_content"), F.to_json(F.struct("url", "title", "type", "section_path", F.round("importance", 3).alias("importance"))).alias("metadata"))
 
 
 def form_guide(actions: DataFrame) -> DataFrame:

@@ -47,11 +47,6 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def size_hint(df: DataFrame) -> int:
-    """The planner's estimate of df in bytes, without a job; used only to choose numbers of partitions."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def column(df: DataFrame, name: str, kind: str) -> F.Column:
     """Column `name` cast to `kind`, or nulls where df has none; names match exactly before they match loosely."""
     exact = [c for c in df.columns if c == name]

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +33,16 @@ from . import common
 from . import textkernel as K
 
 _U = np.uint64
-#: Frequent shingles that are put last: a fixed number, 2 MB, whatever the input.
-ORDERED = 1 << 18
-LOCAL_DF = 4
+#: Frequent shingles that are put last: a fixed number, 6 MB, whatever the input.
+ORDERED = 1 << 19
+LOCAL_DF = 2
 LEVELS = (4, 12)
 LEAF = 16
 TREE_FROM = 64
 CHUNK_DOCS = 2048
+GROUP_ROWS = 150_000
+#: Bits of the map of texts that verification needs: 8 MB, whatever the input; a set bit too many costs time alone.
+MAP_BITS = 26
 
 _DOCS = "kind int, doc_id long, text_hash long, cls long, n long, level int, excess int, point binary, shingle long, df long"
 
@@ -170,7 +174,24 @@ def _blocks(table: pa.Table) -> pa.Table:
     n = m[pick]
     where = np.repeat(at[pick] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
     members = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int64)), pa.array(c[where])).cast(pa.list_(pa.int64()))
-    return pa.table({"block": pa.array(key[pick].view(np.int64)), "m": pa.array(n.astype(np.int64)), "members": members})
+    # Members ascend, so a block's first is its smallest class: blocks of one family of copies mostly share it.
+    return pa.table({"block": pa.array(key[pick].view(np.int64)), "m": pa.array(n.astype(np.int64)), "least": pa.array(c[at[pick]]), "members": members})
+
+
+def stars(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, smallest node of its component) that connect what the pairs a, b over 0..n connect."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        low = np.minimum(label[a], label[b])
+        for x in (a, b):
+            np.minimum.at(label, x, low)
+            np.minimum.at(label, before[x], low)
+        label = label[label]
+        if (label == before).all():
+            break
+    at = np.flatnonzero(label != np.arange(n))
+    return at, label[at]
 
 
 def fold(matrix: np.ndarray, level: int) -> np.ndarray:
@@ -229,17 +250,40 @@ def _pairs_in(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     return i, j
 
 
+def covered(row: np.ndarray, edges: np.ndarray, half: np.ndarray, least: int = 9, kept: int = 8) -> np.ndarray:
+    """True for lists whose members all lie in a larger list that starts with the same member: its pairs are that one's too."""
+    sizes = np.diff(edges)
+    out = np.zeros(len(sizes), bool)
+    at = np.flatnonzero(sizes >= least)
+    at = at[half[edges[at]] < 0] if len(at) else at
+    first = row[edges[at]] if len(at) else at
+    at = at[np.lexsort((-sizes[at], first))]
+    lead, large = -1, []
+    for k in at.tolist():
+        part = row[edges[k] : edges[k + 1]]
+        if part[0] != lead:
+            lead, large = part[0], []
+        for big in large:
+            where = np.minimum(np.searchsorted(big, part), len(big) - 1)
+            if (big[where] == part).all():
+                out[k] = True
+                break
+        else:
+            if len(large) < kept:
+                large.append(part)
+    return out
+
+
 def _candidates(num: int, den: int):
-    def run(table: pa.Table) -> pa.Table:
-        """Pairs of classes in the blocks of one group of blocks, by R-tree where a block is large."""
-        block = table["block"].to_numpy()
-        half = table["half"].to_numpy()
-        cls = table["cls"].to_numpy()
-        order = np.lexsort((cls, block))
-        block, half, cls = block[order], half[order], cls[order]
-        u, first, row = np.unique(cls, return_index=True, return_inverse=True)
-        pick = order[first]
+    def run(key: tuple, lists: pa.Table, table: pa.Table) -> pa.Table:
+        """Pairs of classes in the blocks of one group of blocks, by R-tree where a block is large (kind 0), and edges that connect as they do (kind 1)."""
+        pick = np.argsort(table["cls"].to_numpy(), kind="stable")
+        u = table["cls"].to_numpy()[pick]
         n, level, excess = (table[c].to_numpy()[pick].astype(np.int64) for c in ("n", "level", "excess"))
+        counts = pc.list_value_length(lists["members"]).to_numpy().astype(np.int64)
+        row = np.searchsorted(u, pc.list_flatten(lists["members"]).to_numpy())
+        half = pc.list_flatten(lists["halves"]).to_numpy()
+        edges = np.concatenate([[0], np.cumsum(counts)])
         points: dict[int, np.ndarray] = {}
         place = np.zeros(len(u), np.int64)
         raw = table["point"].take(pa.array(pick)).to_pylist()
@@ -255,9 +299,16 @@ def _candidates(num: int, den: int):
         for lv in points:
             if lv + 1 in points:
                 folded[lv + 1, lv] = fold(points[lv + 1], lv)
-        edges = np.flatnonzero(np.diff(block, prepend=block[0] - 1, append=block[-1] + 1)) if len(block) else np.zeros(1, np.int64)
-        sizes = np.diff(edges)
-        found_a, found_b = [], []
+        sizes = np.where(covered(row, edges, half), 0, counts)
+        known, fresh, waiting = np.zeros(0, np.int64), [], 0
+
+        def add(a: np.ndarray, b: np.ndarray) -> None:
+            """Blocks of one family give the same pairs again and again; few of them wait at a time."""
+            nonlocal known, fresh, waiting
+            fresh.append(np.unique(np.minimum(a, b) * len(u) + np.maximum(a, b)))
+            waiting += len(fresh[-1])
+            if waiting > 1_000_000:
+                known, fresh, waiting = np.unique(np.concatenate([known, *fresh])), [], 0
 
         def keep(a: np.ndarray, b: np.ndarray) -> None:
             """a, b: numbers of classes, whose pairs are tested by their points."""
@@ -275,8 +326,7 @@ def _candidates(num: int, den: int):
                         x, y = np.where(level[x] <= level[y], x, y), np.where(level[x] <= level[y], y, x)
                         bound = np.minimum(points[int(lv)][place[x]], folded[int(up), int(lv)][place[y]]).sum(1, dtype=np.int64) + np.minimum(excess[x], excess[y])
                         good = _may_link(bound, n[x], n[y], num, den)
-                        found_a.append(x[good])
-                        found_b.append(y[good])
+                        add(x[good], y[good])
 
         small = np.flatnonzero((sizes >= 2) & (sizes <= TREE_FROM))
         total, lo = np.cumsum(sizes[small] * (sizes[small] - 1) // 2), 0
@@ -302,19 +352,42 @@ def _candidates(num: int, den: int):
                     ok = (a < b) if up == lv else np.ones(len(a), bool)
                     if (side >= 0).any():
                         ok &= np.array([halves[x] != halves[y] for x, y in zip(a, b)], bool)
-                    found_a.append(a[ok])
-                    found_b.append(b[ok])
-        a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
-        b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
-        key = np.unique(np.minimum(a, b) * max(1, len(u)) + np.maximum(a, b))
-        return pa.table({"a": pa.array(u[key // max(1, len(u))]), "b": pa.array(u[key % max(1, len(u))])})
+                    add(a[ok], b[ok])
+        pairs = np.unique(np.concatenate([known, *fresh]))
+        a, b = pairs // max(1, len(u)), pairs % max(1, len(u))
+        x, y = stars(a, b, len(u))
+        return pa.table({"kind": pa.array(np.repeat([0, 1], [len(a), len(x)]).astype(np.int32)), "a": pa.array(u[np.concatenate([a, x])]), "b": pa.array(u[np.concatenate([b, y])])})
 
     return run
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().tobytes()], pa.binary()) for c in batch.columns], names=batch.schema.names)
+
+
+def _needed(bits: np.ndarray):
+    """Rows whose text is on the map."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("text_hash").to_numpy() & ((1 << MAP_BITS) - 1)
+            yield batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+
+    return run
+
+
+def _bits(table: pa.Table) -> pa.Table:
+    """8 KB of the map."""
+    bit = table["bit"].to_numpy()
+    out = np.zeros(1 << 16, bool)
+    out[bit & 0xFFFF] = True
+    return pa.table({"part": pa.array([int(bit[0]) >> 16], pa.int64()), "bits": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
+
+
 def _verify(width: int, num: int, den: int):
     def run(key: tuple, texts: pa.Table, pairs: pa.Table) -> pa.Table:
-        """The pairs of one group whose whole sets are similar enough."""
+        """The pairs of one group whose whole sets are similar enough (kind 0), documents that they give each class (kind 2: class, number), and edges that connect as they do (kind 1)."""
         np.seterr(over="ignore")
         want = texts["cls"].to_numpy()
         hs, keys = [], []
@@ -346,27 +419,46 @@ def _verify(width: int, num: int, den: int):
             links[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), m), hit, minlength=hi - lo).astype(np.int64)
             lo = hi
         good = den * links >= num * (n[x] + n[y] - links) if len(x) else np.zeros(0, bool)
-        return pa.table({"a": pairs["a"].to_numpy()[good], "b": pairs["b"].to_numpy()[good]})
+        a, b = a[good], b[good]
+        copies = texts["copies"].to_numpy()[one] if len(ids) else np.zeros(0, np.int64)
+        others = np.bincount(a, copies[b], minlength=len(ids)) + np.bincount(b, copies[a], minlength=len(ids)) if len(a) else np.zeros(len(ids))
+        some = np.flatnonzero(others)
+        p, q = stars(a, b, len(ids))
+        return pa.table({
+            "kind": pa.array(np.repeat([0, 1, 2], [len(a), len(p), len(some)]).astype(np.int32)),
+            "a": pa.array(ids[np.concatenate([a, p, some]).astype(np.int64)]), "b": pa.array(np.concatenate([ids[b], ids[q], others[some].astype(np.int64)])),
+        })
 
     return run
 
 
-def jaccard_links(docs: DataFrame, num: int = 70, den: int = 100, width: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(members, links): one row per document with its class and set size; linked pairs of different classes.
+def jaccard_links(docs: DataFrame, num: int = 70, den: int = 100, width: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, classes, links), written tables.
 
-    members: doc_id, cls, n. links: a, b (classes), each pair once. Both are written tables.
+    members: doc_id, cls, n; one row per document. classes: cls, copies, least (smallest doc_id). links: kind, a, b;
+    kind 0: each linked pair of different classes once; kind 1: edges that connect the same classes; kind 2: class and the
+    number of documents of classes linked with it, in parts to be summed.
     """
-    spark = docs.sparkSession
     base = common.pick(docs, doc_id="long", text="string").withColumn("text_hash", F.xxhash64("text")).select("doc_id", "text_hash", "text")
     described = common.save(base.mapInArrow(_describe(width), _DOCS), "jaccard-documents")
     members = described.filter("kind = 0").select("doc_id", "text_hash", "cls", "n", "level", "excess", "point")
-    frequent = described.filter("kind = 1").groupBy("shingle").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "shingle").limit(ORDERED).toPandas()
-    hashes, df = frequent["shingle"].to_numpy(np.int64).view(np.uint64), frequent["df"].to_numpy(np.int64)
-    rank = np.empty(len(df), np.int64)
+    counted = described.filter("kind = 1").groupBy("shingle").agg(F.sum("df").alias("df"))
+    # The least df of which there are at most ORDERED shingles: from a histogram in powers of 1.1, at most a few hundred rows.
+    step = F.floor(F.log(F.col("df").cast("double")) / F.log(F.lit(1.1)))
+    least, held = None, 0
+    for r in sorted(counted.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("df").alias("df")).collect(), key=lambda r: -r["step"]):
+        held += r["n"]
+        if held > ORDERED:
+            break
+        least = r["df"]
+    blobs = counted.filter(F.col("df") >= least).mapInArrow(_pack, "shingle binary, df binary").collect() if least is not None else []
+    hashes = np.frombuffer(b"".join(r["shingle"] for r in blobs), np.int64).view(np.uint64)
+    df = np.frombuffer(b"".join(r["df"] for r in blobs), np.int64)
+    rank = np.empty(len(df), np.uint32)
     rank[np.lexsort((hashes, df))] = np.arange(1, len(df) + 1)
     order = np.argsort(hashes)
     classes = common.save(
-        members.filter("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.count("*").alias("copies"), F.first(F.struct("n", "level", "excess", "point")).alias("p")).select("cls", "one.*", "copies", "p.*"),
+        members.filter("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first(F.struct("n", "level", "excess", "point")).alias("p")).select("cls", "one.*", "least", "copies", "p.*"),
         "jaccard-classes",
     )
     entries = classes.agg(F.sum(F.floor(F.col("n") * (den - num) / den) + 1)).first()[0] or 0
@@ -374,45 +466,53 @@ def jaccard_links(docs: DataFrame, num: int = 70, den: int = 100, width: int = 3
     blocks = (
         base.mapInArrow(_prefixes(width, num, den, buckets, (hashes[order], rank[order])), "bucket int, classes binary, lengths binary, hashes binary")
         .groupBy("bucket")
-        .applyInArrow(_blocks, "block long, m long, members array<long>")
+        .applyInArrow(_blocks, "block long, m long, least long, members array<long>")
     )
     blocks = common.save(blocks.dropDuplicates(["block"]), "jaccard-blocks")
-    common.release(spark)
-    chunk = F.pmod(F.xxhash64("cls"), "c")
-    held = (
-        blocks.withColumn("c", F.ceil(F.col("m") / CHUNK_DOCS)).select("block", "c", F.explode("members").alias("cls")).withColumn("i", F.when(F.col("c") > 1, chunk).otherwise(0))
-        .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-        .select(F.when(F.col("c") == 1, F.col("block")).otherwise(F.xxhash64("block", F.least("i", "j"), F.greatest("i", "j"))).alias("block"), "cls", F.when(F.col("i") != F.col("j"), F.lit(1)).otherwise(0).alias("_mixed"), "i", "j")
-    )
-    # In a chunk pair i < j only pairs across the halves count; in a chunk of its own, all (half -1).
-    halves = held.select("block", "cls", F.when(F.col("_mixed") == 1, F.col("i")).otherwise(-1).alias("half"))
+    common.release(base.sparkSession)
+    # Blocks of one family meet in one group, which needs each class's point once; a family beyond a group's size is spread.
     rows = int(blocks.agg(F.sum("m")).first()[0] or 0)
-    groups = max(1, -(-rows // 60_000))
-    pairs = (
-        halves.join(classes.select("cls", "n", "level", "excess", "point"), "cls")
-        .withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)))
-        .groupBy("g").applyInArrow(_candidates(num, den), "a long, b long")
-    )
+    groups = max(1, -(-rows // GROUP_ROWS))
+    family = blocks.groupBy("least").agg(F.sum("m").alias("w"))
+    spread = F.when(F.col("w") > GROUP_ROWS, F.xxhash64("least", F.pmod("block", F.ceil(F.col("w") / GROUP_ROWS)))).otherwise(F.xxhash64("least"))
+    placed = blocks.join(family, "least").withColumn("g", F.pmod(spread, F.lit(groups))).withColumn("c", F.ceil(F.col("m") / CHUNK_DOCS))
+    small = placed.filter("c = 1").select("g", "members", F.transform("members", lambda x: F.lit(-1)).alias("halves"))
+    # A block of more classes is cut into chunks by hash, and each pair of chunks is a list: across chunks, or (i = j) inside one.
+    cut = placed.filter("c > 1").select("block", "c", F.explode("members").alias("x")).withColumn("i", F.pmod(F.xxhash64("x"), "c")).groupBy("block", "c", "i").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    other = cut.select("block", F.col("i").alias("j"), F.col("xs").alias("ys"))
+    large = cut.join(other, "block").filter("i <= j").select(
+        F.pmod(F.xxhash64("block", "i", "j"), F.lit(groups)).alias("g"),
+        F.when(F.col("i") == F.col("j"), F.col("xs")).otherwise(F.concat("xs", "ys")).alias("members"),
+        F.when(F.col("i") == F.col("j"), F.transform("xs", lambda x: F.lit(-1))).otherwise(F.concat(F.transform("xs", lambda x: F.lit(0)), F.transform("ys", lambda x: F.lit(1)))).alias("halves"),
+    )
+    lists = common.save(small.unionByName(large), "jaccard-lists")
+    wanted = lists.select("g", F.explode("members").alias("cls")).distinct().join(classes.select("cls", "n", "level", "excess", "point"), "cls").withColumnRenamed("g", "at")
+    pairs = lists.groupBy("g").cogroup(wanted.groupBy("at")).applyInArrow(_candidates(num, den), "kind int, a long, b long")
     pairs = common.save(pairs.distinct(), "jaccard-pairs")
-    common.forget(blocks)
-    common.release(spark)
-    parts = common.components(pairs, "jaccard-parts")
+    common.forget(blocks, lists)
+    common.release(base.sparkSession)
+    parts = common.save(common.components(pairs.filter("kind = 1").select("a", "b"), "jaccard-parts"), "jaccard-parts")
     sizes = parts.groupBy("label").agg(F.count("*").alias("m"))
-    placed = pairs.join(parts.withColumnRenamed("node", "a"), "a").join(sizes, "label")
+    found = pairs.filter("kind = 0").select("a", "b")
+    placed = found.join(parts.withColumnRenamed("node", "a"), "a").join(sizes, "label")
     at = lambda c: F.pmod(F.xxhash64(c), F.ceil(F.col("m") / CHUNK_DOCS))
     # Small components share groups, as a group costs a call; large ones are split into pairs of chunks.
-    few = max(1, -(-int(pairs.count()) // 4_000))
+    few = max(1, -(-int(found.count()) // 4_000))
     whole = F.pmod(F.xxhash64("label"), F.lit(few))
     split = F.xxhash64("label", F.least(at("a"), at("b")), F.greatest(at("a"), at("b")))
     placed = common.save(placed.select("a", "b", F.when(F.col("m") <= CHUNK_DOCS, whole).otherwise(split).alias("g")), "jaccard-placed")
-    needed = placed.select(F.col("g").alias("part"), F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "doc_id", "text_hash"), "cls")
-    t = base.alias("t")
+    needed = placed.select(F.col("g").alias("part"), F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "doc_id", "text_hash", "copies"), "cls")
+    bit = needed.select(F.col("text_hash").bitwiseAND((1 << MAP_BITS) - 1).alias("bit")).distinct()
+    bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    for r in bit.groupBy(F.shiftright("bit", 16)).applyInArrow(_bits, "part long, bits binary").collect():
+        bits[r["part"] << 13 : (r["part"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
+    t = base.mapInArrow(_needed(bits), base.schema).alias("t")
     n = needed.alias("n")
-    texts = t.join(n, (F.col("t.text_hash") == F.col("n.text_hash")) & F.col("t.doc_id").eqNullSafe(F.col("n.doc_id"))).select("n.part", "n.cls", "t.text")
-    links = common.save(texts.groupBy("part").cogroup(placed.groupBy("g")).applyInArrow(_verify(width, num, den), "a long, b long"), "jaccard-links")
-    common.forget(placed, pairs)
-    common.release(spark)
-    return members.select("doc_id", "cls", "n"), links
+    texts = t.join(n, (F.col("t.text_hash") == F.col("n.text_hash")) & F.col("t.doc_id").eqNullSafe(F.col("n.doc_id"))).select("n.part", "n.cls", "n.copies", "t.text")
+    links = common.save(texts.groupBy("part").cogroup(placed.groupBy("g")).applyInArrow(_verify(width, num, den), "kind int, a long, b long"), "jaccard-links")
+    common.forget(placed, pairs, parts)
+    common.release(base.sparkSession)
+    return members.select("doc_id", "cls", "n"), classes.select("cls", "copies", "least"), links
 
 
 def jaccard_join(docs: DataFrame, num: int = 70, den: int = 100, width: int = 3) -> DataFrame:
@@ -421,11 +521,9 @@ def jaccard_join(docs: DataFrame, num: int = 70, den: int = 100, width: int = 3)
     n_similar counts the other documents whose sets have Jaccard similarity num/den or more, copies included;
     component_id is the smallest doc_id that links reach.
     """
-    members, links = jaccard_links(docs, num, den, width)
-    classes = members.filter("n > 0").groupBy("cls").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = both.join(classes.select(F.col("cls").alias("b"), "copies"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("copies").alias("others"))
-    parts = common.components(links, "jaccard-components")
+    members, classes, links = jaccard_links(docs, num, den, width)
+    linked = links.filter("kind = 2").groupBy(F.col("a").alias("cls")).agg(F.sum("b").alias("others"))
+    parts = common.components(links.filter("kind = 1").select("a", "b"), "jaccard-components")
     roots = parts.withColumnRenamed("node", "cls").join(classes, "cls")
     named = roots.join(roots.groupBy("label").agg(F.min("least").alias("root")), "label").select("cls", "root")
     known = classes.join(linked, "cls", "left").join(named, "cls", "left").select(

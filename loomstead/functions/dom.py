@@ -199,6 +199,7 @@ def normalize(root: Node, profile: tuple[str, ...] = ()) -> Node:
 # --- segmentation
 
 BASE_IMPORTANCE = {"heading": 0.9, "paragraph": 0.7, "table": 0.8, "code": 0.7, "list": 0.6, "quote": 0.5, "figure_caption": 0.6, "image": 0.5, "faq": 0.5}
+_LISTS = frozenset("dl ol ul".split())
 _KIND = {**{f"h{k}": "heading" for k in range(1, 7)}, "p": "paragraph", "ul": "list", "ol": "list", "dl": "list", "table": "table", "pre": "code", "code": "code", "blockquote": "quote", "figure": "figure_caption", "figcaption": "figure_caption", "img": "image", "details": "faq"}
 
 
@@ -241,7 +242,7 @@ def list_items(n: Node) -> list[str]:
             elif c.tag == "dd":
                 out.append(f"{term}: {squeeze(c.text())}")
         return out
-    return [t for c in n.elements if c.tag == "li" and (t := squeeze(c.text(frozenset(("ul", "ol", "dl")))))]
+    return [t for c in n.elements if c.tag == "li" and (t := squeeze(c.text(_LISTS)))]
 
 
 def _language(n: Node) -> str | None:
@@ -265,13 +266,13 @@ def blocks(root: Node) -> list[dict]:
         kind = _KIND.get(n.tag)
         if kind is None or (n.tag == "code" and n.parent.tag == "pre") or (n.tag == "figcaption" and n.parent.tag == "figure"):
             continue
-        if kind == "list" and any(a.tag in ("ul", "ol", "dl") for a in n.ancestors()):
+        if kind == "list" and any(a.tag in _LISTS for a in n.ancestors()):
             continue
         level, meta = None, {}
         if kind == "table":
             headers, rows, meta_rows, meta_cols = table_data(n)
             text = "\n".join(" | ".join(r) for r in ([headers] if headers else []) + rows)
-            meta = {"headers": headers, "rows": rows, "row_count": meta_rows, "col_count": meta_cols}
+            meta = dict(row_count=meta_rows, col_count=meta_cols, headers=headers, rows=rows)
         elif kind == "list":
             items = list_items(n)
             text, meta = "\n".join(items), {"items": items, "ordered": n.tag == "ol"}
@@ -405,7 +406,7 @@ def actions(root: Node) -> list[dict]:
             "may_navigate": kind == "navigate", "may_download": "download" in n.attrs, "may_open_modal": modal, "target_url": n.get("href") if kind == "navigate" else None,
             "group": "navigation" if kind in ("navigate", "download") else "interaction" if kind == "click" else "form", "value_schema": {}, "required_fields": [],
         })
-    controls = ("input", "select", "toggle", "upload", "submit")
+    controls = frozenset("submit upload toggle select input".split())
     forms: dict[int, list[dict]] = {}
     for a in found:
         if a["form"] is not None:

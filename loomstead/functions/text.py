@@ -57,7 +57,7 @@ def tokens_by_length(text: Column | str) -> Column:
 
 
 def title_tag(html: Column | str) -> Column:
-    return F.trim(F.regexp_extract(c(html), r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return F.trim(F.regexp_extract(c(html), r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1))
 
 
 def looks_binary(text: Column | str) -> Column:
@@ -67,7 +67,7 @@ def looks_binary(text: Column | str) -> Column:
 
 
 def looks_html(text: Column | str) -> Column:
-    return c(text).rlike("<[a-zA-Z][^>]*>")
+    return c(text).rlike("<[A-Za-z][^>]*>")
 
 
 def looks_json(text: Column | str) -> Column:
@@ -145,7 +145,7 @@ def redact_headers(headers: Column | str) -> Column:
 
 
 def sentences(text: Column | str) -> Column:
-    return F.split(F.trim(c(text)), r"(?<=[.!?])\s+")
+    return F.split(F.trim(c(text)), r"(?<=[!?.])\s+")
 
 
 def block_summary(text: Column | str) -> Column:
@@ -163,19 +163,20 @@ def evidence_score(kind: Column, text: Column, has_entities: Column, has_provena
 
 # --- entities, as array<string> per type
 
-MONTH = "(?:January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
-UNITS = "mm|cm|km|kg|mg|ml|ft|yd|mi|lb|oz|px|pt|em|rem|GB|MB|KB|TB|in|m|g|l|L|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|requests?|items?|users?|pages?|files?|bytes?"
+_MONTHS = tuple("December November October September August July June May April March February January".split())
+MONTH = "(?:" + "|".join(_MONTHS + tuple(m[:3] for m in _MONTHS)) + ")"
+UNITS = "|".join("bytes? files? pages? users? items? requests? years? months? weeks? days? secs? seconds? mins? minutes? hrs? hours? TB KB MB GB rem em pt px L l ml oz lb kg g mg mi yd ft in km m cm mm".split())
+_N = "[0-9]"
 ENTITY: dict[str, list[str]] = {
-    "date": [rf"(?i)\b{MONTH}\s+\d{{1,2}}(?:,?\s+\d{{4}})?\b", r"\b\d{4}-\d\d-\d\d\b", r"\b\d{1,2}/\d{1,2}/\d{4}\b"],
-    "price": [r"[$€£¥]\s?\d[\d,]*(?:\.\d{1,2})?"],
-    "email": [r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"],
-    "url": [r"https?://[^\s<>\"')\]]+"],
-    "phone": [r"(?:\+\d{1,3}[-.\s]?)?(?:\(?\d{2,4}\)?[-.\s])?\d{2,4}[-.\s]\d{3,4}(?:[-.\s]\d{3,4})?"],
-    "percentage": [r"\b\d+(?:\.\d+)?%"],
-    "number_with_unit": [rf"\b\d[\d,]*(?:\.\d+)?\s?(?:{UNITS})\b"],
+    "date": [rf"(?i)\b{MONTH}\s+{_N}{_N}?(?:,?\s+{_N}{{4}})?\b", rf"\b{_N}{{4}}-{_N}{_N}-{_N}{_N}\b", rf"\b{_N}{_N}?/{_N}{_N}?/{_N}{{4}}\b"],
+    "price": [rf"[€$¥£]\s?{_N}[0-9,]*(?:[.]{_N}{_N}?)?"],
+    "email": [r"\b[\w.%+-]+@(?:[^\W_]|[.-])+[.](?:[a-z]|[A-Z]){2,}\b"],
+    "url": [r"https?://[^)\]'\"<>\s]+"],
+    "phone": [rf"(?:[+]{_N}{{1,3}}[\s.-]?)?(?:[(]?{_N}{{2,4}}[)]?[\s.-])?{_N}{{2,4}}[\s.-]{_N}{{3,4}}(?:[\s.-]{_N}{{3,4}})?"],
+    "percentage": [rf"\b{_N}+(?:[.]{_N}+)?%"],
+    "number_with_unit": [rf"\b{_N}[0-9,]*(?:[.]{_N}+)?\s?(?:{UNITS})\b"],
 }
 
-
 def entities(text: Column | str, kind: str) -> Column:
     found = [F.regexp_extract_all(c(text), F.lit(p), F.lit(0)) for p in ENTITY[kind]]
     return F.concat(*found) if len(found) > 1 else found[0]
@@ -184,7 +185,7 @@ def entities(text: Column | str, kind: str) -> Column:
 # --- salience
 
 TYPE_WEIGHT = {"heading": 0.9, "paragraph": 0.7, "table": 0.8, "code": 0.7, "list": 0.6, "quote": 0.5, "figure_caption": 0.6, "image": 0.5, "product_spec": 0.9, "faq": 0.7, "metadata": 0.3}
-_DATES = r"(?i)\b(?:19\d\d|20\d\d|January|February|March|April|May|June|July|August|September|October|November|December)\b"
+_DATES = r"(?i)\b(?:19\d\d|20\d\d|" + "|".join(_MONTHS) + r")\b"
 
 
 def length_score(text: Column) -> Column:
@@ -192,7 +193,7 @@ def length_score(text: Column) -> Column:
 
 
 def entity_density(text: Column) -> Column:
-    n = F.regexp_count(text, F.lit(r"\d+")) + F.regexp_count(text, F.lit(_DATES)) + F.regexp_count(text, F.lit(r"\b[A-Z][a-z]{2,}\b"))
+    n = F.regexp_count(text, F.lit(r"\d+")) + F.regexp_count(text, F.lit(_DATES)) + F.regexp_count(text, F.lit(r"\b[A-Z][a-z][a-z]+\b"))
     return F.when(F.length(text) == 0, 0.0).otherwise(2 / (1 + F.exp(-100.0 * n / F.length(text))) - 1)
 
 

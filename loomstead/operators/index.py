@@ -74,7 +74,8 @@ def query_terms(query: str) -> dict[str, int]:
 
 
 def idf(n: Column, df: Column) -> Column:
-    return F.ln((n - df + 0.5) / (df + 0.5) + 1)
+    without = n - df
+    return F.log1p((without + 0.5) / (0.5 + df))
 
 
 def _part(tf: Column, dl: Column, avgdl: Column) -> Column:

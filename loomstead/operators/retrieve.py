@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F

@@ -65,7 +65,7 @@ def _docs(t) -> DataFrame:
 
 
 @query("""SELECT page_id, 'sha256:' || substr(sha256(html), 1, 16) AS doc_id, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1) AS site_id,
- trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages""")
+ trim(regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1)) AS title FROM pages""")
 def page_ids(t):
     return t("pages").select("page_id", X.doc_id("html").alias("doc_id"), X.site_id("url").alias("site_id"), X.title_tag("html").alias("title"))
 
@@ -153,7 +153,7 @@ def api_from_trace(t):
 
 @query(r"""WITH h AS (SELECT page_id, regexp_extract_all(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS hs FROM pages),
 x AS (SELECT page_id, trim(regexp_replace(unnest(hs), '\s+', ' ', 'g')) AS t FROM h)
-SELECT page_id, count(*) AS headings, sum(length(regexp_replace(t, '[^a-zA-Z]', '', 'g')))::BIGINT AS letters FROM x WHERE t <> '' GROUP BY page_id""")
+SELECT page_id, count(*) AS headings, sum(length(regexp_replace(t, '&[a-z]+;|[^a-zA-Z]', '', 'g')))::BIGINT AS letters FROM x WHERE t <> '' GROUP BY page_id""")
 def page_headings(t):
     p = t("pages").select(F.col("page_id").cast("string").alias("doc_id"), "html")
     b = parse.blocks(p, clean=False).filter("type = 'heading'")
@@ -326,7 +326,7 @@ def entity_counts(t):
     return d.select("doc_id", F.explode(every).alias("e")).groupBy("doc_id", "e.kind").agg(F.count("*").alias("n"), F.min("e.v").alias("least"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, length(text) AS n, len(regexp_extract_all(text, '\d+')) + len(regexp_extract_all(text, '(?i)\b(?:19\d\d|20\d\d|January|February|March|April|May|June|July|August|September|October|November|December)\b')) + len(regexp_extract_all(text, '\b[A-Z][a-z]{2,}\b')) AS c FROM documents WHERE text = regexp_replace(text, '[^\x00-\x7F]', '', 'g'))
+@query(r"""WITH d AS (SELECT doc_id, length(text) AS n, len(regexp_extract_all(text, '\d+')) + len(regexp_extract_all(text, '""" + X._DATES + r"""')) + len(regexp_extract_all(text, '\b[A-Z][a-z][a-z]+\b')) AS c FROM documents WHERE text = regexp_replace(text, '[^\x00-\x7F]', '', 'g'))
 SELECT doc_id, round(1 / (1 + exp(-(n - 100) / 50.0)), 6) AS length_score, round(CASE WHEN n = 0 THEN 0 ELSE 2 / (1 + exp(-100.0 * c / n)) - 1 END, 6) AS density FROM d""")
 def salience_features(t):
     x = F.col("text")

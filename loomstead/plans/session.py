@@ -57,8 +57,8 @@ class Session:
     def plan(self, query: str) -> retrieve.Plan:
         return retrieve.plan(self.spark, query)
 
-    def search_blocks(self, query: str, top_k: int = 10, **filters) -> DataFrame:
-        return retrieve.search(self.blocks, query, top_k, self.plan(query).intent, index.block_filter(**filters))
+    def search_blocks(self, query: str, limit: int = 10, **filters) -> DataFrame:
+        return retrieve.search(self.blocks, query, limit, self.plan(query).intent, index.block_filter(**filters))
 
     def search_actions(self, query: str, top_k: int = 10) -> DataFrame:
         text = F.concat_ws(" ", "label", "role")
@@ -140,8 +140,9 @@ class PluginRegistry:
     def unregister(self, name: str) -> None:
         self._plugins.pop(name, None)
 
-    def get(self, name: str) -> object | None:
-        return self._plugins.get(name, (None,))[0]
+    def get(self, name: str):
+        """The plugin, or None."""
+        return self._plugins[name][0] if name in self._plugins else None
 
     def discover(self, capability: str) -> list[str]:
         return sorted(n for n, (_, c) in self._plugins.items() if capability in c)

@@ -71,7 +71,7 @@ def walk_json(value: object) -> tuple[str, list[dict]]:
             emit("paragraph", v, 0.5, path)
 
     walk(value, 0, [])
-    title = next((str(value[k]) for k in ("title", "name", "label", "heading") if isinstance(value, dict) and isinstance(value.get(k), str) and value[k]), "")
+    title = next((str(value[k]) for k in "title name label heading".split() if isinstance(value, dict) and isinstance(value.get(k), str) and value[k]), "")
     return title, out
 
 

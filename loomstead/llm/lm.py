@@ -5,8 +5,8 @@ joined back, and per document the log scores of its words are summed. A word's s
 counted at least `min_count` times, else `backoff` times its score with a context one word shorter, down to count / total.
 
 Both directions of that join are packed: documents fall into blocks by a hash of their text; a block sends each range of
-hashes its distinct n-grams with their counts in it (16 bytes or less each, sums made before the shuffle), and gets
-back only those whose count in the corpus isn't the block's own. What is sent grows with the corpus; a range's table is one task of bounded size; no n-gram, block or document is in more than one group, and
+hashes its distinct n-grams with their counts in it (9 bytes or so each, sums made before the shuffle), and gets
+back their counts in the corpus in the same order, a byte each but for high ones. What is sent grows with the corpus; a range's table is one task of bounded size; no n-gram, block or document is in more than one group, and
 a frequent n-gram is one row per block at most.
 
 Edge cases: null or blank text has no words, score 0 and a null mean; a text shorter than the order uses shorter contexts; n-grams don't cross documents; repeated
@@ -24,7 +24,7 @@ from . import common
 from . import textkernel as K
 
 _U = np.uint64
-BLOCK_BYTES, RANGE_ROWS = 12_000_000, 2_000_000
+BLOCK_BYTES, RANGE_ROWS = 7_000_000, 2_000_000
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray, order: int):
@@ -40,8 +40,8 @@ def _grams(data: np.ndarray, offsets: np.ndarray, order: int):
         yield w, ends
 
 
-def count_words(docs: DataFrame) -> int:
-    """Words of all texts."""
+def count_words(docs: DataFrame) -> tuple[int, int]:
+    """Words and bytes of all texts."""
 
     def run(batches):
         for batch in batches:
@@ -52,9 +52,10 @@ def count_words(docs: DataFrame) -> int:
             at = np.unique(offsets[1:-1])
             at = at[(at > 0) & (at < len(data))]
             extra = int((word[at] & word[at - 1]).sum()) if len(at) else 0
-            yield pa.RecordBatch.from_arrays([pa.array([int(starts.sum()) + extra])], names=["n"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(starts.sum()) + extra]), pa.array([len(data)])], names=["n", "size"])
 
-    return int(docs.select("text").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0)
+    r = docs.select("text").mapInArrow(run, "n long, size long").agg(F.sum("n"), F.sum("size")).first()
+    return int(r[0] or 0), int(r[1] or 0)
 
 
 def _counted(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,37 +98,32 @@ def _unpack(few: bytes, many: bytes) -> np.ndarray:
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """For each block of a range: its n-grams that others hold too, with the counts of all."""
+    """For each block of a range: the counts in the corpus of the n-grams it sent, in the order it sent them."""
     hs = [np.frombuffer(x, np.uint64) for x in table["grams"].to_pylist()]
     cs = [_unpack(a, b) for a, b in zip(table["few"].to_pylist(), table["many"].to_pylist())]
-    blocks = table["block"].to_numpy()
     h, c = np.concatenate(hs), np.concatenate(cs)
-    who = np.repeat(np.arange(len(hs)), [len(x) for x in hs])
+    edges = np.concatenate([[0], np.cumsum([len(x) for x in hs])])
     order = np.argsort(h, kind="stable")
-    h, c, who = h[order], c[order], who[order]
-    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    sizes = np.diff(np.concatenate([at, [len(h)]]))
-    total = np.repeat(np.add.reduceat(c, at), sizes) if len(h) else c
-    keep = np.repeat(sizes > 1, sizes)
-    h, total, who = h[keep], total[keep], who[keep]
-    order = np.argsort(who, kind="stable")
-    h, total, who = h[order], total[order], who[order]
-    edges = np.searchsorted(who, np.arange(len(hs) + 1))
-    some = np.flatnonzero(np.diff(edges))
-    cut = [(h[edges[k] : edges[k + 1]], total[edges[k] : edges[k + 1]]) for k in some]
+    at = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]])) if len(h) else np.zeros(0, np.int64)
+    total = np.empty(len(h), np.int64)
+    if len(h):
+        total[order] = np.repeat(np.add.reduceat(c[order], at), np.diff(np.concatenate([at, [len(h)]])))
+    cut = [total[lo:hi] for lo, hi in zip(edges[:-1], edges[1:])]
     return pa.table({
-        "block": pa.array(blocks[some], pa.int64()), "grams": pa.array([a.tobytes() for a, _ in cut], pa.binary()),
-        "few": pa.array([np.minimum(t, 255).astype(np.uint8).tobytes() for _, t in cut], pa.binary()), "many": pa.array([t[t >= 255].astype(np.int64).tobytes() for _, t in cut], pa.binary()),
+        "block": table["block"], "range": table["range"], "few": pa.array([np.minimum(t, 255).astype(np.uint8).tobytes() for t in cut], pa.binary()),
+        "many": pa.array([t[t >= 255].tobytes() for t in cut], pa.binary()),
     })
 
 
 def _score(order: int, min_count: int, backoff: float, words_total: int):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         np.seterr(over="ignore", divide="ignore")
-        known, count = _counted(docs, order)
-        count = count.astype(np.int64)
-        for g, few, many in zip(answers["grams"].to_pylist(), answers["few"].to_pylist(), answers["many"].to_pylist()):
-            count[np.searchsorted(known, np.frombuffer(g, np.uint64))] = _unpack(few, many)
+        known, _ = _counted(docs, order)
+        # Ranges ascend with hashes, and so do n-grams within a range.
+        parts = answers.sort_by("range")
+        count = np.concatenate([np.zeros(0, np.int64), *[_unpack(few, many) for few, many in zip(parts["few"].to_pylist(), parts["many"].to_pylist())]])
+        if len(count) != len(known):
+            raise ValueError("a block's n-grams were answered in part")
         n_words = np.zeros(len(docs), np.int64)
         sums = np.zeros(len(docs))
         hits = np.zeros((len(docs), order), np.int64)
@@ -156,11 +152,10 @@ def _score(order: int, min_count: int, backoff: float, words_total: int):
 def score_documents(docs: DataFrame, order: int = 2, min_count: int = 2, backoff: float = 0.4) -> DataFrame:
     """doc_id, n_words, log_score, mean_log_score, n_highest (words scored by the highest order): one row per document."""
     base = common.pick(docs, doc_id="long", text="string")
-    size = 3 * max(1, common.size_hint(base))
+    total, size = count_words(base)
     blocks = max(1, -(-size // BLOCK_BYTES))
-    ranges = max(1, -(-size // 10 * order // RANGE_ROWS))
+    ranges = max(1, -(-total * order // RANGE_ROWS))
     base = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
-    total = count_words(base)
     sent = base.groupBy("block").applyInArrow(_send(ranges, order), "range int, block long, grams binary, few binary, many binary")
-    answers = sent.groupBy("range").applyInArrow(_answer, "block long, grams binary, few binary, many binary")
+    answers = sent.groupBy("range").applyInArrow(_answer, "block long, range int, few binary, many binary")
     return base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(order, min_count, backoff, max(total, 1)), "doc_id long, n_words long, log_score double, mean_log_score double, n_highest long")

@@ -337,14 +337,21 @@ def test_shards(spark, docs, rows):
         groups[own[r.doc_id]].add(r.shard)
         bytes_of[own[r.doc_id]] += r["size"]
     total = sum(bytes_of.values())
-    assert all(len(s) == 1 for t, s in groups.items() if bytes_of[t] * 8 * 64 < total)
+    n = Counter(own.values())
+    # A group stays whole unless its bytes or rows exceed 1/64 of a shard.
+    assert all(len(s) == 1 for t, s in groups.items() if bytes_of[t] * 8 * 64 < total and n[t] * 8 * 64 < len(rows))
 
 
 def test_shards_odd_rows_and_hot_group(spark):
     check_shards(shard.shard_documents(frame(spark)).collect(), ODD)
     assert shard.shard_documents(empty_docs(spark)).count() == 0
-    rows = [(k, "hot text " * 5 if k % 3 == 0 else f"text {k} " * 5) for k in range(3000)]
-    sizes = check_shards(shard.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+    rows = [(k, "hot text " * 5 if k % 3 == 0 else f"text {k // 3} " * 5) for k in range(3000)]
+    got = shard.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sizes = check_shards(got, rows)
+    own, pairs = dict(rows), defaultdict(set)
+    for r in got:
+        pairs[own[r.doc_id]].add(r.shard) if r.doc_id % 3 else None
+    assert len(pairs) == 1000 and all(len(x) == 1 for x in pairs.values())
     assert max(sizes.values()) < 1.05 * min(sizes.values())
 
 

@@ -1,6 +1,7 @@
 """Every operator against a brute-force version, an exact round trip or held-out accuracy, and on odd rows."""
 
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -112,6 +113,19 @@ def test_license_scan(spark):
     assert (None, "MIT-line") in got and {k for k, _ in got} == {1, 2, 6, None}
 
 
+def test_license_scan_judges_the_whole_mit_grant(spark):
+    mit, opening = license_scan.TEMPLATES["MIT"], license_scan.TEMPLATES["MIT-line-2"]
+    body = mit.removeprefix(opening)
+    other = f"{opening} or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software"
+    rows = [(1, f"prose before. {mit} prose after"), (2, mit.upper().replace("WITHOUT RESTRICTION", "")), (3, body), (4, f"We grant everybody free of cost {body}"), (5, other), (6, opening)]
+    got = {(r.doc_id, r.template): r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n = len(re.findall("[a-z0-9]+", mit.lower()))
+    assert n == 87 and got[1, "MIT"].coverage == 1 and (got[1, "MIT"].first_word, got[1, "MIT"].last_word) == (2, n + 1)
+    assert 0.9 < got[2, "MIT"].coverage < 1
+    assert got[3, "MIT"].coverage > 0.85 and got[4, "MIT"].coverage > 0.85
+    assert {k for k in got if k[0] > 4} == {(5, "MIT-line-2"), (6, "MIT-line-2")}
+
+
 def test_license_scan_finds_every_line(spark, docs, rows):
     got = {(r.doc_id, r.template) for r in license_scan.scan_licenses(docs).collect()}
     want = {(d, name) for d, text, *_ in rows for name, line in license_scan.TEMPLATES.items() if name.endswith("-line") and line in (text or "")}

@@ -123,11 +123,24 @@ h0 AS (SELECT DISTINCT o_orderkey AS s FROM orders WHERE o_custkey = 1), h1 AS (
 h2 AS (SELECT DISTINCT t AS s FROM g JOIN h1 ON f = s WHERE t NOT IN (SELECT s FROM h0) AND t NOT IN (SELECT s FROM h1))
 SELECT s AS state, 0 AS hops FROM h0 UNION ALL SELECT s, 1 FROM h1 UNION ALL SELECT s, 2 FROM h2""")
 def reachable_states(t):
-    e = t("lineitem").filter("l_suppkey <= 5").select(F.col("l_orderkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
+    return _within_two_hops(t, t("lineitem").filter("l_suppkey <= 5"))
+
+
+def _within_two_hops(t, lines: DataFrame) -> DataFrame:
+    e = lines.select(F.col("l_orderkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
     edges = e.select(F.col("a").alias("from_state"), (-F.col("b")).alias("to_state")).unionByName(e.select((-F.col("b")).alias("from_state"), F.col("a").alias("to_state")))
     return graph.reachable(edges, t("orders").filter("o_custkey = 1").select(F.col("o_orderkey").alias("state")), 2)
 
 
+# The SQL above fixes reachable_states to suppliers 1 to 5; this is the search of the whole graph.
+@query("""WITH e AS (SELECT DISTINCT l_orderkey AS a, l_suppkey AS b FROM lineitem), g AS (SELECT a AS f, -b AS t FROM e UNION SELECT -b, a FROM e),
+h0 AS (SELECT DISTINCT o_orderkey AS s FROM orders WHERE o_custkey = 1), h1 AS (SELECT DISTINCT t AS s FROM g JOIN h0 ON f = s WHERE t NOT IN (SELECT s FROM h0)),
+h2 AS (SELECT DISTINCT t AS s FROM g JOIN h1 ON f = s WHERE t NOT IN (SELECT s FROM h0) AND t NOT IN (SELECT s FROM h1))
+SELECT s AS state, 0 AS hops FROM h0 UNION ALL SELECT s, 1 FROM h1 UNION ALL SELECT s, 2 FROM h2""")
+def reachable_states_all(t):
+    return _within_two_hops(t, t("lineitem"))
+
+
 _TRACE = """(SELECT event_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 'POST' ELSE 'GET' END AS method,
  CASE WHEN user_id % 3 = 0 THEN 'https://h' || (user_id % 7) || '.example.com/api/' || event_type || '?k=1&u=2' ELSE 'https://h' || (user_id % 7) || '.example.com/p/' || event_type END AS url,
  CASE WHEN event_id % 10 = 0 THEN 500 ELSE 200 END AS status, CASE WHEN event_id % 4 = 0 THEN 'application/json; charset=utf-8' ELSE 'text/html' END AS ct FROM events)"""

@@ -259,5 +259,12 @@ def test_query_equals_sql(spark, sf, name):
     same(spark, sf, connection(sf), catalog.queries()[name], catalog.oracle_sql()[name])
 
 
+def test_reachable_states_all_uses_every_line(spark, tmp_path):
+    spark.createDataFrame([(1, 9), (2, 9), (2, 7), (3, 7), (4, 1)], "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 4)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {tuple(r) for r in catalog.queries()["reachable_states_all"](spark, str(tmp_path)).select("state", "hops").collect()}
+    assert got == {(1, 0), (-9, 1), (2, 2)}
+
+
 def test_flagship(spark, sf):
     assert catalog.flagship(spark, sf).count() > 0

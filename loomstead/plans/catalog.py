@@ -334,16 +334,36 @@ def _tagged(kind: str):
 
 @query("SELECT doc_id, kind, count(*) AS n, min(v) AS least FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}')) AS v FROM documents" for k, ps in _KINDS.items() for p in ps) + ") GROUP BY doc_id, kind")
 def entity_counts(t):
+    return _entities(t, _KINDS)
+
+
+def _entities(t, kinds) -> DataFrame:
     d = t("documents")
-    every = F.flatten(F.array(*[F.transform(X.entities("text", k), _tagged(k)) for k in _KINDS]))
+    every = F.flatten(F.array(*[F.transform(X.entities("text", k), _tagged(k)) for k in kinds]))
     return d.select("doc_id", F.explode(every).alias("e")).groupBy("doc_id", "e.kind").agg(F.count("*").alias("n"), F.min("e.v").alias("least"))
 
 
+# The SQL above fixes entity_counts to the kinds that both engines' regexes read alike; this has all, dates and phones too.
+@query()
+def entity_counts_all(t):
+    return _entities(t, X.ENTITY)
+
+
 @query(r"""WITH d AS (SELECT doc_id, length(text) AS n, len(regexp_extract_all(text, '\d+')) + len(regexp_extract_all(text, '""" + X._DATES + r"""')) + len(regexp_extract_all(text, '\b[A-Z][a-z][a-z]+\b')) AS c FROM documents WHERE text = regexp_replace(text, '[^\x00-\x7F]', '', 'g'))
 SELECT doc_id, round(1 / (1 + exp(-(n - 100) / 50.0)), 6) AS length_score, round(CASE WHEN n = 0 THEN 0 ELSE 2 / (1 + exp(-100.0 * c / n)) - 1 END, 6) AS density FROM d""")
 def salience_features(t):
+    return _salience(t("documents").filter(~F.col("text").rlike(r"[^\x00-\x7F]")))
+
+
+def _salience(docs: DataFrame) -> DataFrame:
     x = F.col("text")
-    return t("documents").filter(~x.rlike(r"[^\x00-\x7F]")).select("doc_id", F.round(X.length_score(x), 6).alias("length_score"), F.round(X.entity_density(x), 6).alias("density"))
+    return docs.select("doc_id", F.round(X.length_score(x), 6).alias("length_score"), F.round(X.entity_density(x), 6).alias("density"))
+
+
+# The SQL above fixes salience_features to ASCII texts, as word boundaries differ beyond them; this has all documents.
+@query()
+def salience_features_all(t):
+    return _salience(t("documents"))
 
 
 @query("""SELECT doc_id, round(least(1.0, 0.3 + CASE WHEN regexp_matches(text, '[$€£¥]\\s?\\d|\\d%') THEN 0.15 ELSE 0 END + 0.1 + CASE WHEN length(text) > 200 THEN 0.1 WHEN length(text) > 50 THEN 0.05 ELSE 0 END)::DOUBLE, 6) AS evidence FROM documents""")

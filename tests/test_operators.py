@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -266,5 +267,39 @@ def test_reachable_states_all_uses_every_line(spark, tmp_path):
     assert got == {(1, 0), (-9, 1), (2, 2)}
 
 
+def _texts(spark, sf, tmp_path):
+    """Documents and some odd ones: letters beyond ASCII next to words and numbers, dates, phones."""
+    odd = ["Straße Größe 1999 Émile März", "née May5 Mai 2020ä äMay", "On March 15, 2026 or 15/03/2026 call +1-555-123-4567 für 30 days", "", None]
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    d.unionByName(spark.createDataFrame(list(enumerate(odd, 10_000_000)), "doc_id long, text string")).write.parquet(f"{tmp_path}/documents.parquet")
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
+
+
+def test_salience_features_all_against_python(spark, sf, tmp_path):
+    texts = _texts(spark, sf, tmp_path)
+    months = "January|February|March|April|May|June|July|August|September|October|November|December"
+    got = {r.doc_id: (r.length_score, r.density) for r in catalog.queries()["salience_features_all"](spark, str(tmp_path)).collect()}
+    assert got.keys() == texts.keys() and sum(not (x or "").isascii() for x in texts.values()) > 70
+    for d, x in texts.items():
+        if x is None:
+            assert got[d] == (None, None)
+            continue
+        n = len(re.findall(r"[0-9]+", x)) + len(re.findall(rf"(?i)\b(?:19[0-9][0-9]|20[0-9][0-9]|{months})\b", x)) + len(re.findall(r"\b[A-Z][a-z][a-z]+\b", x))
+        want = (1 / (1 + math.exp(-(len(x) - 100) / 50)) if len(x) < 30_000 else 1, 2 / (1 + math.exp(-100 * n / len(x))) - 1 if x else 0)
+        assert got[d] == pytest.approx(want, abs=2e-6), (d, x[:80])
+
+
+def test_entity_counts_all_against_python(spark, sf, tmp_path):
+    texts = _texts(spark, sf, tmp_path)
+    got = {(r.doc_id, r.kind): (r.n, r.least) for r in catalog.queries()["entity_counts_all"](spark, str(tmp_path)).collect()}
+    want = {}
+    for d, x in texts.items():
+        for kind, patterns in X.ENTITY.items():
+            found = [m.group() for p in patterns for m in re.finditer(p, x or "")]
+            if found:
+                want[d, kind] = (len(found), min(found))
+    assert {"date", "phone"} <= {k for _, k in got} and got == want
+
+
 def test_flagship(spark, sf):
     assert catalog.flagship(spark, sf).count() > 0

@@ -58,7 +58,7 @@ def action_graph(docs: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFr
     """(states, transitions): a state per document, linked across documents by URL; unknown targets are placeholders."""
     states = docs.select(F.concat(F.lit("state_"), F.substring(F.sha2("doc_id", 256), 1, 12)).alias("state_id"), "doc_id", "url", "title", F.lit(False).alias("placeholder"))
     target = states.groupBy(F.col("url").alias("target_url")).agg(F.max("state_id").alias("known"))
-    own = states.select("doc_id", F.col("state_id").alias("from_state"))
+    own = states.select("doc_id", F.col("state_id").alias("from_state")).distinct()  # a document may have several URLs
     e = effect(F.col("type"), F.col("role"), F.col("may_navigate"), F.col("may_download"), F.col("may_open_modal"))
     t = actions.join(own, "doc_id").join(target, "target_url", "left")
     to = F.coalesce("known", F.when(F.col("target_url").isNotNull(), F.concat(F.lit("state_"), F.substring(F.sha2("target_url", 256), 1, 12))).otherwise(F.col("from_state")))
@@ -129,7 +129,7 @@ def decide(actions: DataFrame, candidates: DataFrame, threshold: float = 0.7) ->
     own = F.col("c_action") == F.col("action_id")
     near = F.col("target_url").isNotNull() & (F.col("endpoint").contains(F.col("target_url")) | F.col("target_url").contains(F.col("endpoint")))
     ranked = both.withColumn("rank", F.when(own, 0).when(near, 1).otherwise(2))
-    best = first_of(ranked, ["doc_id", "action_id"], "rank", F.desc("c_conf"), "c_action")
+    best = first_of(ranked, ["doc_id", "action_id"], "rank", F.desc("c_conf"), "c_action", "endpoint")
     has = F.col("rank") < 2
     safe = (F.col("safety") == "read_only") & (F.col("c_conf") >= 0.7)
     mode = F.when(has & safe, "api").when(has & F.col("safety").isin("write", "auth_required"), "confirm").when(has & (F.col("c_conf") >= threshold), "api").otherwise("browser")

@@ -173,14 +173,16 @@ def page_headings(t):
     return b.groupBy(F.col("doc_id").cast("long").alias("page_id")).agg(F.count("*").alias("headings"), F.sum(F.length(F.regexp_replace("text", "[^a-zA-Z]", ""))).alias("letters"))
 
 
-def _parsed(t) -> tuple[DataFrame, DataFrame]:
-    p = t("pages").select(X.doc_id("html").alias("doc_id"), X.site_id("url").alias("site_id"), "url", "html").dropDuplicates(["doc_id"])
-    return p, parse.blocks(p)
+def _parsed(t) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One page per html, by first URL, to be parsed; its blocks; and every page (doc_id, site_id, url, title), as equal html may lie at many URLs."""
+    every = t("pages").select(X.doc_id("html").alias("doc_id"), X.site_id("url").alias("site_id"), "url", "html")
+    p = session.one_page(every)
+    return p, parse.blocks(p), every.select("doc_id", "site_id", "url", X.title_tag("html").alias("title")).distinct()
 
 
 @query()
 def page_blocks(t):
-    p, b = _parsed(t)
+    p, b, _ = _parsed(t)
     return session.scored_blocks(p, b).select("doc_id", "block_id", "ord", "type", "text", "level", "section_path", "dom_path", F.round("importance", 6).alias("importance"), F.round("evidence_score", 6).alias("evidence_score"))
 
 
@@ -206,21 +208,20 @@ def page_nav_nodes(t):
 
 @query()
 def page_action_graph(t):
-    p, _ = _parsed(t)
-    docs = p.select("doc_id", "url", X.title_tag("html").alias("title"))
+    p, _, docs = _parsed(t)
     return graph.action_graph(docs, parse.actions(p))[1]
 
 
 @query()
 def page_api_candidates(t):
-    p, _ = _parsed(t)
-    return graph.api_candidates(parse.actions(p).join(p.select("doc_id", "url"), "doc_id"))
+    p, _, docs = _parsed(t)
+    return graph.api_candidates(parse.actions(p).join(docs.select("doc_id", "url"), "doc_id"))
 
 
 @query()
 def page_decisions(t):
-    p, _ = _parsed(t)
-    a = parse.actions(p).join(p.select("doc_id", "url"), "doc_id")
+    p, _, docs = _parsed(t)
+    a = parse.actions(p).join(docs.select("doc_id", "url"), "doc_id")
     return graph.decide(a, graph.api_candidates(a))
 
 
@@ -241,39 +242,39 @@ def page_quality(t):
 
 @query()
 def site_profiles(t):
-    p, _ = _parsed(t)
-    kids = parse.body_children(p).join(p.select("doc_id", F.col("site_id").alias("domain")), "doc_id")
+    p, _, docs = _parsed(t)
+    kids = parse.body_children(p).join(docs.select("doc_id", F.col("site_id").alias("domain")).distinct(), "doc_id")
     return site.learn_profiles(kids)
 
 
 @query()
 def site_llms_txt(t):
-    p, b = _parsed(t)
-    return publish.llms_txt(p.select("doc_id", "site_id", "url", X.title_tag("html").alias("title")), b, parse.actions(p))
+    p, b, docs = _parsed(t)
+    return publish.llms_txt(docs, b, parse.actions(p))
 
 
 @query()
 def site_agent_json(t):
-    p, b = _parsed(t)
-    return publish.agent_json(p.select("doc_id", "site_id", "url", X.title_tag("html").alias("title")), b, parse.actions(p))
+    p, b, docs = _parsed(t)
+    return publish.agent_json(docs, b, parse.actions(p))
 
 
 @query()
 def site_content_json(t):
-    p, b = _parsed(t)
-    return publish.content_feed(p.select("doc_id", "site_id", "url", X.title_tag("html").alias("title")), b)
+    _, b, docs = _parsed(t)
+    return publish.content_feed(docs, b)
 
 
 @query()
 def site_actions_json(t):
-    p, _ = _parsed(t)
-    return publish.actions_feed(p.select("doc_id", "site_id", "url"), parse.actions(p))
+    p, _, docs = _parsed(t)
+    return publish.actions_feed(docs, parse.actions(p))
 
 
 @query()
 def site_sitemap(t):
-    p, b = _parsed(t)
-    return publish.sitemap(p, b)
+    _, b, docs = _parsed(t)
+    return publish.sitemap(docs, b)
 
 
 @query()

@@ -24,7 +24,13 @@ def scored_blocks(pages: DataFrame, blocks: DataFrame) -> DataFrame:
         has = has | (F.size(X.entities("text", kind)) > 0)
     scored = n.withColumn("importance", X.salience(F.col("type"), F.col("text"), F.col("_i"), F.col("_n"), F.col("section_path"), F.col("dom_path")))
     scored = scored.withColumn("evidence_score", X.evidence_score(F.col("type"), F.col("text"), has, F.lit(True))).drop("_i", "_n")
-    return scored.join(pages.select("doc_id", "url", "site_id").dropDuplicates(["doc_id"]), "doc_id")
+    return scored.join(one_page(pages).select("doc_id", "url", "site_id"), "doc_id")
+
+
+def one_page(pages: DataFrame) -> DataFrame:
+    """One row per doc_id: that of the first URL."""
+    w = Window.partitionBy("doc_id").orderBy("url", "html")
+    return pages.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
 @dataclass
@@ -35,15 +41,27 @@ class Session:
     actions: DataFrame | None = None
 
     def ingest(self, pages: DataFrame) -> Session:
-        """Adds pages (doc_id, site_id, url, html); a doc_id that is known is replaced."""
-        fresh = pages.dropDuplicates(["doc_id"])
-        b = scored_blocks(fresh, parse.blocks(fresh))
-        a = parse.actions(fresh).join(fresh.select("doc_id", "url"), "doc_id")
+        """Adds pages (doc_id, site_id, url, html); a doc_id that is known is replaced.
+
+        Equal pages at several URLs keep a row each in pages; blocks and actions are parsed once, and have the first URL.
+        """
+        first = F.first("html").over(Window.partitionBy("doc_id").orderBy("url", "html"))
+        fresh = pages.withColumn("_h", first).filter(F.col("html").eqNullSafe(F.col("_h"))).drop("_h").dropDuplicates(["doc_id", "url"])
+        parsed = one_page(fresh)
+        gone = parsed.select("doc_id")
+        every = fresh
+        if self.pages is not None:
+            old, new = self.pages.alias("o"), parsed.select("doc_id", "html").alias("n")
+            other = (F.col("o.doc_id") == F.col("n.doc_id")) & ~F.col("o.html").eqNullSafe(F.col("n.html"))
+            kept = old.join(new, other, "left_anti").join(fresh.select("doc_id", "url").alias("f"), (F.col("o.doc_id") == F.col("f.doc_id")) & F.col("o.url").eqNullSafe(F.col("f.url")), "left_anti")
+            every = kept.unionByName(fresh, True)
+        shown = one_page(every.join(gone, "doc_id", "left_semi"))
+        b = scored_blocks(shown, parse.blocks(parsed))
+        a = parse.actions(parsed).join(shown.select("doc_id", "url"), "doc_id")
         if self.pages is not None:
-            gone = fresh.select("doc_id")
             keep = lambda d: d.join(gone, "doc_id", "left_anti")
-            fresh, b, a = keep(self.pages).unionByName(fresh, True), keep(self.blocks).unionByName(b), keep(self.actions).unionByName(a)
-        self.pages, self.blocks, self.actions = fresh, b, a
+            b, a = keep(self.blocks).unionByName(b), keep(self.actions).unionByName(a)
+        self.pages, self.blocks, self.actions = every, b, a
         return self
 
     def save(self, path: str) -> None:
@@ -69,10 +87,10 @@ class Session:
         return retrieve.answer(self.search_blocks(query), self.plan(query).intent)
 
     def stats(self) -> DataFrame:
-        return self.pages.agg(F.count("*").alias("documents"), F.countDistinct("site_id").alias("sites")).crossJoin(self.blocks.agg(F.count("*").alias("blocks"))).crossJoin(self.actions.agg(F.count("*").alias("actions")))
+        return self.pages.agg(F.countDistinct("doc_id").alias("documents"), F.countDistinct("site_id").alias("sites")).crossJoin(self.blocks.agg(F.count("*").alias("blocks"))).crossJoin(self.actions.agg(F.count("*").alias("actions")))
 
     def api_candidates(self) -> DataFrame:
-        return graph.api_candidates(self.actions)
+        return graph.api_candidates(self.actions.drop("url").join(self.pages.select("doc_id", "url"), "doc_id"))
 
     def publish(self) -> dict[str, DataFrame]:
         docs = self.pages.select("doc_id", "site_id", "url", X.title_tag("html").alias("title"))

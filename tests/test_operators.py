@@ -301,5 +301,30 @@ def test_entity_counts_all_against_python(spark, sf, tmp_path):
     assert {"date", "phone"} <= {k for _, k in got} and got == want
 
 
+def test_equal_pages_stay_on_every_site(spark, tmp_path):
+    form = "<html><title>T</title><body><h1>Head</h1><p>Some words of text.</p><form method='post'><input name='q' required><button>Send</button></form><a href='https://c.example.com/x'>to x</a></body></html>"
+    rows = [(1, "https://b.example.com/2", form), (2, "https://a.example.com/1", form), (3, "https://a.example.com/3", form), (4, "https://c.example.com/x", "<h1>Other</h1><p>line of words</p>"), (5, "https://d.example.com/x", "<h1>Other</h1><p>line of words</p>")]
+    t = spark.createDataFrame(rows, "page_id long, url string, html string")
+    t.write.parquet(f"{tmp_path}/pages.parquet")
+    q = {n: catalog.queries()[n](spark, str(tmp_path)).collect() for n in ("site_sitemap", "site_llms_txt", "site_agent_json", "site_content_json", "site_actions_json", "page_api_candidates", "page_blocks", "page_action_graph", "page_decisions")}
+    for n in ("site_sitemap", "site_llms_txt", "site_agent_json", "site_content_json"):
+        text = {r.site_id: str(r) for r in q[n]}
+        assert all(text[u.split("/")[2]].count(u) == 1 for _, u, _ in rows), n
+    assert {r.site_id for r in q["site_actions_json"]} == {"a.example.com", "b.example.com"}
+    assert {r.endpoint for r in q["page_api_candidates"] if r.method == "POST"} == {u for _, u, h in rows if h == form}
+    for n, key in (("page_blocks", "block_id"), ("page_decisions", "action_id")):
+        keys = [(r.doc_id, r[key]) for r in q[n]]
+        assert keys and len(keys) == len(set(keys)), n
+    assert len(q["page_action_graph"]) == len({(r.from_state, r.action_id) for r in q["page_action_graph"]})
+
+    pages = t.select(X.doc_id("html").alias("doc_id"), X.site_id("url").alias("site_id"), "url", "html")
+    s = session.Session(spark).ingest(pages.filter("page_id <> 2")).ingest(pages.filter("page_id in (2, 3)"))
+    assert sorted(r.url for r in s.pages.collect()) == sorted(u for _, u, _ in rows)
+    assert {r.url for r in s.blocks.select("url").distinct().collect()} == {"https://a.example.com/1", "https://c.example.com/x"}
+    assert {r.site_id for r in s.publish()["agent-sitemap.xml"].collect()} == {"a.example.com", "b.example.com", "c.example.com", "d.example.com"}
+    changed = pages.filter("page_id = 1").withColumn("html", F.lit("<p>new</p>"))
+    assert [r.html for r in s.ingest(changed).pages.join(changed.select("doc_id"), "doc_id").collect()] == ["<p>new</p>"]
+
+
 def test_flagship(spark, sf):
     assert catalog.flagship(spark, sf).count() > 0

@@ -76,6 +76,24 @@ def test_ann_recall_and_scores(spark, sf):
     assert hits / total > 0.95
 
 
+def test_ann_recall_of_a_full_shard():
+    r = np.random.default_rng(5)
+    x = r.normal(size=(ann.SHARD_ROWS, 64))
+    x[-4096:] = np.repeat(x[:256], 16, 0) + 0.02 * r.normal(size=(4096, 64))  # clusters of near copies
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    other = r.normal(size=(100, 64))
+    q = np.concatenate([x[::200], other / np.linalg.norm(other, axis=1)[:, None]])  # from the shard, and from outside
+    ids = np.concatenate([np.arange(0, len(x), 200), np.full(100, -1)])
+    row, near, _ = ann.Shard(np.arange(len(x)), x).nearest(ids, q, 10, ann.BEAM)
+    hits = []
+    for i in range(len(q)):
+        d = ((x - q[i]) ** 2).sum(1)
+        if ids[i] >= 0:
+            d[ids[i]] = np.inf
+        hits.append(len(set(near[row == i].tolist()) & set(np.argsort(d)[:10].tolist())) / 10)
+    assert np.mean(hits[:-100]) > 0.9 and np.mean(hits[-100:]) > 0.9, (np.mean(hits[:-100]), np.mean(hits[-100:]))
+
+
 def test_ann_odd_rows(spark):
     data = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [float("nan"), 1.0]), (6, [0.0, 0.0]), (7, [1.0, None]), (None, [1.0, 1.0]), (8, [1.0]), (100, None)]
     e = spark.createDataFrame([(*r, 1, 2) for r in data], "vec_id long, embedding array<float>, score int, shard int")

@@ -19,6 +19,7 @@ other columns are ignored. Texts are read whole; no prefix is taken.
 
 from __future__ import annotations
 
+import codecs
 import zlib
 from collections.abc import Iterator
 
@@ -63,14 +64,26 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.
 
 
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """True for each text with a letter of any script."""
-    sums = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data])])
-    out = sums[offsets[1:]] > sums[offsets[:-1]]
+    """True for each text with a letter of any script. Memory is a few bytes for each byte of a chunk, not of the batch."""
+    out = np.zeros(len(offsets) - 1, bool)
+    for lo, hi in K.chunks(offsets, 1 << 18):
+        full = np.flatnonzero(offsets[lo + 1 : hi + 1] > offsets[lo:hi])
+        if len(full):  # empty texts have no place of their own in the bytes
+            letter = _ASCII_LETTER[data[offsets[lo] : offsets[hi]]]
+            out[lo + full] = np.logical_or.reduceat(letter, offsets[lo + full] - offsets[lo])
     for k in np.flatnonzero(~out & (np.diff(offsets) > 0)):
-        out[k] = any(c.isalpha() for c in data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace"))
+        out[k] = _letter_beyond_ascii(data[offsets[k] : offsets[k + 1]])
     return out
 
 
+def _letter_beyond_ascii(data: np.ndarray) -> bool:
+    """Some KB at a time: most texts have a letter among the first characters."""
+    if not (data >= 0x80).any():
+        return False
+    reader = codecs.getincrementaldecoder("utf-8")("replace")
+    return any(c.isalpha() for lo in range(0, len(data), 4096) for c in reader.decode(data[lo : lo + 4096].tobytes()))
+
+
 def codewords(k: int, seed: int = 7) -> np.ndarray:
     """k rows of -1 and 1, distinct, no constant column."""
     if k <= 1:
@@ -94,7 +107,7 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n-gram counts by language, each document's gram at most 16 times in it."""
+    """n-gram counts by language."""
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), object)

@@ -8,6 +8,8 @@ word. Hashes are 64 bits wide: two of n different words share one with a chance
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +38,16 @@ _LOWER_VALUES[65:91] = _VALUES[97:123]
 _powers: dict[str, np.ndarray] = {}
 
 
+def settle() -> None:
+    """At a task's end, as Python workers are reused: collection is on again, and freed memory goes back to the system."""
+    gc.enable()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def _table(name: str, base: int, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
@@ -129,12 +141,17 @@ def runs(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, separators: np
     word = ~sep
     start = np.flatnonzero(word & before)
     end = np.flatnonzero(word & after) + 1
+    doc = np.searchsorted(base[1:], start, "right")
+    return Words(lo, hi, part, base, start, end, doc, hash_ranges(part, start, end, lower))
+
+
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Hash of the bytes of each range, equal for equal bytes wherever they lie."""
+    n = len(data)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
-    np.cumsum((_LOWER_VALUES if lower else _VALUES)[part] * _table("p", _BASE, n), out=sums[1:])
-    h = (sums[end] - sums[start]) * _table("i", _INVERSE, n)[start] + (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93)
-    doc = np.searchsorted(base[1:], start, "right")
-    return Words(lo, hi, part, base, start, end, doc, mix(h))
+    np.cumsum((_LOWER_VALUES if lower else _VALUES)[data] * _table("p", _BASE, n), out=sums[1:])
+    return mix((sums[end] - sums[start]) * _table("i", _INVERSE, n)[start] + (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, separators: np.ndarray = SPACE, size: int = CHUNK) -> Iterator[Words]:

@@ -6,7 +6,7 @@ smallest. A piece matters only by its length, so the plan is made from the histo
 `capacity` rows, whatever the number of documents. Bins filled alike are one row of the plan with a
 multiplicity, and equal pieces are spread over them by their rank, so that no task holds a bin list.
 
-Steps: (1) token ids of each document, cut into pieces, in one pass; word forms are kept in a bounded cache.
+Steps: (1) token ids of each document, cut into pieces, in one pass; ids of words are kept in a table of bounded size.
 (2) histogram to the driver, plan back as a table of bounded size. (3) ranks of pieces within their length,
 numbered in sub-groups, no group in one task. (4) rank to bin by lookup.
 
@@ -17,39 +17,93 @@ table gives no rows. Cost is one pass over the texts, and then rows of about 40
 
 from __future__ import annotations
 
-import gc
 import json
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from . import textkernel as K
 from .bpe import merge_rows
+from .idtable import IdTable
 
-#: What the tokenizer's \s takes; str.split takes \x1c-\x1f besides.
-_CHUNK = re.compile("[^\t-\r \x85\xa0  -     　]+")
-_ODD = re.compile("[\x1c-\x1f]")
-CACHE = 350_000
 _PIECES = "doc_id long, text_hash long, piece int, start long, length long, ids_crc32 long"
+#: Bytes of text whose parts are looked up together, and of the longest run between blanks that is split here.
+TOGETHER, LONG = 3_000_000, 96
 
+_BLANK, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = _BLANK
+_KIND[0x21:0x7F] = _OTHER
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = _LETTER
+_KIND[0x30:0x3A] = _DIGIT
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
 
-#: Chunks of these characters are pre-split and merged here; all others go to the library.
-_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]{1,96}")
-_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00e0-\u00f6\u00f8-\u00ff\u00df]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
+class Parts:
+    """Parts of texts, as the tokenizer splits them: runs of letters, single digits, runs of other signs, and 's, 't, 're, 've, 'm, 'll, 'd.
 
-class WordEncoder:
-    """Ids of white-space separated chunks as little-endian bytes; chunks don't influence each other.
+    Runs between blanks with anything beyond ASCII and the letters of Latin-1, with a special token's mark, or longer than
+    LONG are parts as a whole, which the library encodes (`odd`). `raw`: bytes as they are, `low`: in lower case.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        n = len(offsets) - 1
+        # A blank after each text: nothing crosses two of them; some more at the end, to look ahead.
+        raw = np.concatenate([np.insert(data, offsets[1:], 32), np.full(4, 32, np.uint8)])
+        low, kind = _LOWER[raw], _KIND[raw]
+        bad = kind == _ODD
+        if (raw >= 0x80).any():
+            after = np.zeros(len(raw), bool)
+            lead = raw == 0xC3
+            after[1:] = lead[:-1]
+            bad |= (raw >= 0x80) & ~lead & ~after | after & ((raw == 0x97) | (raw == 0xB7))
+            low[after & (raw < 0x9F)] += 32
+        word = kind != _BLANK
+        before = np.zeros(len(raw), np.uint8)
+        before[1:] = kind[:-1]
+        opens = word & (before == _BLANK)
+        opens[0] = word[0]
+        begins = word & ((kind != before) | (kind == _DIGIT))
+        begins[0] = word[0]
+        tick = np.flatnonzero((low == 39) & (before != _OTHER))
+        one, two = low[tick + 1], low[tick + 2]
+        size = np.where(np.isin(one, [115, 116, 109, 100]), 2, 0)
+        for a, b in (b"re", b"ve", b"ll"):
+            size[(one == a) & (two == b)] = 3
+        tick, size = tick[size > 0], size[size > 0]
+        begins[tick + 1] = False
+        begins[(tick + size)[kind[tick + size] == _LETTER]] = True
+        first = np.flatnonzero(opens)
+        chunk = np.cumsum(opens) - 1
+        closes = np.zeros(len(raw), bool)
+        closes[:-1] = word[:-1] & ~word[1:]
+        whole = np.flatnonzero(closes) + 1 - first > LONG
+        whole[chunk[np.flatnonzero(bad)]] = True
+        whole[chunk[np.flatnonzero((raw[:-1] == 60) & (raw[1:] == 124))]] = True
+        if whole.any():
+            inside = word & whole[np.maximum(chunk, 0)]
+            begins = np.where(inside, opens, begins)
+        ends = word.copy()
+        ends[:-1] &= begins[1:] | ~word[1:]
+        self.raw, self.low = raw, low
+        self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        self.odd = whole[chunk[self.start]] if len(self.start) else np.zeros(0, bool)
+        base = offsets + np.arange(n + 1)
+        self.doc = np.searchsorted(base[1:], self.start, "right")
+        self.key = K.hash_ranges(low, self.start, self.end)
+        if self.odd.any():
+            self.key[self.odd] = K.mix(K.hash_ranges(raw, self.start[self.odd], self.end[self.odd]) + np.uint64(1))
 
-    Distinct chunks are split as the tokenizer's pattern does, and the distinct parts of equal length are merged together in
-    numpy, by the merges of the tokenizer's own file. Chunks beyond Latin letters, with a special token's mark, or
-    very long ones are encoded by the library. Tests hold all of it against the library.
+
+class WordEncoder:
+    """Ids of texts: parts are looked up by hash, and new ones of equal length merged together in numpy by the merges of the
+    tokenizer's own file; odd parts are encoded by the library. Tests hold all of it against the library.
     """
 
     def __init__(self, path: str):
@@ -58,9 +112,10 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        vocab, self.suffix = spec["model"]["vocab"], spec["model"].get("end_of_word_suffix") or ""
+        vocab, suffix = spec["model"]["vocab"], spec["model"].get("end_of_word_suffix") or ""
         steps = [x.get("type") for x in spec["normalizer"]["normalizers"]] if spec.get("normalizer", {}).get("normalizers") else []
-        self.own = steps == ["NFC", "Replace", "Lowercase"] and bool(self.suffix) and not spec["model"].get("ignore_merges")
+        if steps != ["NFC", "Replace", "Lowercase"] or not suffix or spec["model"].get("ignore_merges"):
+            raise ValueError("only lower-casing word BPE with word ends is read")
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         table = {vocab[a] << 32 | vocab[b]: (k, vocab[a + b]) for k, (a, b) in reversed(list(enumerate(pairs)))}
         keys = sorted(table)
@@ -70,106 +125,88 @@ class WordEncoder:
         # Byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         names = {b: chr(b) for b in keep} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in keep)}
-        self.inner = np.array([vocab.get(names[b], -1) for b in range(256)], np.int64)
-        self.last = np.array([vocab.get(names[b] + self.suffix, -1) for b in range(256)], np.int64)
-        self.own = self.own and (self.inner >= 0).all() and (self.last >= 0).all()
-        self.cache: dict[str, bytes] = {}
-
-    def merge(self, parts: list[bytes]) -> dict[bytes, bytes]:
-        out: dict[bytes, bytes] = {}
-        by_length: dict[int, list[bytes]] = {}
-        for p in parts:
-            try:
-                by_length[len(p)].append(p)
-            except KeyError:
-                by_length[len(p)] = [p]
-        for length, group in by_length.items():
-            size = max(1, 200_000 // length)
-            for lo in range(0, len(group), size):
-                some = group[lo : lo + size]
-                raw = np.frombuffer(b"".join(some), np.uint8).reshape(len(some), length)
-                ids = self.inner[raw]
-                ids[:, -1] = self.last[raw[:, -1]]
-                n = merge_rows(ids, self.keys, self.rank, self.new)
-                flat = ids.astype("<u4").tobytes()
-                at = np.arange(len(some)) * 4 * length
-                out.update(zip(some, [flat[a:b] for a, b in zip(at.tolist(), (at + 4 * n).tolist())]))
-        return out
-
-    def learn(self, chunks: list[str]) -> None:
-        other = chunks
-        if self.own:
-            other, whole, mixed = [], [], []
-            for chunk in chunks:
-                if not _PLAIN.fullmatch(chunk) or "<|" in chunk:
-                    other.append(chunk)
-                elif chunk.isalpha():
-                    whole.append(chunk)
-                else:
-                    mixed.append(chunk)
-            low = [c.lower().encode() for c in whole]
-            parts = [[x.encode() for x in _SPLIT.findall(c.lower())] for c in mixed]
-            ids = self.merge(list(set(low).union(*parts)))
-            get = ids.__getitem__
-            self.cache.update(zip(whole, map(get, low)))
-            self.cache.update(zip(mixed, [b"".join(map(get, p)) for p in parts]))
-        for lo in range(0, len(other), 5_000):
-            part = other[lo : lo + 5_000]
-            for chunk, x in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[chunk] = np.array(x.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(_CHUNK.findall(t) if _ODD.search(t) else t.split()) if t else [] for t in texts]
-        every = set().union(*split)
-        new = every - self.cache.keys()
-        if new:
-            if len(self.cache) + len(new) > CACHE:
-                # What this batch uses stays: frequent words do, words met once don't.
-                self.cache = {c: self.cache[c] for c in every if c in self.cache}
-            self.learn(list(new))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+        self.inner = np.array([vocab[names[b]] for b in range(256)], np.int64)
+        self.last = np.array([vocab[names[b] + suffix] for b in range(256)], np.int64)
+        self.table = IdTable()
+
+    def _learn(self, raw: np.ndarray, low: np.ndarray, start: np.ndarray, end: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, one part's after another's, and the number of ids of each part."""
+        sizes, found = np.zeros(len(start), np.int64), []
+        length = np.where(odd, 0, end - start)
+        for x in np.unique(length[~odd]).tolist():
+            every = np.flatnonzero(length == x)
+            step = max(1, 200_000 // x)
+            for lo in range(0, len(every), step):
+                rows = every[lo : lo + step]
+                part = low[start[rows][:, None] + np.arange(x)]
+                ids = self.inner[part]
+                ids[:, -1] = self.last[part[:, -1]]
+                sizes[rows] = n = merge_rows(ids, self.keys, self.rank, self.new)
+                found.append((rows, ids[np.arange(x) < n[:, None]]))
+        rows = np.flatnonzero(odd)
+        for lo in range(0, len(rows), 2_000):
+            some = rows[lo : lo + 2_000]
+            texts = [raw[start[k] : end[k]].tobytes().decode() for k in some]
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            sizes[some] = [len(x) for x in ids]
+            found.append((some, np.array([y for x in ids for y in x], np.int64)))
+        out, at = np.zeros(int(sizes.sum()), np.uint32), np.cumsum(sizes) - sizes
+        for rows, ids in found:
+            n = sizes[rows]
+            out[np.repeat(at[rows] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return out, sizes
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and the number of ids of each."""
+        counts = np.zeros(len(offsets) - 1, np.int64)
+        cuts = [(lo, hi, Parts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])) for lo, hi in K.chunks(offsets)]
+        if not cuts:
+            return np.zeros(0, np.uint32), counts
+        shift = np.cumsum([0, *(len(p.raw) for _, _, p in cuts)])
+        joined = lambda name, by=None: np.concatenate([getattr(p, name) + (0 if by is None else by[k]) for k, (_, _, p) in enumerate(cuts)])
+        raw, low, start, end = joined("raw"), joined("low"), joined("start", shift), joined("end", shift)
+        odd, key, doc = np.concatenate([p.odd for _, _, p in cuts]), np.concatenate([p.key for _, _, p in cuts]), joined("doc", [lo for lo, _, _ in cuts])
+        del cuts
+        ids, n = self.table.resolve(key, lambda at: self._learn(raw, low, start[at], end[at], odd[at]))
+        counts += np.bincount(doc, n, minlength=len(counts)).astype(np.int64)
+        return ids, counts
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def word_encoder(path: str) -> WordEncoder:
-    """One encoder in a Python worker, whose cache serves task after task."""
+    """One encoder in a Python worker; its table of parts, of bounded size, serves task after task."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
 
 
 def token_pieces(make_encoder: Callable[[], WordEncoder], capacity: int, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
         encoder = make_encoder()
-        gc.disable()  # millions of words, no cycles: collections would only walk them again and again
         for batch in batches:
-            at = 0
-            lengths = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
-            ends = np.cumsum(lengths)
-            while at < batch.num_rows:  # some MB of text at a time
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 3_000_000, "right")))
-                part = batch.slice(at, to - at)
-                row, piece, start, length, crc = [], [], [], [], []
-                for k, ids in enumerate(encoder.encode(part.column(2).to_pylist())):
-                    ids += end
-                    for p, lo in enumerate(range(0, len(ids), 4 * capacity)):
-                        cut = ids[lo : lo + 4 * capacity]
-                        row.append(k)
-                        piece.append(p)
-                        start.append(lo // 4)
-                        length.append(len(cut) // 4)
-                        crc.append(zlib.crc32(cut))
-                take = pa.array(row, pa.int64())
+            data, offsets = K.column_bytes(batch.column(2))
+            for lo, hi in K.chunks(offsets, TOGETHER):
+                ids, n = encoder.encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                every = np.full(len(ids) + len(n), end_id, "<u4")
+                every[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
+                n = n + 1
+                pieces = -(-n // capacity)
+                row = np.repeat(np.arange(len(n)), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(capacity, n[row] - start)
+                at = 4 * ((np.cumsum(n) - n)[row] + start)
+                held = memoryview(every.view(np.uint8))
+                crc = [zlib.crc32(held[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
+                take = pa.array(lo + row)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(1).take(take), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
                     names=["doc_id", "text_hash", "piece", "start", "length", "ids_crc32"],
                 )
-                at = to
+        K.settle()
 
     return run
 

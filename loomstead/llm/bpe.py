@@ -5,15 +5,15 @@ from __future__ import annotations
 import numpy as np
 
 
-def merge_rows(ids: np.ndarray, keys: np.ndarray, rank: np.ndarray, new: np.ndarray, places: np.ndarray | None = None) -> np.ndarray:
-    """Merges pairs in the rows of ids until none is known; gives the rows' lengths, ids being changed in place.
+def merge_rows(ids: np.ndarray, keys: np.ndarray, rank: np.ndarray, new: np.ndarray, stop: int = 1) -> np.ndarray:
+    """Merges pairs in the rows of ids until none is known, or `stop` ids are left; gives the rows' lengths, ids being changed in place.
 
     A round merges each row's pair of least rank, the leftmost of equals. keys: sorted (left << 32 | right), with the rank
-    and id of what they make. A negative id never merges. places, if given, is shifted along.
+    and id of what they make. A negative id never merges.
     """
     rows, length = ids.shape
     n = np.full(rows, length)
-    if length < 2 or not len(keys):
+    if length <= stop or not len(keys):
         return n
     none = np.iinfo(np.int64).max
     # Positions of known pairs are kept from round to round; only those beside a merge are looked up again.
@@ -42,12 +42,12 @@ def merge_rows(ids: np.ndarray, keys: np.ndarray, rank: np.ndarray, new: np.ndar
         ids[live, best] = made[live, best]
         width = int(n[live].max())
         take = np.minimum(column[:width] + (column[:width] > best[:, None]), width - 1)
-        for m in (ids, found, made) + ((places,) if places is not None else ()):
+        for m in (ids, found, made):
             m[live, :width] = np.take_along_axis(m[live, :width], take, 1)
         n[live] -= 1
         found[live, n[live]] = none
         probe(live, best)
         left = best > 0
         probe(live[left], best[left] - 1)
-        live = live[n[live] > 1]
+        live = live[n[live] > stop]
     return n

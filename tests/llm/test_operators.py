@@ -194,9 +194,46 @@ def test_sentencepiece_viterbi_equals_the_library(tmp_path, byte_fallback):
         f.write(m.SerializeToString())
     sp, codec = sentencepiece.SentencePieceProcessor(model_file=path), sp_codec.Codec(sp_codec.Model.load(path))
     texts = [" ".join("".join(rng.choice(list("abcd"), rng.integers(1, 14))) for _ in range(rng.integers(1, 30))) for _ in range(60)] + (["a é b", "x"] if byte_fallback else [])
-    for t, ids in zip(texts, codec.encode(texts)):
-        assert np.frombuffer(ids, "<u4").tolist() == sp.encode(t)
-        assert codec.decode(ids) == sp.decode(sp.encode(t))
+    texts += ["", "abcd" * 100, "dcba " * 90 + "a" * 500]  # cuts beyond LONG are walked alone
+    for t, (ids, same) in zip(texts, encode_texts(codec, texts)):
+        assert ids == sp.encode(t)
+        assert codec.decode(np.array(ids, np.int64)) == sp.decode(sp.encode(t)) and same == (sp.decode(sp.encode(t)) == t)
+
+
+def encode_texts(codec, texts):
+    ids, n, same = codec.encode(*textkernel.column_bytes(pa.array(texts, pa.string())))
+    at = np.concatenate([[0], np.cumsum(n)])
+    return [(ids[a:b].tolist(), bool(s)) for a, b, s in zip(at, at[1:], same)]
+
+
+def test_sentencepiece_neighbours_are_what_merges_give():
+    """What Viterbi takes for pieces side by side, against merging the text of both; and ids of random texts against the library."""
+    import sentencepiece
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    m, rng = sp_codec.Model.load(path), np.random.default_rng(4)
+    plain = np.array([k for p, k in zip(m.pieces, range(len(m.pieces))) if k in set(m.piece_id.tolist())])
+    a, b = rng.choice(plain, 4000), rng.choice(plain, 4000)
+    short = [k for k in plain.tolist() if len(m.pieces[k].strip(sp_codec.SPACE)) <= 2]
+    a, b = np.concatenate([a, rng.choice(short, 4000)]), np.concatenate([b, rng.choice(short, 4000)])
+    ok = m.neighbours(a, b)
+    assert (ok == m._by_merges(a, b)).all() and 0 < ok.sum() < len(ok)
+    sp, codec = sentencepiece.SentencePieceProcessor(model_file=path), sp_codec.Codec(m)
+    codec.table.entries = 300  # forgets again and again
+    letters = list("abstmdrevlthein   \n\té▁世界ﬁ<>0")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(3000)] + ["x" * 1000, "世界" * 300, "▁", " ", "\n", "".join(rng.choice(list("thetion"), 2000))]
+    for _ in range(2):
+        assert [i for i, _ in encode_texts(codec, texts)] == sp.encode(texts)
+
+
+def test_sentencepiece_odd_rows(spark):
+    path = tokenizer_file("piece_bpe_32k.model")
+    got = sp_codec.encode_documents(frame(spark), path).collect()
+    assert len(got) == len(ODD) and sorted(r.n_tokens for r in got if r.doc_id in (2, 3)) == [0, 0]
+    assert len({(r.n_tokens, r.ids_crc32) for r in got if r.doc_id in (1, 8)}) == 1 and sum(r.doc_id == 8 for r in got) == 2
+    assert all(r.round_trip for r in got)
+    assert sp_codec.encode_documents(empty_docs(spark), path).count() == 0
+    assert sp_codec.decode_documents(spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>"), path).orderBy("doc_id").collect() == [(1, None), (2, "")]
 
 
 # --- op4
@@ -253,6 +290,7 @@ def test_jaccard_join_large_blocks(spark, monkeypatch):
             w[int(rng.integers(0, 60))] = f"v{int(rng.integers(0, 400))}"
         rows.append((k, " ".join(w[: int(rng.integers(40, 60))])))
     monkeypatch.setattr(ngram_join, "CHUNK_DOCS", 50)
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", 50)
     got = Counter((r.doc_id, r.n_shingles, r.n_similar, r.component_id) for r in ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == brute_jaccard(rows)
 

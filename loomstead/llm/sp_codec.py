@@ -197,11 +197,9 @@ class Model:
         m, length = code.shape
         c = code.astype(np.uint64) + _U(1)
         prefix = np.zeros((m, length + 1), np.uint64)
-        power = np.ones(self.longest + 1, np.uint64)
+        power = np.cumprod(np.array([1] + [_BASE] * self.longest, np.uint64))
         for k in range(length):
             prefix[:, k + 1] = prefix[:, k] * _U(_BASE) + c[:, k]
-        for k in range(self.longest):
-            power[k + 1] = power[k] * _U(_BASE)
         return prefix, power
 
     def _probe(self, h: np.ndarray) -> np.ndarray:

@@ -469,6 +469,21 @@ def check_pack(got, rows, capacity=2048):
     return len(bins), math.ceil(sum(r.length for r in got) / capacity)
 
 
+def test_word_encoder_equals_the_library():
+    from tokenizers import Tokenizer
+
+    path, rng = tokenizer_file("word_bpe_49k.json"), np.random.default_rng(6)
+    library, encoder = Tokenizer.from_file(path), pack.WordEncoder(path)
+    encoder.table.entries = 500  # forgets again and again
+    letters = list("abstmdrevl'`\"()<|>0123 éÉÀßÿ÷×ñ\t\n\x1c\x7f ́世İſK Ⅷ²''")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(5000)] + ["'", "'s", "x'", "'S's''s", "a's", "it'llx 'REv", "<|endoftext|>", "a<|startoftext|>b", "x" * 300, "é" * 97, "'" * 50, "", "don't you'd've"]
+    for _ in range(2):
+        ids, n = encoder.encode(*textkernel.column_bytes(pa.array(texts, pa.string())))
+        at = np.concatenate([[0], np.cumsum(n)])
+        for k, x in enumerate(library.encode_batch_fast(texts, add_special_tokens=False)):
+            assert ids[at[k] : at[k + 1]].tolist() == x.ids, texts[k]
+
+
 def test_pack(spark, docs, rows):
     n, least = check_pack(pack.pack_documents(docs, tokenizer_file("word_bpe_49k.json")).collect(), rows)
     assert n <= least + 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -14,19 +15,27 @@ from pyspark.sql import Window
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; set to a local one only where it is unset (tests)."""
+    """The folder that spark.checkpoint.dir names; where it is unset a local one, if all runs in this process (tests), else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="loomstead-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage is cut, and lost executors don't matter."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Writes df to the shared folder and reads it again: lineage is cut, and lost executors don't matter.
+
+    Results may read the table as long as the application runs, at whose end it is deleted, if `forget` hasn't before.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
 
@@ -63,18 +72,24 @@ def pick(df: DataFrame, **kinds: str) -> DataFrame:
 def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, rows: int = 50_000) -> DataFrame:
     """Numbers rows from 0 without gaps within each value of keys, with no task that holds a whole group.
 
-    Rows fall into sub-groups by a hash of `order`; each is numbered alone and shifted by the sizes of those
-    before it. The sizes (sub-groups x keys rows) are all that is summed in one place per key. `order` should
-    tell rows apart. df must be read from storage or be deterministic, as it is read twice.
+    Equal rows are counted first, where they are, and become rows again at the end, so that no number of them meets in one task. The others fall
+    into sub-groups by a hash of `order`; each is numbered alone and shifted by the sizes of those before it. The sizes (sub-groups
+    x keys rows) are all that is summed in one place per key. `order` must tell unequal rows apart. df must be read from storage or be deterministic, as it is read twice.
     """
     n = df.count()
     subs = max(1, -(-n // rows))
-    df = df.withColumn("_sub", F.pmod(F.xxhash64(*order), F.lit(subs)))
-    sizes = df.groupBy(*keys, "_sub").agg(F.count("*").alias("_n"))
+    df = df.groupBy(*df.columns).agg(F.count("*").alias("_copies")).withColumn("_sub", F.pmod(F.xxhash64(*order), F.lit(subs)))
+    sizes = df.groupBy(*keys, "_sub").agg(F.sum("_copies").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(*keys, "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_sub").orderBy(*order)))
-    return ranked.join(shifts, [*keys, "_sub"]).withColumn(name, (F.col("_shift") + F.col("_rank") - 1).cast("long")).drop("_sub", "_rank", "_shift")
+    within = Window.partitionBy(*keys, "_sub").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = df.withColumn("_rank", F.coalesce(F.sum("_copies").over(within), F.lit(0)))
+    placed = ranked.join(shifts, [*keys, "_sub"]).withColumn("_first", F.col("_shift") + F.col("_rank"))
+    # In two steps, so that no array is longer than the root of the number of copies.
+    step = F.ceil(F.sqrt(F.col("_copies").cast("double")))
+    placed = placed.withColumn("_step", step).withColumn("_high", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / F.col("_step")))))
+    placed = placed.withColumn("_low", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_step"), F.col("_copies") - F.col("_high") * F.col("_step")) - 1)))
+    return placed.withColumn(name, (F.col("_first") + F.col("_high") * F.col("_step") + F.col("_low")).cast("long")).drop("_sub", "_rank", "_shift", "_first", "_copies", "_step", "_high", "_low")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

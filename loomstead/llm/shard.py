@@ -2,10 +2,12 @@
 
 Method: groups of equal texts are placed, largest first, in the shard where the dot product of the group's
 vector (bytes, tokens, rows; each as a share of the total) with the shard's residual capacity is highest, among
-shards with room for it. What is placed on the driver is of bounded number: groups above a fixed share of the total
-(at most `units` per dimension) are placed alone, or in parts where they exceed a fraction of a shard; all others fall, by hash of their text,
-into `units` bundles that are placed as one. So equal texts stay together unless they alone would
-unbalance the shards, and the plan is the same work for any input.
+shards with room for it. A group is split only if it doesn't fit in any shard, being larger than a shard's share of the
+bytes, rows or tokens; then its documents fall, by hash, into parts of 1/64 of a shard.
+
+What is placed on the driver is of bounded number: groups above a fixed share of the total (at most `units` per dimension) are placed
+by themselves; all others fall, by hash of their text, into `units` bundles that are placed as one. So equal texts stay together, and
+the plan is the same work for any input.
 
 The law kept is `bytes`: the shards' sizes are near equal (rows and tokens follow, as far as groups allow).
 Slots number a shard's documents from 0 without gaps; they are made in sub-groups, so that no task holds a shard.
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common
 
 UNITS = 16_384
-#: A group above this share of one shard is split into parts.
+#: Parts, as a share of one shard, of a group that no shard can hold.
 PART = 1 / 64
 
 
@@ -65,12 +67,13 @@ def shard_documents(docs: DataFrame, shards: int = 8, units: int = UNITS) -> Dat
     groups = base.groupBy("key").agg(*vector)
     # At most `units` groups can exceed this share of one total: the collected list is bounded.
     large = groups.filter((F.col("bytes") * units > int(sums["bytes"])) | (F.col("tokens") * units > int(sums["tokens"])) | (F.col("rows") * units > int(sums["rows"])))
-    alone = large.withColumn("parts", F.ceil(F.greatest(*[F.col(c) / F.lit(float(sums[c]) / shards * PART) for c in ("bytes", "tokens", "rows")])).cast("int")).select("key", "parts")
+    most = F.greatest(*[F.col(c) / F.lit(float(sums[c]) / shards) for c in ("bytes", "tokens", "rows")])  # in shards
+    alone = large.withColumn("parts", F.when(most > 1, F.ceil(most / PART)).otherwise(1).cast("int")).select("key", "parts")
     known = F.broadcast(spark.createDataFrame([(int(r[0]), int(r[1])) for r in alone.collect()], "key long, parts int"))
-    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id"), "parts")).otherwise(0)
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id"), "parts")).otherwise(0)  # rows equal in doc_id and text share a part
     unit = F.when(F.col("parts").isNotNull(), F.xxhash64("key", part.cast("long"))).otherwise(F.pmod("key", F.lit(units)))
     placed = base.join(known, "key", "left").withColumn("unit", unit).withColumn("alone", F.col("parts").isNotNull())
-    # Units: bundles and parts of large groups, at most (1 + 3 + shards / PART) * units in all, in fact far fewer.
+    # Units: bundles, large groups (at most units for each dimension), and parts of the fewer than 3 * shards groups that are split: at most shards / PART + 1 for each.
     listed = placed.groupBy("alone", "unit").agg(*vector).orderBy("alone", "unit").toPandas()
     listed["shard"] = place(listed[["bytes", "tokens", "rows"]].to_numpy(np.float64), shards)
     chosen = F.broadcast(spark.createDataFrame(listed[["alone", "unit", "shard"]]).withColumn("shard", F.col("shard").cast("int")))

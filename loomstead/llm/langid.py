@@ -34,6 +34,8 @@ from . import textkernel as K
 _U = np.uint64
 BITS = 14
 FEATURES = 1 << BITS
+#: Counts of a language are 128 KB on the driver; with more languages than this, fitting is refused.
+MAX_LANGUAGES = 1_000
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -181,7 +183,9 @@ def fit(docs: DataFrame) -> Model:
     """Model from the text and label of all labelled rows that aren't held out."""
     rows = common.pick(docs, doc_id="long", text="string", lang="string").filter("lang is not null and text is not null").filter(~held_out(F.col("doc_id")))
     counted = rows.select("lang", "text").mapInArrow(_count, "lang string, counts binary").groupBy("lang").applyInArrow(_sum, "lang string, counts binary")
-    found = sorted((r["lang"], r["counts"]) for r in counted.collect())
+    found = sorted((r["lang"], r["counts"]) for r in counted.limit(MAX_LANGUAGES + 1).collect())
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     return Model([x for x, _ in found], np.array([np.frombuffer(c, "<i8") for _, c in found], float))
 
 
@@ -207,7 +211,7 @@ def reject_unknown(docs: DataFrame) -> DataFrame:
     from loomstead.llm.rowflag import keep_where
 
     model = fit(docs)
-    return keep_where(docs, lambda data, offsets: np.array([x != "und" for x in model.predict(data, offsets)[0]], bool))
+    return keep_where(docs, lambda data, offsets, batch: np.array([x != "und" for x in model.predict(data, offsets)[0]], bool))
 
 
 def crc_remainder(doc_id: int) -> int:

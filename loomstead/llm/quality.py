@@ -5,11 +5,10 @@ both histograms are compared to each language's own by Jensen-Shannon distance (
 divergence). A document passes with a language where both distances are under their limits; it is kept if one does.
 Short texts have noisy histograms: under MIN_CHARS characters in words or MIN_WORDS words the respective test is left out.
 
-References: sums over all documents of a language (rows with null lang take no part), made where the rows are. A
-task reports a word that makes up 1/LOCAL of its tokens of a language; of the reported sums, words of 1/COMMON or more of
-a language's tokens are common. So a common word misses at most the tokens of tasks where it is five times rarer.
-The table is of bounded size: at most COMMON words a language. Languages with fewer than MIN_REFERENCE words in all have no reference;
-without any reference the divergence test is left out.
+References: sums over all documents of a language (rows with null lang take no part), exact: each task counts its words by
+language, the counts are summed by word, and words of 1/COMMON or more of a language's tokens are common. The driver gets at most COMMON words
+for a language, and refuses more than MAX_LANGUAGES languages. Languages with fewer than MIN_REFERENCE words in all have no reference; documents
+labelled with one of them have nothing to diverge from and pass, as all do without any reference.
 
 Edge cases: null or blank text has no words and fails the base rules; repeated rows are judged each; a null doc_id
 stays null; other columns are ignored; an empty table gives no rows. Whole texts count, whatever their length.
@@ -28,7 +27,9 @@ from . import common
 from . import textkernel as K
 
 _U = np.uint64
-LOCAL, COMMON, MIN_REFERENCE = 2_000, 400, 2_000
+COMMON, MIN_REFERENCE, MAX_LANGUAGES = 400, 2_000, 1_000
+#: Entries of a task's counts beyond which they are sent on.
+HELD = 1_000_000
 MIN_CHARS, MIN_WORDS = 200, 60
 #: Limits of the Jensen-Shannon distances (0 to 1).
 CHAR_LIMIT, WORD_LIMIT = 0.32, 0.46
@@ -99,57 +100,68 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((_xlogx(p).sum(1) + _xlogx(q).sum()) / 2 - _xlogx(m).sum(1), 0, 1))
 
 
+_TALLY = "lang string, kind int, word long, n long"
+_TOTAL, _WORD, _CHARS = range(3)
+
+
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts by language: of all words (kind _TOTAL), of each word (_WORD), of each class of characters (_CHARS)."""
     np.seterr(over="ignore")
     chars: dict[str, np.ndarray] = {}
     found: dict[str, list] = {}
     total: dict[str, int] = {}
 
-    def reduced(parts: list) -> list:
-        h = np.concatenate([x for x, _ in parts])
-        u, inverse = np.unique(h, return_inverse=True)
-        return [(u, np.bincount(inverse, np.concatenate([c for _, c in parts]), len(u)).astype(np.int64))]
+    def rows(lang: str, kind: int, word: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.repeat(lang, len(n)), pa.repeat(pa.scalar(kind, pa.int32()), len(n)), pa.array(word.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "kind", "word", "n"])
 
+    def reduced(parts: list) -> tuple[np.ndarray, np.ndarray]:
+        u, inverse = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+        return u, np.bincount(inverse, np.concatenate([c for _, c in parts]), len(u)).astype(np.int64)
+
+    held = 0
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), object)
         data, offsets = K.column_bytes(batch.column(1))
         for w in K.words(data, offsets, lower=True):
             here, hist = langs[w.lo : w.hi], char_histogram(w)
             for lang in set(here):
-                rows = here == lang
-                chars[lang] = chars.get(lang, 0) + hist[rows].sum(0)
-                u, c = np.unique(w.hash[rows[w.doc]], return_counts=True)
+                mine = here == lang
+                chars[lang] = chars.get(lang, 0) + hist[mine].sum(0)
+                u, c = np.unique(w.hash[mine[w.doc]], return_counts=True)
                 total[lang] = total.get(lang, 0) + int(c.sum())
-                # A word once in a chunk may still be common; singles of long runs of chunks are dropped below.
                 found.setdefault(lang, []).append((u, c))
-                if sum(len(x) for x, _ in found[lang]) > 1_000_000:
-                    (u, c), = reduced(found[lang])
-                    keep = c * LOCAL * 4 >= total[lang]
-                    found[lang] = [(u[keep], c[keep])]
+                held += len(u)
+            if held > HELD:
+                found = {lang: [reduced(parts)] for lang, parts in found.items()}
+                held = sum(len(parts[0][0]) for parts in found.values())
+                if held > HELD // 2:
+                    for lang, parts in found.items():
+                        yield rows(lang, _WORD, parts[0][0].view(np.int64), parts[0][1])
+                    found, held = {}, 0
     for lang, parts in found.items():
-        (u, c), = reduced(parts)
-        keep = c * LOCAL >= total[lang]
-        words, counts = u[keep].view(np.int64), c[keep]
-        n = len(words) + 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * n, pa.string()), pa.array([0, *words.tolist()], pa.int64()), pa.array([total[lang], *counts.tolist()], pa.int64()), pa.array([chars[lang].tolist()] + [None] * (n - 1), pa.list_(pa.int64()))],
-            names=["lang", "word", "n", "chars"],
-        )
+        u, c = reduced(parts)
+        yield rows(lang, _WORD, u.view(np.int64), c)
+    for lang, n in total.items():
+        yield rows(lang, _TOTAL, np.zeros(1, np.int64), np.array([n]))
+        yield rows(lang, _CHARS, np.arange(_CLASSES), chars[lang])
+    K.settle()
 
 
 class References:
-    """Common words of all languages (sorted hashes), and per language the shares of words and of character classes."""
+    """Common words of all languages (sorted hashes), and per language the shares of words and of character classes.
+
+    A word that is common in one language counts in each, with its share there, as the rows have it.
+    """
 
-    def __init__(self, rows: list[tuple[str, int, int]], chars: dict[str, np.ndarray]):
-        totals = {lang: n for lang, word, n in rows if word == 0}
+    def __init__(self, rows: list[tuple[str, int, int]], totals: dict[str, int], chars: dict[str, np.ndarray]):
         self.languages = sorted(lang for lang, n in totals.items() if n >= MIN_REFERENCE)
-        common_words = sorted({np.uint64(word % 2**64) for lang, word, n in rows if word and lang in self.languages and n * COMMON >= totals[lang]})
+        common_words = sorted({np.uint64(word % 2**64) for lang, word, n in rows if lang in self.languages})
         self.words = np.array(common_words, np.uint64)
         self.word_shares, self.char_shares = [], []
         for lang in self.languages:
             share = np.zeros(len(self.words) + 1)
             for x, word, n in rows:
-                if x == lang and word:
+                if x == lang:
                     at = np.searchsorted(self.words, np.uint64(word % 2**64))
                     if at < len(self.words) and self.words[at] == np.uint64(word % 2**64):
                         share[at] = n / totals[lang]
@@ -170,8 +182,8 @@ class References:
         char = np.array([js_distance(c, q) for q in self.char_shares]).T.reshape(w.n, -1)
         return char, word, n_chars
 
-    def verdict(self, lower: K.Words, n_words: np.ndarray, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Passes, nearest language (-1: none), its distances of characters and of words."""
+    def verdict(self, lower: K.Words, n_words: np.ndarray, langs: list[str | None], char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Passes, nearest language (-1: none), its distances of characters and of words. langs: labels of the documents."""
         if not self.languages:
             nothing = np.zeros(len(n_words))
             return np.ones(len(n_words), bool), np.full(len(n_words), -1), nothing, nothing
@@ -180,34 +192,39 @@ class References:
         word_ok = (word <= word_limit) | (n_words < MIN_WORDS)[:, None]
         best = (char + word).argmin(1)
         row = np.arange(len(best))
-        return (char_ok & word_ok).any(1), best, char[row, best], word[row, best]
+        unknown = np.array([x is not None and x not in self.languages for x in langs], bool)
+        return (char_ok & word_ok).any(1) | unknown, best, char[row, best], word[row, best]
 
 
 def references(docs: DataFrame) -> References:
     """References of the languages of docs, from all its labelled rows."""
     rows = common.pick(docs, lang="string", text="string").filter("lang is not null and text is not null")
-    tally = common.save(rows.mapInArrow(_tally, "lang string, word long, n long, chars array<long>"), "quality-tally")
-    words = tally.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    totals = words.filter("word = 0").select("lang", F.col("n").alias("total"))
-    kept = words.join(F.broadcast(totals), "lang").filter((F.col("word") == 0) | (F.col("n") * COMMON >= F.col("total"))).select("lang", "word", "n").collect()
-    chars = tally.filter("chars is not null").select("lang", F.posexplode("chars").alias("k", "c")).groupBy("lang", "k").agg(F.sum("c").alias("c")).collect()
-    out: dict[str, np.ndarray] = {}
-    for r in chars:
-        out.setdefault(r["lang"], np.zeros(_CLASSES))[r["k"]] = r["c"]
-    common.forget(tally)
-    return References([(r["lang"], r["word"], r["n"]) for r in kept], out)
+    sums = common.save(rows.mapInArrow(_tally, _TALLY).groupBy("lang", "kind", "word").agg(F.sum("n").alias("n")), "quality-sums")
+    totals = {r["lang"]: r["n"] for r in sums.filter(F.col("kind") == _TOTAL).limit(MAX_LANGUAGES + 1).collect()}
+    if len(totals) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    each = F.broadcast(docs.sparkSession.createDataFrame([(x, int(n)) for x, n in totals.items() if n >= MIN_REFERENCE], "lang string, total long"))
+    known = sums.join(each, "lang")
+    common_words = known.filter((F.col("kind") == _WORD) & (F.col("n") * COMMON >= F.col("total"))).select("word").distinct()
+    # At most COMMON words for a language, with their counts in all.
+    kept = known.filter(F.col("kind") == _WORD).join(F.broadcast(common_words), "word").select("lang", "word", "n").collect()
+    chars: dict[str, np.ndarray] = {}
+    for r in known.filter(F.col("kind") == _CHARS).collect():
+        chars.setdefault(r["lang"], np.zeros(_CLASSES))[r["word"]] = r["n"]
+    common.forget(sums)
+    return References([tuple(r) for r in kept], totals, chars)
 
 
 _MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def judge(refs: References, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def judge(refs: References, data: np.ndarray, offsets: np.ndarray, langs: list[str | None]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(measures, fails base, kept, nearest language, distances) of each chunk of documents."""
     np.seterr(over="ignore")
     for w in K.words(data, offsets):
         m = base_measures(w)
         failed = fails_base(m)
-        passed, best, char, word = refs.verdict(K.runs(data, offsets, w.lo, w.hi, K.SPACE, True), m["n_words"])
+        passed, best, char, word = refs.verdict(K.runs(data, offsets, w.lo, w.hi, K.SPACE, True), m["n_words"], langs[w.lo : w.hi])
         yield m, failed, ~failed & passed, best, char, word
 
 
@@ -215,7 +232,7 @@ def _assess(refs: References):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for m, failed, kept, best, char, word in judge(refs, *K.column_bytes(batch.column(1))):
+            for m, failed, kept, best, char, word in judge(refs, *K.column_bytes(batch.column(1)), batch.column(2).to_pylist()):
                 n = len(failed)
                 names = [refs.languages[b] if b >= 0 else None for b in best]
                 yield pa.RecordBatch.from_arrays(
@@ -223,6 +240,7 @@ def _assess(refs: References):
                     names=["doc_id", *_MEASURES, "base_failed", "kept", "nearest_lang", "char_distance", "word_distance"],
                 )
                 at += n
+        K.settle()
 
     return run
 
@@ -231,7 +249,7 @@ def assess(docs: DataFrame, refs: References | None = None) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and the nearest language with its distances."""
     refs = refs or references(docs)
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in _MEASURES) + ", base_failed boolean, kept boolean, nearest_lang string, char_distance double, word_distance double"
-    return common.pick(docs, doc_id="long", text="string").mapInArrow(_assess(refs), schema)
+    return common.pick(docs, doc_id="long", text="string", lang="string").mapInArrow(_assess(refs), schema)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -239,4 +257,10 @@ def keep_good(docs: DataFrame) -> DataFrame:
     from .rowflag import keep_where
 
     refs = references(docs)
-    return keep_where(docs, lambda data, offsets: np.concatenate([k for _, _, k, *_ in judge(refs, data, offsets)] or [np.zeros(0, bool)]))
+    at = docs.columns.index("lang") if "lang" in docs.columns else None
+
+    def decide(data: np.ndarray, offsets: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        langs = batch.column(at).cast(pa.string()).to_pylist() if at is not None else [None] * batch.num_rows
+        return np.concatenate([k for _, _, k, *_ in judge(refs, data, offsets, langs)] or [np.zeros(0, bool)])
+
+    return keep_where(docs, decide)

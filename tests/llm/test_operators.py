@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from loomstead.llm import ann, common, langid, license_scan, lm, ngram_join, pack, quality, shard, sp_codec, textkernel, warc
 from loomstead.llm.queries import tokenizer_file
@@ -406,10 +407,22 @@ def test_shards(spark, docs, rows):
     for r in got:
         groups[own[r.doc_id]].add(r.shard)
         bytes_of[own[r.doc_id]] += r["size"]
-    total = sum(bytes_of.values())
-    n = Counter(own.values())
-    # A group stays whole unless its bytes or rows exceed 1/64 of a shard.
-    assert all(len(s) == 1 for t, s in groups.items() if bytes_of[t] * 8 * 64 < total and n[t] * 8 * 64 < len(rows))
+    assert all(len(x) == 1 for x in groups.values())  # none is larger than a shard
+
+
+@pytest.mark.parametrize("folder", ["0.01", "0.1"])
+def test_shards_keep_groups_whole_and_stay_balanced(spark, sf, folder):
+    d = spark.read.parquet(f"{sf.replace('0.001', folder)}/documents.parquet")
+    got = shard.shard_documents(d).groupBy("group_key").agg(F.countDistinct("shard").alias("n")).filter("n > 1").count()
+    sizes = [r[1] for r in shard.shard_documents(d).groupBy("shard").agg(F.sum("size")).collect()]
+    assert got == 0 and len(sizes) == 8 and max(sizes) < 1.002 * min(sizes)
+
+
+def test_shards_of_equal_rows(spark):
+    """Rows equal in everything, two thirds of all, more than a shard holds: they are one part, whose slots have no gaps."""
+    rows = [(7, "hot text")] * 300 + [(k, f"text {k}") for k in range(150)]
+    got = shard.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check_shards(got, rows)
 
 
 def test_shards_odd_rows_and_hot_group(spark):
@@ -526,26 +539,83 @@ def test_quality_measures(spark, docs, rows):
 
 def test_quality_divergence_against_plain_python(spark, docs, rows):
     refs = quality.references(docs)
-    counts = defaultdict(Counter)
+    counts, classes = defaultdict(Counter), defaultdict(Counter)
+
+    def kind(c):
+        for k, some in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".,;:!?'\"()-", "#*$%&|<>")):
+            if c in some:
+                return k
+        return 5 if ord(c) > 127 else 6 if c in "{}[]_=+/\\@^~`" else 7
+
     for _, t, lang, *_ in rows:
         counts[lang].update(words(t, lower=True))
-    for lang, shares in zip(refs.languages, refs.word_shares):
-        total = sum(counts[lang].values())
-        hashes = {textkernel.hash_word(x.encode()): c for x, c in counts[lang].items()}
-        for h, s in zip(refs.words, shares):
-            if hashes.get(int(h), 0) * quality.COMMON >= total:
-                assert s == pytest.approx(hashes[int(h)] / total, rel=0.01)
+        classes[lang].update(kind(c) for w in words(t) for c in w)
+    frequent = {w for c in counts.values() for w, n in c.items() if n * quality.COMMON >= sum(c.values())}
+
+    def distance(p, q):
+        m = Counter({k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in {*p, *q}})
+        part = lambda x: sum(v * math.log2(v / m[k]) for k, v in x.items() if v)
+        return math.sqrt(max(0.0, (part(p) + part(q)) / 2))
+
+    def shares(c):
+        total = sum(c.values())
+        return {k: v / total for k, v in c.items()} if total else {}
+
+    def by_common(c):
+        return shares(Counter({w: n for w, n in c.items() if w in frequent}) + Counter({None: sum(n for w, n in c.items() if w not in frequent)}))
+
+    model = {lang: (shares(classes[lang]), by_common(counts[lang])) for lang in counts}
+    assert refs.languages == sorted(counts) and len(refs.words) == len(frequent)
+    got = {r.doc_id: r for r in quality.assess(docs, refs).collect()}
+    for d, t, *_ in rows:
+        w, chars = words(t, lower=True), Counter(kind(c) for x in words(t) for c in x)
+        if not w:
+            continue
+        each = {lang: (distance(shares(chars), p), distance(by_common(Counter(w)), q)) for lang, (p, q) in model.items()}
+        r = got[d]
+        nearest = min(sorted(each), key=lambda x: sum(each[x]))
+        assert sum(each[r.nearest_lang]) == pytest.approx(sum(each[nearest]), abs=1e-9)
+        assert (r.char_distance, r.word_distance) == pytest.approx(each[r.nearest_lang], abs=1e-6)
+        fits = any((a <= quality.CHAR_LIMIT or sum(chars.values()) < quality.MIN_CHARS) and (b <= quality.WORD_LIMIT or len(w) < quality.MIN_WORDS) for a, b in each.values())
+        assert r.kept == (fits and not r.base_failed), d
     p, q = np.array([[0.5, 0.5, 0.0]]), np.array([0.0, 0.5, 0.5])
     assert quality.js_distance(p, q)[0] == pytest.approx(math.sqrt(0.5))
 
 
-def test_quality_rejects_noise_and_keeps_prose(spark, docs):
+def test_quality_references_do_not_depend_on_partitions(spark, docs, monkeypatch):
+    a, b = quality.references(docs.coalesce(1)), quality.references(docs.repartition(16))
+    assert (a.words == b.words).all() and all((x == y).all() for x, y in zip(a.word_shares + a.char_shares, b.word_shares + b.char_shares))
+    batch = docs.select("lang", "text").toArrow().combine_chunks().to_batches()
+    sums = []
+    for held in (10**6, 500):  # counts sent on again and again
+        monkeypatch.setattr(quality, "HELD", held)
+        monkeypatch.setattr(textkernel, "chunks", lambda offsets, size=0: ((k, min(k + 9, len(offsets) - 1)) for k in range(0, len(offsets) - 1, 9)))
+        c = Counter()
+        for out in quality._tally(iter(batch)):
+            for r in out.to_pylist():
+                c[r["lang"], r["kind"], r["word"]] += r["n"]
+        sums.append(c)
+    assert sums[0] == sums[1]
+
+
+def test_quality_keeps_languages_without_a_reference(spark, docs):
+    refs = quality.references(docs)
+    text = "wakati mwingine ni vizuri kusoma kitabu kipya " + " ".join(f"neno{k}ka" for k in range(90))
+    d = spark.createDataFrame([(1, text, "sw"), (2, text, None)], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.kept for r in quality.assess(d, refs).collect()} == {1: True, 2: False}
+    assert [r.doc_id for r in quality.keep_good(d).collect()] == [1, 2]  # here no language has a reference
+
+
+def test_quality_rejects_noise_and_keeps_prose(spark, sf, docs):
     rng = np.random.default_rng(1)
     noise = [(10_000 + k, "".join(rng.choice(list("#*$%&|<>0123456789=+/{} "), 800))) for k in range(5)]
     prose = docs.select("doc_id", "text", "lang")
     both = prose.unionByName(spark.createDataFrame([(d, t, None) for d, t in noise], "doc_id long, text string, lang string"))
-    got = {r.doc_id: r.kept for r in quality.assess(both, quality.references(docs)).collect()}
-    assert not any(got[d] for d, _ in noise)
+    refs = quality.references(docs)
+    got = {r.doc_id: r for r in quality.assess(both, refs).collect()}
+    assert not any(got[d].kept for d, _ in noise)
+    good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1 and toxic = 0").collect()}
+    assert len(good) > 20 and all(got[d].kept for d in good if not got[d].base_failed)
 
 
 # --- op10
@@ -561,8 +631,6 @@ def test_language_id_on_held_out_rows(spark, sf):
 
 
 def test_language_id_ignores_held_out_labels(spark, docs):
-    from pyspark.sql import functions as F
-
     wrong = docs.withColumn("lang", F.when(langid.held_out(F.col("doc_id")), "xx").otherwise(F.col("lang")))
     a = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs).collect()}
     assert a == {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(wrong).collect()}

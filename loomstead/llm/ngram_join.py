@@ -6,14 +6,16 @@ each box) find the pairs that may be similar, and those are verified on whole se
 
 An R-tree over all documents would compare every document with most boxes, so trees are built inside blocks
 that every linked pair shares: with a threshold t, two linked sets share one of their first (1 - t) n + 1
-shingles in any common order. The order here puts frequent shingles last, so passages that many documents share
+shingles in any common order. The first that they share lies where the rest of both sets is still large enough for
+the overlap, so entries of a block whose sizes or places rule that out are no pair. The order here puts frequent shingles last, so passages that many documents share
 don't form large blocks; it is a matter of speed alone, the result holds for every order.
 
-Steps, each linear in its input: (1) one row per document: class (64-bit hash of its set), size, point;
-frequent shingles by task. (2) first shingles, packed by range of hash; shingles of two or more classes give
-blocks, equal blocks are merged. (3) R-trees in blocks give candidate pairs of classes. (4) candidate pairs
-are verified on texts, grouped by component of the candidates, large components in pairs of chunks. (5) links
-are counted with the sizes of classes; components of links give the groups. Copies are never expanded into pairs.
+Steps: (1) one row per document: class (64-bit hash of its set), size, point; frequent shingles by task. (2) first shingles,
+packed by range of hash; shingles of two or more classes give blocks, equal blocks are merged. (3) families: classes that
+pairs connect which share a block and whose points allow a link. A pair is tested only while its classes are in different
+families, so a block of near copies costs about a test for each class. (4) in each family, large ones in pairs of chunks, an R-tree
+over the points proposes pairs, which are verified on the whole sets of the texts; only counts and edges leave the task.
+(5) counts are summed with the sizes of classes; components of edges give the groups. Neither copies nor candidates are ever stored as pairs.
 
 Edge cases: null or blank text has an empty set, no link and its own id as component; rows that repeat a doc_id
 count as documents of their own; a null doc_id is counted but is nobody's component_id; other columns are ignored.
@@ -38,12 +40,16 @@ ORDERED = 1 << 19
 LOCAL_DF = 2
 LEVELS = (4, 12)
 LEAF = 16
-TREE_FROM = 64
-CHUNK_DOCS = 2048
-GROUP_ROWS = 150_000
+#: Classes of a block beyond which it is cut into pairs of chunks; rows of blocks in a task of step 3.
+BLOCK_CLASSES, GROUP_ROWS = 8192, 150_000
+#: Classes of a family beyond which it is verified in pairs of chunks; shingles and classes in a task of step 4, about.
+CHUNK_DOCS, GROUP_SHINGLES, GROUP_CLASSES = 1024, 1_500_000, 2_000
 #: Bits of the map of texts that verification needs: 8 MB, whatever the input; a set bit too many costs time alone.
 MAP_BITS = 26
 
+#: Sizes of sets from here on are one in step 2; blocks of more classes than FEW aren't divided by size and place.
+LARGE, FEW = 65_535, 16
+
 _DOCS = "kind int, doc_id long, text_hash long, cls long, n long, level int, excess int, point binary, shingle long, df long"
 
 
@@ -108,13 +114,16 @@ def _describe(width: int):
 
 
 def _prefixes(width: int, num: int, den: int, buckets: int, ordered: tuple[np.ndarray, np.ndarray]):
-    """Packs the first shingles of documents by bucket: classes, numbers of shingles, low halves of hashes."""
+    """Packs the first shingles of documents by bucket: classes, sizes, numbers of shingles, and for each shingle 24 bits of its hash below its place.
+
+    Two shingles of a bucket that share the 24 bits make a block too many at worst.
+    """
     last, rank = ordered
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for batch in batches:
-            hs, cs = [], []
+            hs, cs, ns, vs = [], [], [], []
             for _, _, h, offsets in _sets(batch, "text", width):
                 n = np.diff(offsets)
                 doc = np.repeat(np.arange(len(n)), n)
@@ -123,15 +132,19 @@ def _prefixes(width: int, num: int, den: int, buckets: int, ordered: tuple[np.nd
                     r = np.where(last[at] == h, rank[at], 0)
                     h = h[np.argsort(doc * (len(last) + 2) + r, kind="stable")]
                 first = np.where(n > 0, n + (-num * n // den) + 1, 0)
-                keep = np.arange(len(h)) - offsets[doc] < first[doc]
+                place = np.arange(len(h)) - offsets[doc]
+                keep = place < first[doc]
                 hs.append(h[keep])
-                cs.append(np.repeat(classes_of_sorted(h, offsets), first))
+                cs.append(np.repeat(classes_of(h, offsets), first))  # sums, which don't depend on the order
+                ns.append(np.repeat(np.minimum(n, LARGE).astype(np.uint16), first))
+                share = np.minimum(place[keep] * 255 * den // (n[doc[keep]] * (den - num)), 255) if num < den else np.zeros(keep.sum(), np.int64)
+                vs.append((h[keep] & _U(0xFFFFFF)).astype(np.uint32) | share.astype(np.uint32) << np.uint32(24))
             if not hs:
                 continue
-            h, c = np.concatenate(hs), np.concatenate(cs)
+            h, c, n, v = np.concatenate(hs), np.concatenate(cs), np.concatenate(ns), np.concatenate(vs)
             bucket = ((h >> _U(40)) * _U(buckets) >> _U(24)).astype(np.int64)
             order = np.lexsort((c, bucket))
-            h, c, bucket = (h[order] & _U(0xFFFFFFFF)).astype(np.uint32), c[order], bucket[order]
+            c, n, v, bucket = c[order], n[order], v[order], bucket[order]
             new = np.ones(len(c), bool)
             new[1:] = (c[1:] != c[:-1]) | (bucket[1:] != bucket[:-1])
             starts = np.flatnonzero(new)
@@ -141,41 +154,57 @@ def _prefixes(width: int, num: int, den: int, buckets: int, ordered: tuple[np.nd
             for lo, hi in zip(edges[:-1], edges[1:]):
                 a, b = np.searchsorted(starts, [lo, hi])
                 ids.append(int(bucket[lo]))
-                blobs.append((c[starts[a:b]].tobytes(), lengths[a:b].tobytes(), h[lo:hi].tobytes()))
+                blobs.append((c[starts[a:b]].tobytes(), n[starts[a:b]].tobytes(), lengths[a:b].tobytes(), v[lo:hi].tobytes()))
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *[pa.array(x, pa.binary()) for x in zip(*blobs)]], names=["bucket", "classes", "lengths", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *[pa.array(x, pa.binary()) for x in zip(*blobs)]], names=["bucket", "classes", "sizes", "lengths", "hashes"])
 
     return run
 
 
-def classes_of_sorted(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return classes_of(h, offsets)  # sums don't depend on the order
-
-
-def _blocks(table: pa.Table) -> pa.Table:
-    """Shingles of two or more classes; equal sets of classes once."""
-    np.seterr(over="ignore")
-    cls = np.frombuffer(b"".join(table["classes"].to_pylist()), np.int64)
-    lengths = np.frombuffer(b"".join(table["lengths"].to_pylist()), np.uint32)
-    h = np.frombuffer(b"".join(table["hashes"].to_pylist()), np.uint32)
-    c = np.repeat(cls, lengths)
-    order = np.lexsort((c, h))
-    h, c = h[order], c[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-    h, c = h[new], c[new]
-    at = np.flatnonzero(np.diff(h.astype(np.int64), prepend=-1, append=-2))
-    m = np.diff(at)
-    sums = np.concatenate([[_U(0)], np.cumsum(K.mix(c.view(np.uint64)), dtype=np.uint64)])
-    key = K.mix(sums[at[1:]] - sums[at[:-1]] + m.astype(np.uint64)) if len(m) else np.zeros(0, np.uint64)
-    big = np.flatnonzero(m >= 2)
-    _, one = np.unique(key[big], return_index=True)
-    pick = big[one]
-    n = m[pick]
-    where = np.repeat(at[pick] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    members = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int64)), pa.array(c[where])).cast(pa.list_(pa.int64()))
-    # Members ascend, so a block's first is its smallest class: blocks of one family of copies mostly share it.
-    return pa.table({"block": pa.array(key[pick].view(np.int64)), "m": pa.array(n.astype(np.int64)), "least": pa.array(c[at[pick]]), "members": members})
+def _blocks(num: int, den: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Shingles of two or more classes, as far as sizes and places allow a link; equal sets of classes once."""
+        np.seterr(over="ignore")
+        cls, sizes, lengths, v = (np.frombuffer(b"".join(table[x].to_pylist()), kind) for x, kind in (("classes", np.int64), ("sizes", np.uint16), ("lengths", np.uint32), ("hashes", np.uint32)))
+        c, n = np.repeat(cls, lengths), np.repeat(sizes, lengths).astype(np.int64)
+        h = v & np.uint32(0xFFFFFF)
+        order = np.lexsort((c, h))
+        h, c, n, v = h[order], c[order], n[order], v[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+        h, c, n = h[new], c[new], n[new]
+        left = n - (v[new] >> np.uint32(24)).astype(np.int64) * n * (den - num) // (255 * den)  # of the set from here on, at most
+        at = np.flatnonzero(np.diff(h.astype(np.int64), prepend=-1, append=-2))
+        m = np.diff(at)
+        # Labels: the first entry of what is connected; larger blocks stay whole.
+        label = np.where(np.repeat(m, m) > FEW, np.repeat(at[:-1], m), np.arange(len(h)))
+        some = np.flatnonzero((m >= 2) & (m <= FEW))
+        total, lo, pairs = np.cumsum(m[some] * (m[some] - 1) // 2), 0, []
+        while lo < len(some):
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + 1_000_000, "right")))
+            i, j = _pairs_in(at[some[lo:hi]], m[some[lo:hi]])
+            fits = (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])) & ((num + den) * np.minimum(left[i], left[j]) >= num * (n[i] + n[j]))
+            fits |= (n[i] == LARGE) | (n[j] == LARGE)  # sizes that aren't known
+            pairs.append((i[fits], j[fits]))
+            lo = hi
+        if pairs:
+            x, y = stars(np.concatenate([p for p, _ in pairs]), np.concatenate([p for _, p in pairs]), len(h))
+            label[x] = y
+        order = np.argsort(label, kind="stable")
+        c, at = c[order], np.flatnonzero(np.diff(label[order], prepend=-1, append=-2))
+        m = np.diff(at)
+        sums = np.concatenate([[_U(0)], np.cumsum(K.mix(c.view(np.uint64)), dtype=np.uint64)])
+        key = K.mix(sums[at[1:]] - sums[at[:-1]] + m.astype(np.uint64)) if len(m) else np.zeros(0, np.uint64)
+        big = np.flatnonzero(m >= 2)
+        _, one = np.unique(key[big], return_index=True)
+        pick = big[one]
+        size = m[pick]
+        where = np.repeat(at[pick] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        members = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.array(c[where])).cast(pa.list_(pa.int64()))
+        # Members ascend, so a block's first is its smallest class: blocks of one family of copies mostly share it.
+        return pa.table({"block": pa.array(key[pick].view(np.int64)), "m": pa.array(size.astype(np.int64)), "least": pa.array(c[at[pick]]), "members": members})
+
+    return run
 
 
 def stars(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -250,113 +279,136 @@ def _pairs_in(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     return i, j
 
 
-def covered(row: np.ndarray, edges: np.ndarray, half: np.ndarray, least: int = 9, kept: int = 8) -> np.ndarray:
-    """True for lists whose members all lie in a larger list that starts with the same member: its pairs are that one's too."""
-    sizes = np.diff(edges)
-    out = np.zeros(len(sizes), bool)
-    at = np.flatnonzero(sizes >= least)
-    at = at[half[edges[at]] < 0] if len(at) else at
-    first = row[edges[at]] if len(at) else at
-    at = at[np.lexsort((-sizes[at], first))]
-    lead, large = -1, []
-    for k in at.tolist():
-        part = row[edges[k] : edges[k + 1]]
-        if part[0] != lead:
-            lead, large = part[0], []
-        for big in large:
-            where = np.minimum(np.searchsorted(big, part), len(big) - 1)
-            if (big[where] == part).all():
-                out[k] = True
-                break
-        else:
-            if len(large) < kept:
-                large.append(part)
+class Points:
+    """Count vectors of classes by level, unpacked, and those of a level folded to the one below.
+
+    Counts end at 15, and what is above counts as excess: an overlap is at most the sum of minima and the lesser excess.
+    """
+
+    def __init__(self, level: np.ndarray, packed: list[bytes], excess: np.ndarray):
+        self.level, self.place, self.of = level, np.zeros(len(level), np.int64), {}
+        for lv in np.unique(level).tolist():
+            at = np.flatnonzero(level == lv)
+            self.place[at] = np.arange(len(at))
+            raw = np.frombuffer(b"".join(packed[x] for x in at), np.uint8).reshape(len(at), -1)
+            full = np.empty((len(at), raw.shape[1] * 2), np.uint8)
+            full[:, 0::2], full[:, 1::2] = raw & 15, raw >> 4
+            self.of[lv, lv] = full, excess[at]
+            if lv > 0:
+                down = fold(full, lv - 1)
+                self.of[lv, lv - 1] = np.minimum(down, 15).astype(np.uint8), excess[at] + np.maximum(down.astype(np.int64) - 15, 0).sum(1)
+
+    def rows(self, which: np.ndarray, own: int, lv: int) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of classes of level `own` on level lv, and excess."""
+        counts, excess = self.of[own, lv]
+        return counts[self.place[which]], excess[self.place[which]]
+
+
+def _bounds(points: Points, n: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """True for pairs whose sizes and points allow a link."""
+    out = (den * np.minimum(n[a], n[b]) >= num * np.maximum(n[a], n[b])) & (np.abs(points.level[a] - points.level[b]) <= 1)
+    low, high = np.minimum(points.level[a], points.level[b]), np.maximum(points.level[a], points.level[b])
+    for lv in np.unique(low[out]).tolist():
+        for up in (lv, lv + 1):
+            every = np.flatnonzero(out & (low == lv) & (high == up))
+            step = max(1, (1 << 21) >> lv)
+            for lo in range(0, len(every), step):
+                at = every[lo : lo + step]
+                x, y = np.where(points.level[a[at]] == lv, a[at], b[at]), np.where(points.level[a[at]] == lv, b[at], a[at])
+                (p, e), (q, f) = points.rows(x, lv, lv), points.rows(y, up, lv)
+                out[at] = _may_link(np.minimum(p, q).sum(1, dtype=np.int64) + np.minimum(e, f), n[x], n[y], num, den)
     return out
 
 
-def _candidates(num: int, den: int):
+def tree_pairs(points: Points, n: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (of left, of right) that R-trees over the points of right find; of pairs of one set with itself, both orders come."""
+    some_a, some_b = [], []
+    for lv in np.unique(points.level[right]).tolist():
+        inner = right[points.level[right] == lv]
+        trees: dict[int, RTree] = {}
+        for up in (lv - 1, lv, lv + 1):  # where levels differ by one, the finer side is folded
+            outer = left[points.level[left] == up]
+            if len(outer):
+                at = min(lv, up)
+                if at not in trees:
+                    p, e = points.rows(inner, lv, at)
+                    trees[at] = RTree(p, n[inner], e, num, den)
+                p, e = points.rows(outer, up, at)
+                a, b = trees[at].search(p, n[outer], e)
+                some_a.append(outer[a])
+                some_b.append(inner[b])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(some_a), np.concatenate(some_b)) if some_a else (none, none)
+
+
+class Families:
+    """Labels of classes: the smallest class that each is connected with so far."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        if len(a):
+            nodes, at = np.unique(self.label[np.concatenate([a, b])], return_inverse=True)
+            x, y = stars(at[: len(a)], at[len(a) :], len(nodes))
+            if len(x):
+                to = np.arange(len(self.label))
+                to[nodes[x]] = nodes[y]
+                self.label = to[self.label]
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.label[a] != self.label[b]
+
+
+def _connect(families: Families, member: np.ndarray, points: Points, n: np.ndarray, num: int, den: int) -> None:
+    """Joins what pairs of a large block connect."""
+    for k in (0, len(member) // 2, -1):  # a few members are compared with all: near copies end up in one family at once
+        other = member[families.apart(member, np.full(len(member), member[k]))]
+        if not len(other):
+            return
+        first = np.full(len(other), member[k])
+        ok = _bounds(points, n, first, other, num, den)
+        families.join(first[ok], other[ok])
+    # Each pair across families has an end outside the largest one.
+    names, counts = np.unique(families.label[member], return_counts=True)
+    rest = member[families.label[member] != names[counts.argmax()]]
+    for lo in range(0, len(rest), 256):
+        some = rest[lo : lo + 256]
+        a, b = tree_pairs(points, n, some, member, num, den)
+        ok = families.apart(a, b)
+        families.join(a[ok], b[ok])
+        if (families.label[member] == families.label[member[0]]).all():
+            return
+
+
+def _families(num: int, den: int):
     def run(key: tuple, lists: pa.Table, table: pa.Table) -> pa.Table:
-        """Pairs of classes in the blocks of one group of blocks, by R-tree where a block is large (kind 0), and edges that connect as they do (kind 1)."""
+        """Edges (class, smallest class of its family) of one group of blocks."""
         pick = np.argsort(table["cls"].to_numpy(), kind="stable")
         u = table["cls"].to_numpy()[pick]
         n, level, excess = (table[c].to_numpy()[pick].astype(np.int64) for c in ("n", "level", "excess"))
-        counts = pc.list_value_length(lists["members"]).to_numpy().astype(np.int64)
+        sizes = pc.list_value_length(lists["members"]).to_numpy().astype(np.int64)
         row = np.searchsorted(u, pc.list_flatten(lists["members"]).to_numpy())
-        half = pc.list_flatten(lists["halves"]).to_numpy()
-        edges = np.concatenate([[0], np.cumsum(counts)])
-        points: dict[int, np.ndarray] = {}
-        place = np.zeros(len(u), np.int64)
-        raw = table["point"].take(pa.array(pick)).to_pylist()
-        for lv in np.unique(level):
-            at = np.flatnonzero(level == lv)
-            place[at] = np.arange(len(at))
-            packed = np.frombuffer(b"".join(raw[x] for x in at), np.uint8).reshape(len(at), -1)
-            full = np.empty((len(at), packed.shape[1] * 2), np.uint8)
-            full[:, 0::2], full[:, 1::2] = packed & 15, packed >> 4
-            points[int(lv)] = full
-        del raw
-        folded = {(lv, lv): p for lv, p in points.items()}
-        for lv in points:
-            if lv + 1 in points:
-                folded[lv + 1, lv] = fold(points[lv + 1], lv)
-        sizes = np.where(covered(row, edges, half), 0, counts)
-        known, fresh, waiting = np.zeros(0, np.int64), [], 0
-
-        def add(a: np.ndarray, b: np.ndarray) -> None:
-            """Blocks of one family give the same pairs again and again; few of them wait at a time."""
-            nonlocal known, fresh, waiting
-            fresh.append(np.unique(np.minimum(a, b) * len(u) + np.maximum(a, b)))
-            waiting += len(fresh[-1])
-            if waiting > 1_000_000:
-                known, fresh, waiting = np.unique(np.concatenate([known, *fresh])), [], 0
-
-        def keep(a: np.ndarray, b: np.ndarray) -> None:
-            """a, b: numbers of classes, whose pairs are tested by their points."""
-            ok = (den * np.minimum(n[a], n[b]) >= num * np.maximum(n[a], n[b])) & (a != b)
-            a, b = a[ok], b[ok]
-            key = np.unique(np.minimum(a, b) * len(u) + np.maximum(a, b))
-            a, b = key // len(u), key % len(u)
-            low, high = np.minimum(level[a], level[b]), np.maximum(level[a], level[b])
-            for lv in np.unique(low):
-                for up in (lv, lv + 1):
-                    at = np.flatnonzero((low == lv) & (high == up))
-                    step = max(1, (1 << 21) >> int(lv))
-                    for lo in range(0, len(at), step):
-                        x, y = a[at[lo : lo + step]], b[at[lo : lo + step]]
-                        x, y = np.where(level[x] <= level[y], x, y), np.where(level[x] <= level[y], y, x)
-                        bound = np.minimum(points[int(lv)][place[x]], folded[int(up), int(lv)][place[y]]).sum(1, dtype=np.int64) + np.minimum(excess[x], excess[y])
-                        good = _may_link(bound, n[x], n[y], num, den)
-                        add(x[good], y[good])
-
-        small = np.flatnonzero((sizes >= 2) & (sizes <= TREE_FROM))
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        points = Points(level, table["point"].take(pa.array(pick)).to_pylist(), excess)
+        families = Families(len(u))
+        small = np.flatnonzero((sizes >= 2) & (sizes <= 64))
+        small = small[np.argsort(-sizes[small], kind="stable")]
         total, lo = np.cumsum(sizes[small] * (sizes[small] - 1) // 2), 0
+        for s in np.flatnonzero(sizes > 64)[np.argsort(-sizes[sizes > 64], kind="stable")].tolist():
+            _connect(families, row[edges[s] : edges[s + 1]], points, n, num, den)
         while lo < len(small):
-            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + 500_000, "right")))
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + 200_000, "right")))
             i, j = _pairs_in(edges[small[lo:hi]], sizes[small[lo:hi]])
-            ok = (half[i] < 0) | (half[i] != half[j])
-            keep(row[i[ok]], row[j[ok]])
+            a, b = row[i], row[j]
+            ok = families.apart(a, b)
+            code = np.unique(np.minimum(a[ok], b[ok]) * len(u) + np.maximum(a[ok], b[ok]))
+            a, b = code // len(u), code % len(u)
+            ok = _bounds(points, n, a, b, num, den)
+            families.join(a[ok], b[ok])
             lo = hi
-        for s in np.flatnonzero(sizes > TREE_FROM):
-            rows = slice(edges[s], edges[s + 1])
-            member, side = row[rows], half[rows]
-            for lv in np.unique(level[member]):
-                inner = member[level[member] == lv]
-                tree = RTree(points[int(lv)][place[inner]], n[inner], excess[inner], num, den)
-                halves = dict(zip(member, side))
-                for up in (lv, lv + 1):
-                    outer = member[level[member] == up]
-                    if not len(outer):
-                        continue
-                    q, p = tree.search(folded[int(up), int(lv)][place[outer]], n[outer], excess[outer])
-                    a, b = outer[q], inner[p]
-                    ok = (a < b) if up == lv else np.ones(len(a), bool)
-                    if (side >= 0).any():
-                        ok &= np.array([halves[x] != halves[y] for x, y in zip(a, b)], bool)
-                    add(a[ok], b[ok])
-        pairs = np.unique(np.concatenate([known, *fresh]))
-        a, b = pairs // max(1, len(u)), pairs % max(1, len(u))
-        x, y = stars(a, b, len(u))
-        return pa.table({"kind": pa.array(np.repeat([0, 1], [len(a), len(x)]).astype(np.int32)), "a": pa.array(u[np.concatenate([a, x])]), "b": pa.array(u[np.concatenate([b, y])])})
+        at = np.flatnonzero(families.label != np.arange(len(u)))
+        return pa.table({"a": pa.array(u[at]), "b": pa.array(u[families.label[at]])})
 
     return run
 
@@ -367,12 +419,18 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _needed(bits: np.ndarray):
-    """Rows whose text is on the map."""
+    """Rows whose text is on the map; of rows equal in doc_id and text, one of each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column("text_hash").to_numpy() & ((1 << MAP_BITS) - 1)
-            yield batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            text = batch.column("text_hash").to_numpy()
+            at = text & ((1 << MAP_BITS) - 1)
+            ids = batch.column("doc_id").fill_null(-(2**63)).to_numpy()
+            row = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            row = row[np.lexsort((row, ids[row], text[row]))]
+            new = np.ones(len(row), bool)
+            new[1:] = (text[row][1:] != text[row][:-1]) | (ids[row][1:] != ids[row][:-1])
+            yield batch.take(pa.array(np.sort(row[new])))
 
     return run
 
@@ -385,11 +443,54 @@ def _bits(table: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([int(bit[0]) >> 16], pa.int64()), "bits": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
 
 
-def _verify(width: int, num: int, den: int):
-    def run(key: tuple, texts: pa.Table, pairs: pa.Table) -> pa.Table:
-        """The pairs of one group whose whole sets are similar enough (kind 0), documents that they give each class (kind 2: class, number), and edges that connect as they do (kind 1)."""
+def overlaps(h: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets x and y (sets: h[at[k] : at[k + 1]], distinct)."""
+    n = np.diff(at)
+    u, local = np.unique(h, return_inverse=True)
+    shared = np.bincount(local, minlength=len(u)) > 1
+    rows, row_x = np.unique(x, return_inverse=True)
+    columns, row_y = np.unique(y, return_inverse=True)
+    out = np.zeros(len(x), np.int64)
+    wide = np.flatnonzero(shared)
+    # Products of 0/1 matrices where most pairs are asked for, 2 flops a cell; else the smaller set is looked up in the larger.
+    if len(rows) * len(columns) * len(wide) < 300 * np.minimum(n[x], n[y]).sum():
+        doc = np.repeat(np.arange(len(n)), n)
+        keep = shared[local]
+        doc, item = doc[keep], (np.cumsum(shared) - 1)[local[keep]]
+        order = np.argsort(item, kind="stable")
+        doc, item = doc[order], item[order]
+        in_x, in_y = np.full(len(n), -1), np.full(len(n), -1)
+        in_x[rows], in_y[columns] = np.arange(len(rows)), np.arange(len(columns))
+        product = np.zeros((len(rows), len(columns)), np.float32)
+        for lo in range(0, len(wide), 4096):
+            s = slice(*np.searchsorted(item, [lo, lo + 4096]))
+            left, right = np.zeros((len(rows), 4096), np.float32), np.zeros((len(columns), 4096), np.float32)
+            ok = in_x[doc[s]] >= 0
+            left[in_x[doc[s]][ok], item[s][ok] - lo] = 1
+            ok = in_y[doc[s]] >= 0
+            right[in_y[doc[s]][ok], item[s][ok] - lo] = 1
+            product += left @ right.T
+        return product[row_x, row_y].astype(np.int64)
+    x, y = np.where(n[x] <= n[y], x, y), np.where(n[x] <= n[y], y, x)
+    vocabulary = len(u)
+    held = np.sort(np.repeat(np.arange(len(n)), n) * vocabulary + local)
+    lo, size = 0, np.cumsum(n[x])
+    while lo < len(x):
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + 2_000_000, "right")))
+        m = n[x[lo:hi]]
+        item = np.repeat(at[x[lo:hi]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        probe = np.repeat(y[lo:hi], m) * vocabulary + local[item]
+        hit = held[np.minimum(np.searchsorted(held, probe), len(held) - 1)] == probe
+        out[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), m), hit, minlength=hi - lo).astype(np.int64)
+        lo = hi
+    return out
+
+
+def _verify(width: int, num: int, den: int, keep_pairs: bool):
+    def run(key: tuple, texts: pa.Table) -> pa.Table:
+        """Of one group: the numbers of documents that pairs similar enough give each class (kind 2: class, number), edges that connect as they do (kind 1), and if asked for the pairs (kind 0)."""
         np.seterr(over="ignore")
-        want = texts["cls"].to_numpy()
+        want, side = texts["cls"].to_numpy(), texts["half"].to_numpy()
         hs, keys = [], []
         for batch in texts.select(["text"]).combine_chunks().to_batches():
             for _, _, h, offsets in _sets(batch, "text", width):
@@ -398,45 +499,43 @@ def _verify(width: int, num: int, den: int):
         h = np.concatenate(hs) if hs else np.zeros(0, np.uint64)
         n = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         at = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
-        right = classes_of(h, at) == want
-        ids, one = np.unique(np.where(right, want, np.int64(-(2**63))), return_index=True)
-        a, b = np.searchsorted(ids, pairs["a"].to_numpy()), np.searchsorted(ids, pairs["b"].to_numpy())
-        if len(pairs) and (not len(ids) or (ids[np.minimum(a, len(ids) - 1)] != pairs["a"].to_numpy()).any() or (ids[np.minimum(b, len(ids) - 1)] != pairs["b"].to_numpy()).any()):
-            raise ValueError("a candidate's text is missing")
-        x, y = one[a] if len(a) else a, one[b] if len(b) else b
-        x, y = np.where(n[x] <= n[y], x, y) if len(x) else x, np.where(n[x] <= n[y], y, x) if len(x) else y
-        _, local = np.unique(h, return_inverse=True)
-        vocabulary = int(local.max()) + 1 if len(local) else 1
-        held = np.sort(np.repeat(np.arange(len(n)), n) * vocabulary + local)
-        links = np.zeros(len(x), np.int64)
-        lo, size = 0, np.cumsum(n[x]) if len(x) else np.zeros(0)
-        while lo < len(x):
-            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + 2_000_000, "right")))
-            m = n[x[lo:hi]]
-            item = np.repeat(at[x[lo:hi]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-            probe = np.repeat(y[lo:hi], m) * vocabulary + local[item]
-            hit = held[np.minimum(np.searchsorted(held, probe), len(held) - 1)] == probe
-            links[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), m), hit, minlength=hi - lo).astype(np.int64)
-            lo = hi
-        good = den * links >= num * (n[x] + n[y] - links) if len(x) else np.zeros(0, bool)
+        # One text of each class; a text whose hash is that of another one isn't of the class.
+        right = np.flatnonzero(classes_of(h, at) == want)
+        ids, one = np.unique(want[right], return_index=True)
+        one = right[one]
+        if len(one) < len(np.unique(want)):
+            raise ValueError("a class has no text")
+        m = n[one]
+        h = h[np.repeat(at[one] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))]
+        at = np.concatenate([[0], np.cumsum(m)]).astype(np.int64)
+        side, copies = side[one], texts["copies"].to_numpy()[one]
+        level, excess, packed, edge = _points(h, at)
+        points = Points(level, [packed[edge[k] : edge[k + 1]].tobytes() for k in range(len(level))], excess)
+        every = np.arange(len(ids))
+        left, other = (every[side <= 0], every[side != 0]) if (side >= 0).any() else (every, every)
+        a, b = tree_pairs(points, m, left, other, num, den)
+        ok = (a < b) if len(left) == len(every) else a != b
+        a, b = a[ok], b[ok]
+        links = overlaps(h, at, a, b) if len(a) else np.zeros(0, np.int64)
+        good = den * links >= num * (m[a] + m[b] - links)
         a, b = a[good], b[good]
-        copies = texts["copies"].to_numpy()[one] if len(ids) else np.zeros(0, np.int64)
         others = np.bincount(a, copies[b], minlength=len(ids)) + np.bincount(b, copies[a], minlength=len(ids)) if len(a) else np.zeros(len(ids))
         some = np.flatnonzero(others)
         p, q = stars(a, b, len(ids))
+        x, y = (a, b) if keep_pairs else (a[:0], b[:0])
         return pa.table({
-            "kind": pa.array(np.repeat([0, 1, 2], [len(a), len(p), len(some)]).astype(np.int32)),
-            "a": pa.array(ids[np.concatenate([a, p, some]).astype(np.int64)]), "b": pa.array(np.concatenate([ids[b], ids[q], others[some].astype(np.int64)])),
+            "kind": pa.array(np.repeat([0, 1, 2], [len(x), len(p), len(some)]).astype(np.int32)),
+            "a": pa.array(ids[np.concatenate([x, p, some]).astype(np.int64)]), "b": pa.array(np.concatenate([ids[y], ids[q], others[some].astype(np.int64)])),
         })
 
     return run
 
 
-def jaccard_links(docs: DataFrame, num: int = 70, den: int = 100, width: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, num: int = 70, den: int = 100, width: int = 3, keep_pairs: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, classes, links), written tables.
 
     members: doc_id, cls, n; one row per document. classes: cls, copies, least (smallest doc_id). links: kind, a, b;
-    kind 0: each linked pair of different classes once; kind 1: edges that connect the same classes; kind 2: class and the
+    kind 0: each linked pair of different classes once, if keep_pairs; kind 1: edges that connect the same classes; kind 2: class and the
     number of documents of classes linked with it, in parts to be summed.
     """
     base = common.pick(docs, doc_id="long", text="string").withColumn("text_hash", F.xxhash64("text")).select("doc_id", "text_hash", "text")
@@ -464,9 +563,9 @@ def jaccard_links(docs: DataFrame, num: int = 70, den: int = 100, width: int = 3
     entries = classes.agg(F.sum(F.floor(F.col("n") * (den - num) / den) + 1)).first()[0] or 0
     buckets = max(1, -(-int(entries) // 1_000_000))
     blocks = (
-        base.mapInArrow(_prefixes(width, num, den, buckets, (hashes[order], rank[order])), "bucket int, classes binary, lengths binary, hashes binary")
+        base.mapInArrow(_prefixes(width, num, den, buckets, (hashes[order], rank[order])), "bucket int, classes binary, sizes binary, lengths binary, hashes binary")
         .groupBy("bucket")
-        .applyInArrow(_blocks, "block long, m long, least long, members array<long>")
+        .applyInArrow(_blocks(num, den), "block long, m long, least long, members array<long>")
     )
     blocks = common.save(blocks.dropDuplicates(["block"]), "jaccard-blocks")
     common.release(base.sparkSession)
@@ -475,42 +574,41 @@ def jaccard_links(docs: DataFrame, num: int = 70, den: int = 100, width: int = 3
     groups = max(1, -(-rows // GROUP_ROWS))
     family = blocks.groupBy("least").agg(F.sum("m").alias("w"))
     spread = F.when(F.col("w") > GROUP_ROWS, F.xxhash64("least", F.pmod("block", F.ceil(F.col("w") / GROUP_ROWS)))).otherwise(F.xxhash64("least"))
-    placed = blocks.join(family, "least").withColumn("g", F.pmod(spread, F.lit(groups))).withColumn("c", F.ceil(F.col("m") / CHUNK_DOCS))
-    small = placed.filter("c = 1").select("g", "members", F.transform("members", lambda x: F.lit(-1)).alias("halves"))
+    placed = blocks.join(family, "least").withColumn("g", F.pmod(spread, F.lit(groups))).withColumn("c", F.ceil(F.col("m") / BLOCK_CLASSES))
+    small = placed.filter("c = 1").select("g", "members")
     # A block of more classes is cut into chunks by hash, and each pair of chunks is a list: across chunks, or (i = j) inside one.
-    cut = placed.filter("c > 1").select("block", "c", F.explode("members").alias("x")).withColumn("i", F.pmod(F.xxhash64("x"), "c")).groupBy("block", "c", "i").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    cut = placed.filter("c > 1").select("block", "c", F.explode("members").alias("x")).withColumn("i", F.pmod(F.xxhash64("x"), "c")).groupBy("block", "c", "i").agg(F.collect_list("x").alias("xs"))
     other = cut.select("block", F.col("i").alias("j"), F.col("xs").alias("ys"))
-    large = cut.join(other, "block").filter("i <= j").select(
-        F.pmod(F.xxhash64("block", "i", "j"), F.lit(groups)).alias("g"),
-        F.when(F.col("i") == F.col("j"), F.col("xs")).otherwise(F.concat("xs", "ys")).alias("members"),
-        F.when(F.col("i") == F.col("j"), F.transform("xs", lambda x: F.lit(-1))).otherwise(F.concat(F.transform("xs", lambda x: F.lit(0)), F.transform("ys", lambda x: F.lit(1)))).alias("halves"),
-    )
+    large = cut.join(other, "block").filter("i <= j").select(F.pmod(F.xxhash64("block", "i", "j"), F.lit(groups)).alias("g"), F.when(F.col("i") == F.col("j"), F.col("xs")).otherwise(F.concat("xs", "ys")).alias("members"))
     lists = common.save(small.unionByName(large), "jaccard-lists")
     wanted = lists.select("g", F.explode("members").alias("cls")).distinct().join(classes.select("cls", "n", "level", "excess", "point"), "cls").withColumnRenamed("g", "at")
-    pairs = lists.groupBy("g").cogroup(wanted.groupBy("at")).applyInArrow(_candidates(num, den), "kind int, a long, b long")
-    pairs = common.save(pairs.distinct(), "jaccard-pairs")
+    edges = lists.groupBy("g").cogroup(wanted.groupBy("at")).applyInArrow(_families(num, den), "a long, b long")
+    parts = common.save(common.components(edges, "jaccard-parts"), "jaccard-parts")
     common.forget(blocks, lists)
     common.release(base.sparkSession)
-    parts = common.save(common.components(pairs.filter("kind = 1").select("a", "b"), "jaccard-parts"), "jaccard-parts")
-    sizes = parts.groupBy("label").agg(F.count("*").alias("m"))
-    found = pairs.filter("kind = 0").select("a", "b")
-    placed = found.join(parts.withColumnRenamed("node", "a"), "a").join(sizes, "label")
-    at = lambda c: F.pmod(F.xxhash64(c), F.ceil(F.col("m") / CHUNK_DOCS))
-    # Small components share groups, as a group costs a call; large ones are split into pairs of chunks.
-    few = max(1, -(-int(found.count()) // 4_000))
+    held = parts.withColumnRenamed("node", "cls").join(classes.select("cls", "doc_id", "text_hash", "copies", "n"), "cls")
+    sums = held.agg(F.count("*"), F.sum("n")).first()
+    # Small families share groups, as a group costs a call; large ones are split into pairs of chunks.
+    few = max(1, -(-int(sums[0]) // GROUP_CLASSES), -(-int(sums[1] or 0) // GROUP_SHINGLES))
+    sizes = parts.groupBy("label").agg(F.ceil(F.count("*") / CHUNK_DOCS).alias("c"))
+    held = held.join(sizes, "label").withColumn("i", F.pmod(F.xxhash64("cls"), "c")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)))
     whole = F.pmod(F.xxhash64("label"), F.lit(few))
-    split = F.xxhash64("label", F.least(at("a"), at("b")), F.greatest(at("a"), at("b")))
-    placed = common.save(placed.select("a", "b", F.when(F.col("m") <= CHUNK_DOCS, whole).otherwise(split).alias("g")), "jaccard-placed")
-    needed = placed.select(F.col("g").alias("part"), F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "doc_id", "text_hash", "copies"), "cls")
+    needed = common.save(
+        held.select(
+            F.when(F.col("c") == 1, whole).otherwise(F.xxhash64("label", F.least("i", "j"), F.greatest("i", "j"))).alias("part"),
+            F.when(F.col("i") == F.col("j"), -1).when(F.col("i") < F.col("j"), 0).otherwise(1).alias("half"), "cls", "doc_id", "text_hash", "copies",
+        ),
+        "jaccard-needed",
+    )
     bit = needed.select(F.col("text_hash").bitwiseAND((1 << MAP_BITS) - 1).alias("bit")).distinct()
     bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
     for r in bit.groupBy(F.shiftright("bit", 16)).applyInArrow(_bits, "part long, bits binary").collect():
         bits[r["part"] << 13 : (r["part"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
     t = base.mapInArrow(_needed(bits), base.schema).alias("t")
     n = needed.alias("n")
-    texts = t.join(n, (F.col("t.text_hash") == F.col("n.text_hash")) & F.col("t.doc_id").eqNullSafe(F.col("n.doc_id"))).select("n.part", "n.cls", "n.copies", "t.text")
-    links = common.save(texts.groupBy("part").cogroup(placed.groupBy("g")).applyInArrow(_verify(width, num, den), "kind int, a long, b long"), "jaccard-links")
-    common.forget(placed, pairs, parts)
+    texts = t.join(n, (F.col("t.text_hash") == F.col("n.text_hash")) & F.col("t.doc_id").eqNullSafe(F.col("n.doc_id"))).select("n.part", "n.half", "n.cls", "n.copies", "t.text")
+    links = common.save(texts.groupBy("part").applyInArrow(_verify(width, num, den, keep_pairs), "kind int, a long, b long"), "jaccard-links")
+    common.forget(needed, parts)
     common.release(base.sparkSession)
     return members.select("doc_id", "cls", "n"), classes.select("cls", "copies", "least"), links
 
@@ -521,7 +619,7 @@ def jaccard_join(docs: DataFrame, num: int = 70, den: int = 100, width: int = 3)
     n_similar counts the other documents whose sets have Jaccard similarity num/den or more, copies included;
     component_id is the smallest doc_id that links reach.
     """
-    members, classes, links = jaccard_links(docs, num, den, width)
+    members, classes, links = jaccard_links(docs, num, den, width, keep_pairs=False)
     linked = links.filter("kind = 2").groupBy(F.col("a").alias("cls")).agg(F.sum("b").alias("others"))
     parts = common.components(links.filter("kind = 1").select("a", "b"), "jaccard-components")
     roots = parts.withColumnRenamed("node", "cls").join(classes, "cls")

@@ -46,7 +46,7 @@ _FOLD[[*range(0x09, 0x0E), *range(48, 58)]] = 32
 def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(lo, hi, feature of each place, offsets of documents in them): hashed byte 4-grams and 2-grams of documents lo..hi.
 
-    Each document is framed by blanks, so no gram crosses two of them.
+    Each document is framed by blanks, one before and three after it, and has a gram for its length and one more places, so none crosses two of them.
     """
     for lo, hi in K.chunks(offsets, 1 << 18):
         n = hi - lo
@@ -58,11 +58,11 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.
         four = two << 16 | out[2:-1] << 8 | out[3:]
         f2 = (two * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS + 1)
         f4 = ((four ^ four >> np.uint32(15)) * np.uint32(0x85EBCA77)) >> np.uint32(32 - BITS + 1)
-        feature = np.empty(2 * len(f2), np.int32)
-        feature[0::2] = f2
-        feature[1::2] = f4 + FEATURES // 2
-        starts = np.concatenate([[0], np.cumsum(lengths + 4)])
-        yield lo, hi, feature, 2 * np.minimum(starts, len(f2))
+        own = np.arange(int(lengths.sum()) + n) + np.repeat(3 * np.arange(n), lengths + 1)
+        feature = np.empty(2 * len(own), np.int32)
+        feature[0::2] = f2[own]
+        feature[1::2] = f4[own] + FEATURES // 2
+        yield lo, hi, feature, 2 * np.concatenate([[0], np.cumsum(lengths + 1)])
 
 
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -120,7 +120,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows = np.flatnonzero(here == lang)
                 mask = np.zeros(hi - lo, bool)
                 mask[rows] = True
-                part = feature[np.repeat(mask, np.diff(at))[: len(feature)]] if len(rows) < hi - lo else feature
+                part = feature[np.repeat(mask, np.diff(at))] if len(rows) < hi - lo else feature
                 counts[lang] = counts.get(lang, 0) + np.bincount(part, minlength=FEATURES)
     for lang, c in counts.items():
         yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([c.astype("<i8").tobytes()])], names=["lang", "counts"])

@@ -10,9 +10,13 @@ results are computed anew in double precision on the original vectors.
 Equal vectors of a shard are one point of the graph with a list of ids, so copies, however many, neither crowd
 out the edges nor the beam; every row is indexed, and none is dropped.
 
-Edge cases: vectors that are null, empty, zero, of another length than the first query's, or that hold null or non-finite
-components take no part, neither as queries nor as candidates; a query's own id is no neighbour of it; rows that
-repeat an id are candidates each; a null id takes no part; fewer candidates than k: all of them; other columns are ignored.
+A query goes to every shard. Shards of near vectors, of which a query sees only the nearest, would cost less, but on vectors
+without clusters lose neighbours: see the README.
+
+Edge cases: vectors that are null, empty, zero, or that hold null or non-finite components take no part, neither as queries nor as candidates;
+vectors of several lengths are searched apart, each query among those of its own length; a query's own id is no neighbour of it; rows that repeat
+an id are candidates each, and one query, whose vector is the least of theirs (by components in order); a null id takes no part;
+ties go to the smaller id; fewer candidates than k: all of them; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -227,16 +231,14 @@ def usable(df: DataFrame, id_name: str, vector_name: str) -> DataFrame:
 def search(candidates: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM, shard_rows: int = SHARD_ROWS, **options: float) -> DataFrame:
     """query_id, rank, vec_id, score. candidates and queries: (id, v) as `usable` gives them.
 
-    A query id that repeats is one query (its first vector). Each query goes to every shard.
+    A query id that repeats is one query (its least vector). Each query goes to every shard of its length.
     """
     n = candidates.count()
     shards = max(1, -(-n // shard_rows))
-    dim = queries.select(F.size("v")).first()
-    same = F.size("v") == (dim[0] if dim else 0)
-    rows = candidates.filter(same).select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.col("id").alias("vec_id"), "v")
-    asked = queries.filter(same).dropDuplicates(["id"]).select(F.col("id").alias("query_id"), "v").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select(F.col("shard").cast("long").alias("shard"), "query_id", "v")
-    rows = rows.withColumn("shard", F.col("shard").cast("long"))
-    found = rows.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_run(k, beam, options), "query_id long, vec_id long, score double")
+    rows = candidates.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("long").alias("shard"), F.col("id").alias("vec_id"), "v")
+    least = queries.groupBy(F.col("id").alias("query_id")).agg(F.min("v").alias("v"))
+    asked = least.select(F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), "query_id", "v")
+    found = rows.groupBy("dim", "shard").cogroup(asked.groupBy("dim", "shard")).applyInArrow(_run(k, beam, options), "query_id long, vec_id long, score double")
     # k rows from each shard for a query; the k best of them, without a window over more.
     best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("r", "x")).select("query_id", (F.col("r") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))

@@ -92,9 +92,10 @@ _WARC_SQL = """
 WITH base AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
 n AS (SELECT greatest(1, ceil(count(*) / 1024.0))::BIGINT AS archives FROM pages),
 recs AS (
-  SELECT page_id, sha256(url || chr(10) || html) AS digest,
-    (193 + strlen(url) + length(strlen(html)::VARCHAR) + strlen(html))::BIGINT AS length, count(*) AS copies
-  FROM base GROUP BY ALL),
+  SELECT page_id, sha256(record) AS digest, strlen(record)::BIGINT AS length, count(*) AS copies
+  FROM (SELECT page_id, concat_ws(chr(13) || chr(10), 'WARC/1.1', 'WARC-Type: response', 'WARC-Target-URI: ' || url, 'WARC-Payload-Digest: sha256:' || sha256(html),
+    'Content-Type: text/html', 'Content-Length: ' || strlen(html), '', html, '', '') AS record FROM base)
+  GROUP BY ALL),
 placed AS (
   SELECT *, (('0x' || substr(md5(concat_ws('|', page_id::VARCHAR, digest)), 1, 8))::BIGINT) % (SELECT archives FROM n) AS archive FROM recs)
 SELECT page_id, archive, row_number() OVER w - 1 AS seq,

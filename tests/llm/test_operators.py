@@ -1,5 +1,6 @@
 """Every operator against a brute-force version, an exact round trip or held-out accuracy, and on odd rows."""
 
+import hashlib
 import math
 import re
 import zlib
@@ -100,6 +101,12 @@ def test_ann_odd_rows(spark):
     e = spark.createDataFrame([(*r, 1, 2) for r in data], "vec_id long, embedding array<float>, score int, shard int")
     got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in ann.nearest(e, modulus=100).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 0.0), (0, 2, 2, 0.0), (0, 3, 3, 1.414214)]
+    # Lengths are searched apart; of a repeated id the least vector asks, and no row of the id is its neighbour.
+    more = spark.createDataFrame([(200, [3.0]), (200, [2.0]), (200, [9.0]), (9, [2.5]), (9, [2.5]), (300, [1.0, 2.0, 3.0])], "vec_id long, embedding array<float>")
+    both = e.select("vec_id", "embedding").unionByName(more)
+    for d in (both, both.repartition(5)):
+        got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in ann.nearest(d, modulus=100).orderBy("query_id", "rank").collect()]
+        assert got == [(0, 1, 1, 0.0), (0, 2, 2, 0.0), (0, 3, 3, 1.414214), (200, 1, 9, 0.5), (200, 2, 9, 0.5), (200, 3, 8, 1.0)]
     assert ann.nearest(e.limit(0)).count() == 0
     copies = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(300)], "vec_id long, embedding array<float>")
     best = [r.vec_id for r in ann.nearest(copies, modulus=100).filter("query_id = 100").orderBy("rank").collect()]
@@ -151,6 +158,83 @@ def test_license_scan_finds_every_line(spark, docs, rows):
     assert want <= got
 
 
+def plain_patience(a, b):
+    """Words that patience alignment matches, by recursion over lists of words."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(0, 0)] + [(x + 1, y + 1) for x, y in plain_patience(a[1:], b[1:])]
+    if a[-1] == b[-1]:
+        return plain_patience(a[:-1], b[:-1]) + [(len(a) - 1, len(b) - 1)]
+    anchors = [(a.index(w), b.index(w)) for w in a if a.count(w) == 1 and b.count(w) == 1]
+    best: list[list] = []
+    for k, (x, y) in enumerate(anchors):  # longest increasing chains by plain quadratic search
+        best.append(max(([*best[j], (x, y)] for j in range(k) if anchors[j][1] < y), key=len, default=[(x, y)]))
+    chain = max(best, key=len, default=[])
+    out, x0, y0 = [], 0, 0
+    for x, y in chain:
+        out += [(x0 + i, y0 + j) for i, j in plain_patience(a[x0:x], b[y0:y])] + [(x, y)]
+        x0, y0 = x + 1, y + 1
+    return out + ([(x0 + i, y0 + j) for i, j in plain_patience(a[x0:], b[y0:])] if chain else [])
+
+
+def brute_licenses(text, templates, limit=0.8):
+    """template -> (coverage, regions) by plain Python on the words of a whole text, without any pre-selection."""
+    w, out = re.findall("[a-z0-9\u0080-\U0010ffff]+", (text or "").translate({c: c + 32 for c in range(65, 91)})), {}
+    for name, template in templates.items():
+        t = re.findall("[a-z0-9]+", template.lower())
+        places = [k for k, x in enumerate(w) if x in t]
+        regions, run = [], []
+        for p in places:
+            if run and p - run[-1] > len(t):
+                regions.append(run)
+                run = []
+            run.append(p)
+        found = []
+        for run in [*regions, run] if run else regions:
+            lo = 0
+            while lo < len(run):
+                part = [p for p in run[lo:] if p <= run[lo] + 2 * len(t)]
+                pairs = plain_patience([w[p] for p in part], t)
+                if len(pairs) >= limit * len(t):
+                    found.append(len(pairs) / len(t))
+                    lo += pairs[-1][0] + 1
+                elif lo + len(part) >= len(run):
+                    break
+                else:
+                    lo = max(lo + 1, lo + sum(p <= run[lo] + len(t) // 2 for p in part))
+        if found:
+            out[name] = (max(found), len(found))
+    return out
+
+
+def test_license_scan_against_plain_python(spark, docs, rows):
+    rng = np.random.default_rng(8)
+    filler = "the quick brown fox jumps over any software license notice of this work to copy".split()
+    altered = []
+    for name, template in license_scan.TEMPLATES.items():
+        w = template.split()
+        for k in range(6):  # words lost, added, swapped, and two licences interleaved
+            x = [y for y in w if rng.random() > 0.05 * k]
+            for _ in range(2 * k):
+                x.insert(int(rng.integers(0, len(x) + 1)), str(rng.choice(filler)))
+            if len(x) > 3 and k % 2:
+                i = int(rng.integers(0, len(x) - 2))
+                x[i], x[i + 1] = x[i + 1], x[i]
+            altered.append(" ".join([*rng.choice(filler, 20), *x, *rng.choice(filler, 30), *(w if k == 4 else [])]))
+        other = license_scan.TEMPLATES["MIT"].split()
+        altered.append(" ".join(y for pair in zip(w, other) for y in pair))
+    texts = [(d, t) for d, t, *_ in rows] + [(10_000 + k, t) for k, t in enumerate(altered)] + [(10_001, altered[1]), (10_001, altered[1]), (None, altered[2])]
+    d = spark.createDataFrame([(a, b, 1, "x") for a, b in texts], "doc_id long, text string, coverage int, template string")
+    got = license_scan.scan_licenses(d).collect()
+    want = [(a, name, round(c, 9), n) for a, b in texts for name, (c, n) in brute_licenses(b, license_scan.TEMPLATES).items()]
+    assert Counter((r.doc_id, r.template, round(r.coverage, 9)) for r in got) == Counter(x[:3] for x in want) and len({x[1] for x in want}) == len(license_scan.TEMPLATES)
+    # Of chains of anchors that are equally long either may be taken, and the next region starts after its end: at most one document differs by one.
+    regions = {x[:2]: x[3] for x in want}
+    assert sum(abs(r.regions - regions[r.doc_id, r.template]) for r in got) <= 1
+    assert license_scan.scan_licenses(d.limit(0)).count() == 0
+
+
 # --- op3
 
 
@@ -313,6 +397,7 @@ def test_warc_round_trip_and_lengths(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     by_id = {r.page_id: r for r in pages.collect()}
     recs = warc.records(pages, per_archive=16).orderBy("archive", "seq").collect()
+    assert all(r.digest == hashlib.sha256(warc.write_record(by_id[r.page_id].url, by_id[r.page_id].html)).hexdigest() for r in recs)
     archives = defaultdict(bytes)
     for r in recs:
         assert r.offset == len(archives[r.archive])
@@ -327,6 +412,17 @@ def test_warc_round_trip_and_lengths(spark, sf):
     assert [x[4] for x in warc.read_records(bytes(data))].count(False) == 1
 
 
+def test_warc_source(spark, sf, tmp_path):
+    warc.register(spark)
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    pages.select("url", F.col("html").alias("content"), "page_id").repartition(3).write.format("warc").mode("overwrite").save(str(tmp_path / "w"))
+    spark.createDataFrame([(None, None)], "url string, content string").write.format("warc").mode("append").save(str(tmp_path / "w"))
+    back = spark.read.format("warc").load(str(tmp_path / "w"))
+    want = Counter((r.url, r.html) for r in pages.collect()) + Counter({("", ""): 1})
+    assert Counter((r.url, r.content) for r in back.collect()) == want and back.filter("not intact").count() == 0
+    assert back.select("archive").distinct().count() >= 4
+
+
 def test_warc_audit_finds_what_differs(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").unionByName(spark.createDataFrame([(None, None, None), (3, None, ""), (3, None, "")], "page_id long, url string, html string"))
     ours = common.save(warc.records(pages, per_archive=20), "t")
@@ -630,6 +726,66 @@ def test_language_id_on_held_out_rows(spark, sf):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_id_against_plain_python(spark, docs, rows):
+    """Margins, scores, decoding and the flag of ambiguity, from counts of n-grams in dictionaries."""
+
+    def features(text):
+        b = [32 if 9 <= x <= 13 or 48 <= x <= 57 else x + 32 if 65 <= x <= 90 else x for x in (text or "").encode()]
+        b = [32, *b, 32, 32, 32]
+        out = []
+        for k in range(len(b) - 3):
+            two, four = b[k] << 8 | b[k + 1], b[k] << 24 | b[k + 1] << 16 | b[k + 2] << 8 | b[k + 3]
+            out.append((two * 0x9E3779B1 % 2**32) >> (33 - langid.BITS))
+            out.append(((four ^ four >> 15) * 0x85EBCA77 % 2**32 >> (33 - langid.BITS)) + langid.FEATURES // 2)
+        return out
+
+    counts = defaultdict(Counter)
+    for d, t, lang, *_ in rows:
+        if lang is not None and t is not None and langid.crc_remainder(d) != 2:
+            counts[lang].update(features(t))
+    names, half = sorted(counts), langid.FEATURES // 2
+    code = langid.codewords(len(names))
+    p = np.array([[counts[x][f] + 0.5 for f in range(langid.FEATURES)] for x in names])
+    p[:, :half] /= p[:, :half].sum(1, keepdims=True)
+    p[:, half:] /= p[:, half:].sum(1, keepdims=True)
+    weights = [np.log(p[code[:, b] > 0].mean(0)) - np.log(p[code[:, b] < 0].mean(0)) for b in range(code.shape[1])]
+    told = np.array([max(1e-3, min((p[k] @ weights[b]) * code[k, b] for k in range(len(names)))) for b in range(code.shape[1])])
+    told /= told.sum()
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    for d, t, *_ in rows[:120]:
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[d].lang_pred, got[d].score) == ("und", 0.0)
+            continue
+        margins = [sum(w[f] for f in features(t)) / 4 for w in weights]
+        loss = [sum(v * np.logaddexp(0, -m * c) for v, m, c in zip(told, margins, code[k])) for k in range(len(names))]
+        share = np.exp(-(np.array(loss) - min(loss)))
+        share /= share.sum()
+        best = int(np.argmin(loss))
+        assert got[d].score == pytest.approx(share[best], abs=1e-3)
+        first, second = sorted(share)[::-1][:2]
+        if abs(first - second) > 1e-3:
+            assert got[d].lang_pred == names[best]
+        if abs(first - second - 0.02) > 1e-3:
+            assert got[d].ambiguous == (first - second < 0.02)
+
+
+def test_language_id_ties_and_repeated_rows(spark):
+    rows = [(None, "aaa bbb", lang) for lang in ("en", "fr") * 20]  # equal texts under two labels: both codewords are as near
+    got = langid.identify(spark.createDataFrame(rows + rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == 80 and all(r.lang_pred == "en" and r.ambiguous and r.score == pytest.approx(0.5) for r in got)
+
+
+def test_language_id_letters_take_little_memory():
+    import tracemalloc
+
+    data, offsets = textkernel.column_bytes(pa.array(["12345 67890 " * 400] * 5000 + ["é", "1 é", "你", "²", ""]))  # 24 MB
+    tracemalloc.start()
+    out = langid.has_letter(data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6 and out[-5:].tolist() == [True, True, True, False, False] and not out[:5000].any()
+
+
 def test_language_id_ignores_held_out_labels(spark, docs):
     wrong = docs.withColumn("lang", F.when(langid.held_out(F.col("doc_id")), "xx").otherwise(F.col("lang")))
     a = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs).collect()}

@@ -185,7 +185,8 @@ def entities(text: Column | str, kind: str) -> Column:
 # --- salience
 
 TYPE_WEIGHT = {"heading": 0.9, "paragraph": 0.7, "table": 0.8, "code": 0.7, "list": 0.6, "quote": 0.5, "figure_caption": 0.6, "image": 0.5, "product_spec": 0.9, "faq": 0.7, "metadata": 0.3}
-_DATES = r"(?i)\b(?:19\d\d|20\d\d|" + "|".join(_MONTHS) + r")\b"
+#: Words as runs of letters, digits and underscores of any script; the patterns below hold for a whole word, so no word boundary is needed, which engines read differently.
+WORD_RUN, DATE_WORD, NAME_WORD = r"[\p{L}\p{N}_]+", "(?i)^(?:(?:19|20)\\p{Nd}{2}|" + "|".join(_MONTHS) + ")$", "^[A-Z][a-z]{2,}$"
 
 
 def length_score(text: Column) -> Column:
@@ -193,7 +194,9 @@ def length_score(text: Column) -> Column:
 
 
 def entity_density(text: Column) -> Column:
-    n = F.regexp_count(text, F.lit(r"\d+")) + F.regexp_count(text, F.lit(_DATES)) + F.regexp_count(text, F.lit(r"\b[A-Z][a-z][a-z]+\b"))
+    """Numbers, dates and capitalised words for each character, squashed to 0..1."""
+    words = F.regexp_extract_all(text, F.lit(WORD_RUN), F.lit(0))
+    n = F.regexp_count(text, F.lit(r"\p{Nd}+")) + F.size(F.filter(words, lambda w: w.rlike(DATE_WORD))) + F.size(F.filter(words, lambda w: w.rlike(NAME_WORD)))
     return F.when(F.length(text) == 0, 0.0).otherwise(2 / (1 + F.exp(-100.0 * n / F.length(text))) - 1)
 
 

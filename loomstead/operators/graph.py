@@ -119,6 +119,21 @@ def api_from_trace(requests: DataFrame) -> DataFrame:
     return first_of(df, ["method", "endpoint"], "ord")
 
 
+def call_specs(candidates: DataFrame, values: Column | None = None) -> DataFrame:
+    """Candidates with call_url and body: the request that each is, its params with their known values (map), the others empty.
+
+    GET, HEAD and OPTIONS carry what has a value in the URL, encoded; other methods carry all params in the body.
+    """
+    known = values if values is not None else F.create_map().cast("map<string,string>")
+    params = F.map_from_arrays("params", F.transform("params", lambda p: F.coalesce(known[p], F.lit(""))))
+    pairs = F.transform(F.filter(F.array_sort("params"), lambda p: F.coalesce(known[p], F.lit("")) != ""), lambda p: F.concat(F.url_encode(p), F.lit("="), F.url_encode(known[p])))
+    encoded = F.array_join(pairs, "&")
+    reads = F.col("method").isin("GET", "HEAD", "OPTIONS")
+    mark = F.when(F.col("endpoint").contains("?"), "&").otherwise("?")
+    url = F.when(reads & (encoded != ""), F.concat("endpoint", mark, encoded)).otherwise(F.col("endpoint"))
+    return candidates.withColumn("call_url", url).withColumn("body", F.when(~reads, params))
+
+
 def decide(actions: DataFrame, candidates: DataFrame, threshold: float = 0.7) -> DataFrame:
     """How to run each action: by its own candidate, else the best whose endpoint contains, or lies in, its target.
 

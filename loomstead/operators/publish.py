@@ -14,6 +14,10 @@ from loomstead.functions import text as X
 from .retrieve import first_of
 
 
+#: Characters of llms.txt; selectors of skills that are tested at once.
+MAX_TEXT, MAX_HINTS = 8_000, 10_000
+
+
 def _joined(rows: Column, sep: str = "\n") -> Column:
     """Strings t of structs (order..., t), in order."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda x: x["t"]), sep)
@@ -31,8 +35,8 @@ def sections(docs: DataFrame) -> DataFrame:
     return docs.withColumn("section", F.when(first == "", "Home").otherwise(F.initcap(F.regexp_replace(first, "[-_]", " "))))
 
 
-def llms_txt(docs: DataFrame, blocks: DataFrame, actions: DataFrame) -> DataFrame:
-    """(site_id, llms_txt): pages by section, those with most blocks first, then the roles of actions."""
+def llms_txt(docs: DataFrame, blocks: DataFrame, actions: DataFrame, limit: int | None = MAX_TEXT) -> DataFrame:
+    """(site_id, llms_txt): pages by section, those with most blocks first, then the roles of actions. limit: characters, cut at a line; None: all."""
     n = blocks.groupBy("doc_id").agg(F.count("*").alias("n"))
     d = sections(docs).join(n, "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     line = F.concat(F.lit("- ["), F.coalesce("title", "url"), F.lit("]("), F.col("url"), F.lit("): "), F.col("n").cast("string"), F.lit(" blocks"))
@@ -40,7 +44,7 @@ def llms_txt(docs: DataFrame, blocks: DataFrame, actions: DataFrame) -> DataFram
     body = per.groupBy("site_id").agg(_joined(F.struct("section", F.concat(F.lit("## "), F.col("section"), F.lit("\n"), F.col("lines")).alias("t")), "\n\n").alias("body"))
     roles = actions.join(docs.select("doc_id", "site_id"), "doc_id").filter("role is not null").groupBy("site_id").agg(F.array_join(F.sort_array(F.collect_set("role")), ", ").alias("roles"))
     text = F.concat(F.lit("# "), F.col("site_id"), F.lit("\n\n"), F.col("body"), F.when(F.col("roles").isNotNull(), F.concat(F.lit("\n\n## Actions\n"), F.col("roles"))).otherwise(""))
-    return body.join(roles, "site_id", "left").select("site_id", cut_lines(text).alias("llms_txt"))
+    return body.join(roles, "site_id", "left").select("site_id", (cut_lines(text, limit) if limit else text).alias("llms_txt"))
 
 
 def content_feed(docs: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -115,11 +119,15 @@ def parse_skill(df: DataFrame, name: str = "skill_md") -> DataFrame:
 
 
 def apply_hints(blocks: DataFrame, selectors: DataFrame) -> DataFrame:
-    """Importance + 0.25 (1 at most) where all tokens of a selector occur in the DOM path. selectors: few rows, (selector)."""
+    """Importance + 0.25 (1 at most) where all tokens of a selector occur in the DOM path. selectors: at most MAX_HINTS distinct rows, (selector)."""
     toks = F.filter(F.split("selector", r"[#.\s>\[\]=\"']+"), lambda t: F.length(t) > 0)
-    hints = F.broadcast(selectors.select(toks.alias("toks")).filter(F.size("toks") > 0).distinct().limit(10_000))
-    hit = blocks.join(hints, F.forall("toks", lambda t: F.col("dom_path").contains(t)), "left_semi").select("doc_id", "block_id", F.lit(True).alias("hit"))
-    return blocks.join(hit, ["doc_id", "block_id"], "left").withColumn("importance", F.when(F.col("hit"), F.least(F.lit(1.0), F.col("importance") + 0.25)).otherwise(F.col("importance"))).drop("hit")
+    rows = [r["toks"] for r in selectors.select(F.array_sort(toks).alias("toks")).filter(F.size("toks") > 0).distinct().limit(MAX_HINTS + 1).collect()]
+    if len(rows) > MAX_HINTS:
+        raise ValueError(f"more than {MAX_HINTS} selectors")
+    # Paths are few, blocks many: each distinct path is tested once, against a list of bounded size.
+    paths = blocks.select("dom_path").distinct().withColumn("hit", F.exists(F.lit([list(r) for r in rows]) if rows else F.array().cast("array<array<string>>"), lambda h: F.forall(h, lambda t: F.col("dom_path").contains(t))))
+    hits = paths.filter("hit")
+    return blocks.join(hits, "dom_path", "left").withColumn("importance", F.when(F.col("hit"), F.least(F.lit(1.0), F.col("importance") + 0.25)).otherwise(F.col("importance"))).select(*blocks.columns)
 
 
 # --- renderings for language models

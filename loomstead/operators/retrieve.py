@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,19 +40,19 @@ def plan(spark, query: str) -> Plan:
     return Plan(query, r["i"], [Step(t, dict(a)) for t, a in _STEPS[r["i"]]], r["s"], r["c"])
 
 
-_DATA = r"(?i)\b(price|cost|table|how\s+much|spec|size|rate|limit|compare|number)\b"
-_CODE = r"(?i)\b(code|example|snippet|function|api|install|command|syntax)\b"
+_DATA = frozenset("data table price cost spec comparison feature plan".split())
+_CODE = frozenset("api code endpoint function method sdk example snippet".split())
 
 
 def rerank(hits: DataFrame, query: str, intent: str = "fact") -> DataFrame:
     """Adjusts score by type, section, importance and evidence; floor 0. Query words match as substrings of the section text."""
-    words = query.lower().split()
+    words = sorted(set(query.lower().split()))
     section = F.lower(F.array_join("section_path", " "))
     matches = sum((F.when(section.contains(w), 1).otherwise(0) for w in words), F.lit(0))
     gain = F.lit(0.0)
-    if re.search(_DATA[4:], query, re.I):
+    if _DATA & set(words):
         gain = gain + F.when(F.col("type").isin("table", "product_spec", "faq"), 0.15).otherwise(0.0)
-    if re.search(_CODE[4:], query, re.I):
+    if _CODE & set(words):
         gain = gain + F.when(F.col("type") == "code", 0.15).otherwise(0.0)
     gain = gain + 0.15 * F.least(matches, F.lit(3)) + F.when(F.col("importance") > 0.7, 0.15 * (F.col("importance") - 0.5)).otherwise(0.0)
     if intent == "evidence":

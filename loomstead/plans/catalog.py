@@ -86,7 +86,8 @@ def page_guards(t):
     return t("pages").select("page_id", X.looks_binary("html").alias("is_binary"), X.looks_html("html").alias("is_html"), thin.alias("thin"))
 
 
-@query()
+@query(r"""SELECT page_id, regexp_matches(html, '(?is)<noscript[^>]*>[^<]*(enable|requires?|need)[^<]*javascript') OR regexp_matches(html, '""" + X._SPA + r"""')
+ OR (length(html) > 1000 AND length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) < 0.05 * length(html)) AS needs_rendering FROM pages""")
 def page_needs_rendering(t):
     return t("pages").select("page_id", X.needs_rendering("html").alias("needs_rendering"))
 
@@ -118,29 +119,16 @@ def nav_graph_pages(t):
     return site.links(t("pages")).select("url", graph.node_id("nav", F.col("link")).alias("node_id")).groupBy("url", "node_id").agg(F.count("*").alias("edges"))
 
 
-@query("""WITH e AS (SELECT DISTINCT l_orderkey AS a, l_suppkey AS b FROM lineitem WHERE l_suppkey <= 5), g AS (SELECT a AS f, -b AS t FROM e UNION SELECT -b, a FROM e),
+@query("""WITH e AS (SELECT DISTINCT l_orderkey AS a, l_suppkey AS b FROM lineitem), g AS (SELECT a AS f, -b AS t FROM e UNION SELECT -b, a FROM e),
 h0 AS (SELECT DISTINCT o_orderkey AS s FROM orders WHERE o_custkey = 1), h1 AS (SELECT DISTINCT t AS s FROM g JOIN h0 ON f = s WHERE t NOT IN (SELECT s FROM h0)),
 h2 AS (SELECT DISTINCT t AS s FROM g JOIN h1 ON f = s WHERE t NOT IN (SELECT s FROM h0) AND t NOT IN (SELECT s FROM h1))
 SELECT s AS state, 0 AS hops FROM h0 UNION ALL SELECT s, 1 FROM h1 UNION ALL SELECT s, 2 FROM h2""")
 def reachable_states(t):
-    return _within_two_hops(t, t("lineitem").filter("l_suppkey <= 5"))
-
-
-def _within_two_hops(t, lines: DataFrame) -> DataFrame:
-    e = lines.select(F.col("l_orderkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
+    e = t("lineitem").select(F.col("l_orderkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
     edges = e.select(F.col("a").alias("from_state"), (-F.col("b")).alias("to_state")).unionByName(e.select((-F.col("b")).alias("from_state"), F.col("a").alias("to_state")))
     return graph.reachable(edges, t("orders").filter("o_custkey = 1").select(F.col("o_orderkey").alias("state")), 2)
 
 
-# The SQL above fixes reachable_states to suppliers 1 to 5; this is the search of the whole graph.
-@query("""WITH e AS (SELECT DISTINCT l_orderkey AS a, l_suppkey AS b FROM lineitem), g AS (SELECT a AS f, -b AS t FROM e UNION SELECT -b, a FROM e),
-h0 AS (SELECT DISTINCT o_orderkey AS s FROM orders WHERE o_custkey = 1), h1 AS (SELECT DISTINCT t AS s FROM g JOIN h0 ON f = s WHERE t NOT IN (SELECT s FROM h0)),
-h2 AS (SELECT DISTINCT t AS s FROM g JOIN h1 ON f = s WHERE t NOT IN (SELECT s FROM h0) AND t NOT IN (SELECT s FROM h1))
-SELECT s AS state, 0 AS hops FROM h0 UNION ALL SELECT s, 1 FROM h1 UNION ALL SELECT s, 2 FROM h2""")
-def reachable_states_all(t):
-    return _within_two_hops(t, t("lineitem"))
-
-
 _TRACE = """(SELECT event_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 'POST' ELSE 'GET' END AS method,
  CASE WHEN user_id % 3 = 0 THEN 'https://h' || (user_id % 7) || '.example.com/api/' || event_type || '?k=1&u=2' ELSE 'https://h' || (user_id % 7) || '.example.com/p/' || event_type END AS url,
  CASE WHEN event_id % 10 = 0 THEN 500 ELSE 200 END AS status, CASE WHEN event_id % 4 = 0 THEN 'application/json; charset=utf-8' ELSE 'text/html' END AS ct FROM events)"""
@@ -173,11 +161,15 @@ def page_headings(t):
     return b.groupBy(F.col("doc_id").cast("long").alias("page_id")).agg(F.count("*").alias("headings"), F.sum(F.length(F.regexp_replace("text", "[^a-zA-Z]", ""))).alias("letters"))
 
 
-def _parsed(t) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One page per html, by first URL, to be parsed; its blocks; and every page (doc_id, site_id, url, title), as equal html may lie at many URLs."""
+def _parsed(t, *kinds: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One page per html, by first URL, to be parsed; its blocks; and every page (doc_id, site_id, url, title), as equal html may lie at many URLs.
+
+    kinds: what a query uses more than once, or together, is read off each page in one pass.
+    """
     every = t("pages").select(X.doc_id("html").alias("doc_id"), X.site_id("url").alias("site_id"), "url", "html")
-    p = session.one_page(every)
-    return p, parse.blocks(p), every.select("doc_id", "site_id", "url", X.title_tag("html").alias("title")).distinct()
+    one = session.one_page(every)
+    p = parse.once(one, kinds) if kinds else one
+    return p, parse.blocks(p if "blocks" in kinds else one), every.select("doc_id", "site_id", "url", X.title_tag("html").alias("title")).distinct()
 
 
 @query()
@@ -203,7 +195,7 @@ def page_nav_edges(t):
 
 @query()
 def page_nav_nodes(t):
-    return graph.nav_nodes(graph.nav_edges(parse.actions(_parsed(t)[0])))
+    return graph.nav_nodes(graph.nav_edges(parse.actions(_parsed(t, "actions")[0])))
 
 
 @query()
@@ -214,13 +206,13 @@ def page_action_graph(t):
 
 @query()
 def page_api_candidates(t):
-    p, _, docs = _parsed(t)
+    p, _, docs = _parsed(t, "actions")
     return graph.api_candidates(parse.actions(p).join(docs.select("doc_id", "url"), "doc_id"))
 
 
 @query()
 def page_decisions(t):
-    p, _, docs = _parsed(t)
+    p, _, docs = _parsed(t, "actions")
     a = parse.actions(p).join(docs.select("doc_id", "url"), "doc_id")
     return graph.decide(a, graph.api_candidates(a))
 
@@ -249,13 +241,13 @@ def site_profiles(t):
 
 @query()
 def site_llms_txt(t):
-    p, b, docs = _parsed(t)
+    p, b, docs = _parsed(t, "blocks", "actions")
     return publish.llms_txt(docs, b, parse.actions(p))
 
 
 @query()
 def site_agent_json(t):
-    p, b, docs = _parsed(t)
+    p, b, docs = _parsed(t, "blocks", "actions")
     return publish.agent_json(docs, b, parse.actions(p))
 
 
@@ -273,7 +265,7 @@ def site_actions_json(t):
 
 @query()
 def site_sitemap(t):
-    _, b, docs = _parsed(t)
+    _, b, docs = _parsed(t, "blocks")
     return publish.sitemap(docs, b)
 
 
@@ -297,7 +289,17 @@ def event_json_blocks(t):
     return readers.json_blocks(t("events").select(F.col("event_id").cast("string").alias("doc_id"), F.col("props").alias("json"))).select("doc_id", "block_id", "type", "text", "importance")
 
 
-@query()
+_NORM = "CASE WHEN regexp_matches(regexp_replace({0}, '#.*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?]*/$') THEN regexp_replace({0}, '#.*$', '') ELSE regexp_replace(regexp_replace({0}, '#.*$', ''), '/+$', '') END"
+_AUTH = "regexp_extract({0}, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)"
+
+
+@query("WITH t AS (SELECT " + _NORM.format("url") + """ AS url, any_value(html) AS html FROM pages GROUP BY 1), a AS (SELECT url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM t),
+k AS (SELECT url AS src, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN href LIKE '//%' THEN split_part(url, ':', 1) || ':' || href WHEN href LIKE '/%' THEN regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', 0) || href
+ WHEN href LIKE '#%' OR href = '' THEN url || href ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '([^/])/[^/]*$', '\\1/') || href END AS link FROM a),
+s0 AS (SELECT """ + _NORM.format("url") + " AS url FROM (SELECT *, row_number() OVER (PARTITION BY " + _AUTH.format("url") + """ ORDER BY page_id) AS r FROM pages) WHERE r = 1), h AS (SELECT DISTINCT """ + _AUTH.format("url") + " AS host FROM s0), e AS (SELECT DISTINCT src, " + _NORM.format("link") + """ AS url FROM k),
+f AS (SELECT * FROM e WHERE """ + _AUTH.format("url") + " IN (SELECT host FROM h) AND url IN (SELECT url FROM t) AND lower(regexp_extract(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '[.]([A-Za-z0-9]+)$', 1)) NOT IN (" + ", ".join(f"'{x}'" for x in X.NON_HTML) + """)),
+s1 AS (SELECT DISTINCT f.url FROM f JOIN s0 ON src = s0.url WHERE f.url NOT IN (SELECT url FROM s0)), s2 AS (SELECT DISTINCT f.url FROM f JOIN s1 ON src = s1.url WHERE f.url NOT IN (SELECT url FROM s0) AND f.url NOT IN (SELECT url FROM s1))
+SELECT url, 0 AS depth FROM s0 UNION ALL SELECT url, 1 FROM s1 UNION ALL SELECT url, 2 FROM s2""")
 def crawl_frontier(t):
     p = t("pages")
     w = Window.partitionBy(X.netloc("url")).orderBy("page_id")
@@ -326,45 +328,37 @@ def sentence_split(t):
     return t("documents").select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.get(s, F.lit(0)).alias("first_sentence"))
 
 
-_KINDS = {k: X.ENTITY[k] for k in ("price", "email", "url", "percentage", "number_with_unit")}
-
-
 def _tagged(kind: str):
     return lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("v"))
 
 
-@query("SELECT doc_id, kind, count(*) AS n, min(v) AS least FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}')) AS v FROM documents" for k, ps in _KINDS.items() for p in ps) + ") GROUP BY doc_id, kind")
+@query("SELECT doc_id, kind, count(*) AS n, min(v) AS least FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}')) AS v FROM documents" for k, ps in X.ENTITY.items() for p in ps) + ") GROUP BY doc_id, kind")
 def entity_counts(t):
-    return _entities(t, _KINDS)
+    every = F.flatten(F.array(*[F.transform(X.entities("text", k), _tagged(k)) for k in X.ENTITY]))
+    return t("documents").select("doc_id", F.explode(every).alias("e")).groupBy("doc_id", "e.kind").agg(F.count("*").alias("n"), F.min("e.v").alias("least"))
 
 
-def _entities(t, kinds) -> DataFrame:
-    d = t("documents")
-    every = F.flatten(F.array(*[F.transform(X.entities("text", k), _tagged(k)) for k in kinds]))
-    return d.select("doc_id", F.explode(every).alias("e")).groupBy("doc_id", "e.kind").agg(F.count("*").alias("n"), F.min("e.v").alias("least"))
-
-
-# The SQL above fixes entity_counts to the kinds that both engines' regexes read alike; this has all, dates and phones too.
-@query()
-def entity_counts_all(t):
-    return _entities(t, X.ENTITY)
+_FEATURES = rf"""f AS (SELECT doc_id, text, doc_id % 100 AS i, CASE doc_id % 3 WHEN 0 THEN 'heading' WHEN 1 THEN 'table' ELSE 'paragraph' END AS type, CASE WHEN doc_id % 4 = 0 THEN 'html > body > main > article > p' ELSE 'html > body > section > p' END AS path, doc_id % 5 = 0 AS bare, length(text) AS n, regexp_extract_all(text, '{X.WORD_RUN}') AS w,
+ trim(regexp_replace(text, '\s+', ' ', 'g')) AS s FROM documents),
+g AS (SELECT *, 1 / (1 + exp(-(n - 100) / 50.0)) AS length_score, CASE WHEN n = 0 THEN 0 ELSE 2 / (1 + exp(-100.0 * (len(regexp_extract_all(text, '\p{{Nd}}+')) + len(list_filter(w, lambda x: regexp_matches(x, '{X.DATE_WORD}'))) + len(list_filter(w, lambda x: regexp_matches(x, '{X.NAME_WORD}')))) / n)) - 1 END AS density,
+ CASE WHEN s = '' THEN 0 ELSE least(1.0, len(regexp_extract_all(text, 'https?://[^\t\n\x0B\f\r ]+')) / (length(s) - length(replace(s, ' ', '')) + 1)) END AS links, 1 - 0.7::DOUBLE * i / 99 AS position FROM f)
+"""
 
 
-@query(r"""WITH d AS (SELECT doc_id, length(text) AS n, len(regexp_extract_all(text, '\d+')) + len(regexp_extract_all(text, '""" + X._DATES + r"""')) + len(regexp_extract_all(text, '\b[A-Z][a-z][a-z]+\b')) AS c FROM documents WHERE text = regexp_replace(text, '[^\x00-\x7F]', '', 'g'))
-SELECT doc_id, round(1 / (1 + exp(-(n - 100) / 50.0)), 6) AS length_score, round(CASE WHEN n = 0 THEN 0 ELSE 2 / (1 + exp(-100.0 * c / n)) - 1 END, 6) AS density FROM d""")
+@query("WITH " + _FEATURES + """SELECT doc_id, round(length_score, 6) AS length_score, round(density, 6) AS density, round(links, 6) AS links, round(position, 6) AS position,
+ round(greatest(0, least(1.0::DOUBLE, 0.25::DOUBLE * CASE type WHEN 'heading' THEN 0.9 WHEN 'table' THEN 0.8 ELSE 0.7 END + 0.15::DOUBLE * position + 0.2::DOUBLE * (0.4::DOUBLE * length_score + 0.3::DOUBLE * density + 0.3::DOUBLE * (1 - links))
+ + 0.2::DOUBLE * (CASE WHEN type = 'heading' OR NOT bare THEN 0.4 ELSE 0 END + 0.3::DOUBLE * (1 - (len(string_split(path, '>')) - 1) / 20.0) + CASE WHEN type = 'table' THEN 0.3 ELSE 0 END)
+ + 0.2::DOUBLE * (CASE WHEN contains(path, 'main') THEN 0.5 ELSE 0 END + 0.5::DOUBLE * CASE WHEN contains(path, 'main') THEN 0.6 ELSE 0.3 END))), 6) AS salience FROM g""")
 def salience_features(t):
-    return _salience(t("documents").filter(~F.col("text").rlike(r"[^\x00-\x7F]")))
-
-
-def _salience(docs: DataFrame) -> DataFrame:
-    x = F.col("text")
-    return docs.select("doc_id", F.round(X.length_score(x), 6).alias("length_score"), F.round(X.entity_density(x), 6).alias("density"))
-
-
-# The SQL above fixes salience_features to ASCII texts, as word boundaries differ beyond them; this has all documents.
-@query()
-def salience_features_all(t):
-    return _salience(t("documents"))
+    """All ten features, on all documents: type, main content, heading, density, position, length, links, data, depth, tags."""
+    i, x = F.col("doc_id"), F.col("text")
+    kind = F.when(i % 3 == 0, "heading").when(i % 3 == 1, "table").otherwise("paragraph")
+    path = F.when(i % 4 == 0, "html > body > main > article > p").otherwise("html > body > section > p")
+    bare = F.when(i % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("s")))
+    return t("documents").select(
+        "doc_id", F.round(X.length_score(x), 6).alias("length_score"), F.round(X.entity_density(x), 6).alias("density"), F.round(X.link_density(x), 6).alias("links"),
+        F.round(1 - 0.7 * (i % 100) / 99, 6).alias("position"), F.round(X.salience(kind, x, i % 100, F.lit(100), bare, path), 6).alias("salience"),
+    )
 
 
 @query("""SELECT doc_id, round(least(1.0, 0.3 + CASE WHEN regexp_matches(text, '[$€£¥]\\s?\\d|\\d%') THEN 0.15 ELSE 0 END + 0.1 + CASE WHEN length(text) > 200 THEN 0.1 WHEN length(text) > 50 THEN 0.05 ELSE 0 END)::DOUBLE, 6) AS evidence FROM documents""")
@@ -480,12 +474,6 @@ def query_intents(t):
     return t("conversations").select("conv_id", "turn", X.intent("text").alias("intent"), X.intent_confidence("text").alias("confidence"))
 
 
-@query()
-def task_plans(t):
-    c = t("conversations").filter("role = 'user'").withColumn("key", F.concat_ws(":", "conv_id", "turn"))
-    return retrieve.task_steps(c)
-
-
 def _turns(t) -> DataFrame:
     c = t("conversations")
     return c.filter("role = 'assistant'").alias("a").join(c.filter("role = 'user'").alias("u"), (F.col("a.conv_id") == F.col("u.conv_id")) & (F.col("a.turn") == F.col("u.turn") + 1)).select(F.col("a.conv_id").alias("conv_id"), F.col("a.turn").alias("turn"), F.col("a.text").alias("answer"), F.col("u.text").alias("text"))
@@ -501,11 +489,6 @@ def citation_relevance(t):
     return _turns(t).select("conv_id", "turn", F.round(retrieve.relevance(F.col("answer"), F.col("text")), 6).alias("relevance"))
 
 
-@query()
-def answer_spans(t):
-    return retrieve.answer_span(_turns(t), ["conv_id", "turn"]).withColumn("overlap", F.round("overlap", 6))
-
-
 # --- diffs, feeds, memory, visits
 
 
@@ -630,3 +613,6 @@ def orders_by_nation(t):
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def customers_without_orders(t):
     return t("customer").select("c_custkey").join(t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+
+
+from loomstead.plans import catalog_more  # noqa: E402, F401  (registers its queries)

@@ -24,13 +24,14 @@ def scored_blocks(pages: DataFrame, blocks: DataFrame) -> DataFrame:
         has = has | (F.size(X.entities("text", kind)) > 0)
     scored = n.withColumn("importance", X.salience(F.col("type"), F.col("text"), F.col("_i"), F.col("_n"), F.col("section_path"), F.col("dom_path")))
     scored = scored.withColumn("evidence_score", X.evidence_score(F.col("type"), F.col("text"), has, F.lit(True))).drop("_i", "_n")
-    return scored.join(one_page(pages).select("doc_id", "url", "site_id"), "doc_id")
+    first = pages.groupBy("doc_id").agg(F.min(F.struct("url", "site_id")).alias("f")).select("doc_id", "f.*")
+    return scored.join(first, "doc_id")
 
 
 def one_page(pages: DataFrame) -> DataFrame:
     """One row per doc_id: that of the first URL."""
     w = Window.partitionBy("doc_id").orderBy("url", "html")
-    return pages.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    return parse.spread(pages, "doc_id").withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
 @dataclass
@@ -122,6 +123,42 @@ class PipelineBuilder:
             self.stages.append((name, fn))
         return self
 
+    def _before(self, other: str, name: str, fn: Transform) -> PipelineBuilder:
+        names = [n for n, _ in self.stages]
+        if name in names:
+            return self.with_stage(name, fn)
+        self.stages.insert(names.index(other) if other in names else len(names), (name, fn))
+        return self
+
+    def with_fetcher(self, fn: Transform) -> PipelineBuilder:
+        """Rows of sources to pages, before all else."""
+        self.stages = [("fetch", fn), *[s for s in self.stages if s[0] != "fetch"]]
+        return self
+
+    def with_normalizer(self, fn: Transform) -> PipelineBuilder:
+        return self._before("segment", "normalize", fn)
+
+    def with_segmenter(self, fn: Transform) -> PipelineBuilder:
+        return self.with_stage("segment", fn)
+
+    def with_extractor(self, fn: Transform) -> PipelineBuilder:
+        return self.with_stage("extract", fn)
+
+    def with_aligner(self, fn: Transform) -> PipelineBuilder:
+        return self.with_stage("align", fn)
+
+    def with_skill_hints(self, selectors: DataFrame) -> PipelineBuilder:
+        return self.with_stage("hints", lambda d: publish.apply_hints(d, selectors))
+
+    def with_validator(self, check: Callable[[DataFrame], None]) -> PipelineBuilder:
+        """check sees the result, and raises where it isn't as it should be."""
+
+        def run(df: DataFrame) -> DataFrame:
+            check(df)
+            return df
+
+        return self.with_stage(f"validate {len(self.stages)}", run)
+
     def skip(self, name: str) -> PipelineBuilder:
         self.stages = [s for s in self.stages if s[0] != name]
         return self
@@ -166,5 +203,38 @@ class PluginRegistry:
         return sorted(n for n, (_, c) in self._plugins.items() if capability in c)
 
 
+def discover_entry_points(registry: PluginRegistry, group: str) -> list[str]:
+    """Registers the installed plugins of a group; each entry point loads to (plugin, capabilities) or a plugin. Gives their names."""
+    from importlib.metadata import entry_points
+
+    found = []
+    for e in sorted(entry_points(group=group), key=lambda e: e.name):
+        loaded = e.load()
+        plugin, capabilities = loaded if isinstance(loaded, tuple) else (loaded, ())
+        registry.register(e.name, plugin, tuple(capabilities))
+        found.append(e.name)
+    return found
+
+
+def embed(docs: DataFrame, batch: Callable[[list[str]], list[list[float]]], key: str = "key", text: str = "text", size: int = 256) -> DataFrame:
+    """(key, embedding): batch turns up to `size` texts into vectors, in Arrow batches on the executors. A null text has a null vector."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for part in batches:
+            for lo in range(0, part.num_rows, size):
+                some = part.slice(lo, size)
+                texts = some.column(1).to_pylist()
+                at = [k for k, t in enumerate(texts) if t is not None]
+                out: list = [None] * len(texts)
+                for k, v in zip(at, batch([texts[k] for k in at]) if at else []):
+                    out[k] = [float(x) for x in v]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(out, pa.list_(pa.float64()))], names=[key, "embedding"])
+
+    kind = dict(docs.dtypes)[key]
+    return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, embedding array<double>")
+
+
 def register_source(name: str, fn: Callable[[SparkSession, str], DataFrame]) -> None:
     readers.FETCHERS[name] = fn

@@ -260,10 +260,10 @@ def test_query_equals_sql(spark, sf, name):
     same(spark, sf, connection(sf), catalog.queries()[name], catalog.oracle_sql()[name])
 
 
-def test_reachable_states_all_uses_every_line(spark, tmp_path):
+def test_reachable_states_use_every_line(spark, tmp_path):
     spark.createDataFrame([(1, 9), (2, 9), (2, 7), (3, 7), (4, 1)], "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 4)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
-    got = {tuple(r) for r in catalog.queries()["reachable_states_all"](spark, str(tmp_path)).select("state", "hops").collect()}
+    got = {tuple(r) for r in catalog.queries()["reachable_states"](spark, str(tmp_path)).select("state", "hops").collect()}
     assert got == {(1, 0), (-9, 1), (2, 2)}
 
 
@@ -275,23 +275,23 @@ def _texts(spark, sf, tmp_path):
     return {r.doc_id: r.text for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
 
 
-def test_salience_features_all_against_python(spark, sf, tmp_path):
+def test_salience_features_against_python(spark, sf, tmp_path):
     texts = _texts(spark, sf, tmp_path)
     months = "January|February|March|April|May|June|July|August|September|October|November|December"
-    got = {r.doc_id: (r.length_score, r.density) for r in catalog.queries()["salience_features_all"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.length_score, r.density) for r in catalog.queries()["salience_features"](spark, str(tmp_path)).collect()}
     assert got.keys() == texts.keys() and sum(not (x or "").isascii() for x in texts.values()) > 70
     for d, x in texts.items():
         if x is None:
             assert got[d] == (None, None)
             continue
-        n = len(re.findall(r"[0-9]+", x)) + len(re.findall(rf"(?i)\b(?:19[0-9][0-9]|20[0-9][0-9]|{months})\b", x)) + len(re.findall(r"\b[A-Z][a-z][a-z]+\b", x))
+        n = len(re.findall(r"\d+", x)) + len(re.findall(rf"(?i)\b(?:19[0-9][0-9]|20[0-9][0-9]|{months})\b", x)) + len(re.findall(r"\b[A-Z][a-z][a-z]+\b", x))
         want = (1 / (1 + math.exp(-(len(x) - 100) / 50)) if len(x) < 30_000 else 1, 2 / (1 + math.exp(-100 * n / len(x))) - 1 if x else 0)
         assert got[d] == pytest.approx(want, abs=2e-6), (d, x[:80])
 
 
-def test_entity_counts_all_against_python(spark, sf, tmp_path):
+def test_entity_counts_against_python(spark, sf, tmp_path):
     texts = _texts(spark, sf, tmp_path)
-    got = {(r.doc_id, r.kind): (r.n, r.least) for r in catalog.queries()["entity_counts_all"](spark, str(tmp_path)).collect()}
+    got = {(r.doc_id, r.kind): (r.n, r.least) for r in catalog.queries()["entity_counts"](spark, str(tmp_path)).collect()}
     want = {}
     for d, x in texts.items():
         for kind, patterns in X.ENTITY.items():

@@ -50,6 +50,11 @@ MAP_BITS = 26
 #: Sizes of sets from here on are one in step 2; blocks of more classes than FEW aren't divided by size and place.
 LARGE, FEW = 65_535, 16
 
+#: Shingles that are gathered in a task before they are counted or packed.
+TOGETHER = 700_000
+#: First shingles in a group of step 2, about: 100 bytes each while blocks are made.
+BUCKET_ENTRIES = 300_000
+
 _DOCS = "kind int, doc_id long, text_hash long, cls long, n long, level int, excess int, point binary, shingle long, df long"
 
 
@@ -100,15 +105,22 @@ def _describe(width: int):
                     names=[x.split()[0] for x in _DOCS.split(", ")],
                 )
                 seen.append(h)
+                if sum(map(len, seen)) > TOGETHER:
+                    yield frequent(seen)
+                    seen = []
             if seen:
-                u, c = np.unique(np.concatenate(seen), return_counts=True)
-                u, c = u[c >= LOCAL_DF], c[c >= LOCAL_DF]
-                m = len(u)
-                no = pa.nulls
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ones(m, np.int32)), *[no(m, pa.int64())] * 4, no(m, pa.int32()), no(m, pa.int32()), no(m, pa.binary()), pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))],
-                    names=[x.split()[0] for x in _DOCS.split(", ")],
-                )
+                yield frequent(seen)
+        K.settle()
+
+    def frequent(seen: list[np.ndarray]) -> pa.RecordBatch:
+        u, c = np.unique(np.concatenate(seen), return_counts=True)
+        u, c = u[c >= LOCAL_DF], c[c >= LOCAL_DF]
+        m = len(u)
+        no = pa.nulls
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.ones(m, np.int32)), *[no(m, pa.int64())] * 4, no(m, pa.int32()), no(m, pa.int32()), no(m, pa.binary()), pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))],
+            names=[x.split()[0] for x in _DOCS.split(", ")],
+        )
 
     return run
 
@@ -123,7 +135,7 @@ def _prefixes(width: int, num: int, den: int, buckets: int, ordered: tuple[np.nd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for batch in batches:
-            hs, cs, ns, vs = [], [], [], []
+            held, rows = [], 0
             for _, _, h, offsets in _sets(batch, "text", width):
                 n = np.diff(offsets)
                 doc = np.repeat(np.arange(len(n)), n)
@@ -134,29 +146,34 @@ def _prefixes(width: int, num: int, den: int, buckets: int, ordered: tuple[np.nd
                 first = np.where(n > 0, n + (-num * n // den) + 1, 0)
                 place = np.arange(len(h)) - offsets[doc]
                 keep = place < first[doc]
-                hs.append(h[keep])
-                cs.append(np.repeat(classes_of(h, offsets), first))  # sums, which don't depend on the order
-                ns.append(np.repeat(np.minimum(n, LARGE).astype(np.uint16), first))
                 share = np.minimum(place[keep] * 255 * den // (n[doc[keep]] * (den - num)), 255) if num < den else np.zeros(keep.sum(), np.int64)
-                vs.append((h[keep] & _U(0xFFFFFF)).astype(np.uint32) | share.astype(np.uint32) << np.uint32(24))
-            if not hs:
-                continue
-            h, c, n, v = np.concatenate(hs), np.concatenate(cs), np.concatenate(ns), np.concatenate(vs)
-            bucket = ((h >> _U(40)) * _U(buckets) >> _U(24)).astype(np.int64)
-            order = np.lexsort((c, bucket))
-            c, n, v, bucket = c[order], n[order], v[order], bucket[order]
-            new = np.ones(len(c), bool)
-            new[1:] = (c[1:] != c[:-1]) | (bucket[1:] != bucket[:-1])
-            starts = np.flatnonzero(new)
-            lengths = np.diff(np.concatenate([starts, [len(c)]])).astype(np.uint32)
-            edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-2))
-            ids, blobs = [], []
-            for lo, hi in zip(edges[:-1], edges[1:]):
-                a, b = np.searchsorted(starts, [lo, hi])
-                ids.append(int(bucket[lo]))
-                blobs.append((c[starts[a:b]].tobytes(), n[starts[a:b]].tobytes(), lengths[a:b].tobytes(), v[lo:hi].tobytes()))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *[pa.array(x, pa.binary()) for x in zip(*blobs)]], names=["bucket", "classes", "sizes", "lengths", "hashes"])
+                value = (h[keep] & _U(0xFFFFFF)).astype(np.uint32) | share.astype(np.uint32) << np.uint32(24)
+                bucket = ((h[keep] >> _U(40)) * _U(buckets) >> _U(24)).astype(np.int32)
+                held.append((bucket, np.repeat(classes_of(h, offsets), first), np.repeat(np.minimum(n, LARGE).astype(np.uint16), first), value))  # classes are sums, which don't depend on the order
+                rows += len(value)
+                if rows > TOGETHER:
+                    yield from packed(held)
+                    held, rows = [], 0
+            if rows:
+                yield from packed(held)
+        K.settle()
+
+    def packed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        bucket, c, n, v = (np.concatenate([x[k] for x in held]) for k in range(4))
+        order = np.lexsort((c, bucket))
+        bucket, c, n, v = bucket[order], c[order], n[order], v[order]
+        new = np.ones(len(c), bool)
+        new[1:] = (c[1:] != c[:-1]) | (bucket[1:] != bucket[:-1])
+        starts = np.flatnonzero(new)
+        lengths = np.diff(np.concatenate([starts, [len(c)]])).astype(np.uint32)
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-2))
+        ids, blobs = [], []
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            a, b = np.searchsorted(starts, [lo, hi])
+            ids.append(int(bucket[lo]))
+            blobs.append((c[starts[a:b]].tobytes(), n[starts[a:b]].tobytes(), lengths[a:b].tobytes(), v[lo:hi].tobytes()))
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *[pa.array(x, pa.binary()) for x in zip(*blobs)]], names=["bucket", "classes", "sizes", "lengths", "hashes"])
 
     return run
 
@@ -202,6 +219,7 @@ def _blocks(num: int, den: int):
         where = np.repeat(at[pick] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
         members = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.array(c[where])).cast(pa.list_(pa.int64()))
         # Members ascend, so a block's first is its smallest class: blocks of one family of copies mostly share it.
+        K.settle()
         return pa.table({"block": pa.array(key[pick].view(np.int64)), "m": pa.array(size.astype(np.int64)), "least": pa.array(c[at[pick]]), "members": members})
 
     return run
@@ -431,6 +449,7 @@ def _needed(bits: np.ndarray):
             new = np.ones(len(row), bool)
             new[1:] = (text[row][1:] != text[row][:-1]) | (ids[row][1:] != ids[row][:-1])
             yield batch.take(pa.array(np.sort(row[new])))
+        K.settle()
 
     return run
 
@@ -561,7 +580,7 @@ def jaccard_links(docs: DataFrame, num: int = 70, den: int = 100, width: int = 3
         "jaccard-classes",
     )
     entries = classes.agg(F.sum(F.floor(F.col("n") * (den - num) / den) + 1)).first()[0] or 0
-    buckets = max(1, -(-int(entries) // 1_000_000))
+    buckets = max(1, -(-int(entries) // BUCKET_ENTRIES))
     blocks = (
         base.mapInArrow(_prefixes(width, num, den, buckets, (hashes[order], rank[order])), "bucket int, classes binary, sizes binary, lengths binary, hashes binary")
         .groupBy("bucket")

@@ -176,7 +176,7 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def word_encoder(path: str) -> WordEncoder:
-    """One encoder in a Python worker; its table of parts, of bounded size, serves task after task."""
+    """One encoder in a Python worker, as its file is read slowly; its table of parts is a task's own."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
@@ -206,6 +206,7 @@ def token_pieces(make_encoder: Callable[[], WordEncoder], capacity: int, end_id:
                     [batch.column(0).take(take), batch.column(1).take(take), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
                     names=["doc_id", "text_hash", "piece", "start", "length", "ids_crc32"],
                 )
+        encoder.table.clear()  # workers are reused by other stages
         K.settle()
 
     return run

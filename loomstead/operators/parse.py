@@ -82,8 +82,7 @@ def once(pages: DataFrame, kinds: tuple[str, ...] = ("actions", "blocks")) -> Da
                 rows = []
                 for d, h in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     root = dom.parse(h) if h is not None else None
-                    cut = dom.parse(h[: dom.MAX_CHARS]) if h is not None and "blocks" in names and len(h) > dom.MAX_CHARS else root
-                    rows.append({"doc_id": d, **{f"_{k}": _KINDS[k][0](d, cut if k == "blocks" else root) if root is not None else [] for k in names}})
+                    rows.append({"doc_id": d, **{f"_{k}": _KINDS[k][0](d, root) if root is not None else [] for k in names}})
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return pages.select("doc_id", "html").mapInArrow(run, schema).persist(StorageLevel.MEMORY_AND_DISK)
@@ -97,7 +96,7 @@ def blocks(pages: DataFrame, clean: bool = True, profile: tuple[str, ...] = ())
     """Typed blocks of (doc_id, html), or of what `once` gave. clean: drop boilerplate and noise first."""
     if "_blocks" in pages.columns and clean and not profile:
         return _read(pages, "blocks")
-    return _flat_map(pages, lambda d, h: _block_rows(d, dom.parse(h[: dom.MAX_CHARS]), clean, profile), BLOCKS)
+    return _flat_map(pages, lambda d, h: _block_rows(d, dom.parse(h), clean, profile), BLOCKS)
 
 
 def profiled_blocks(pages: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -114,7 +113,7 @@ def profiled_blocks(pages: DataFrame, profiles: DataFrame) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                rows = [r for d, h, k in zip(*(c.to_pylist() for c in part.columns)) if h is not None for r in _block_rows(d, dom.parse(h[: dom.MAX_CHARS]), True, tuple(k))]
+                rows = [r for d, h, k in zip(*(c.to_pylist() for c in part.columns)) if h is not None for r in _block_rows(d, dom.parse(h), True, tuple(k))]
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return both.mapInArrow(run, BLOCKS)

@@ -60,3 +60,15 @@ def test_assets_and_structure():
     assert [(a["type"], a["url"]) for a in dom.assets(root)] == [("image", "a.png"), ("stylesheet", "s.css"), ("script", "j.js")]
     assert [c["tag"] for c in dom.body_children(dom.parse(PAGE))] == ["header", "div", "main", "footer"]
     assert "secret" in dom.visible_text(PAGE) and "var x" not in dom.visible_text(PAGE)
+
+
+def test_blocks_are_of_the_whole_page(spark):
+    """Parsing stopped after 2 MB; what costs by pairs of siblings would take hours here."""
+    from loomstead.operators import parse
+
+    many = "<html><body><h1>Start</h1>" + "<div class='ad-box'></div>" * 30_000 + "<p>some words of a paragraph</p>" * 60_000 + "<h1>End</h1></body></html>"
+    assert len(many) > 2 * 1024 * 1024
+    p = spark.createDataFrame([("d", many)], "doc_id string, html string")
+    for b in (parse.blocks(p, clean=False), parse.blocks(p), parse.blocks(parse.once(p, ("actions", "blocks")))):
+        assert [r.text for r in b.filter("type = 'heading'").orderBy("ord").collect()] == ["Start", "End"]
+        assert b.agg({"dom_path": "max"}).first()[0] == "html > body > p:nth-child(9999)" and b.count() == 60_002

@@ -72,3 +72,10 @@ def test_blocks_are_of_the_whole_page(spark):
     for b in (parse.blocks(p, clean=False), parse.blocks(p), parse.blocks(parse.once(p, ("actions", "blocks")))):
         assert [r.text for r in b.filter("type = 'heading'").orderBy("ord").collect()] == ["Start", "End"]
         assert b.agg({"dom_path": "max"}).first()[0] == "html > body > p:nth-child(9999)" and b.count() == 60_002
+
+
+def test_references_without_a_semicolon_are_text():
+    root = dom.parse('<h1>a&amp;&lt;b&eacute;&#38;&amp</h1><p title="x&amp;y" class="&lt">r&copyright &nosuch; &ltd&amp;<b>&amp&amp;</b></p><!-- &amp --><script>a&ampb</script>')
+    h, p, script = root.elements
+    assert h.text() == "a&<b\u00e9&&amp" and p.text() == "r&copyright &nosuch; &ltd&&amp&"
+    assert p.get("title") == "x&y" and p.get("class") == "<" and script.text() == "a&ampb"

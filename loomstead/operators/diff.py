@@ -69,10 +69,16 @@ def action_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("change", change).filter(F.col("change").isNotNull()).select("doc_id", "key", "nth", "change")
 
 
-def delta_feed(old_docs: DataFrame, new_docs: DataFrame, changed: DataFrame) -> DataFrame:
-    """url, change: added, removed or updated pages; updated where `changed` (doc_id of the new side) has rows."""
-    a = old_docs.select("url", F.lit(True).alias("was"))
-    b = new_docs.select("url", "doc_id", F.lit(True).alias("now"))
-    both = a.join(b, "url", "full_outer").join(changed.select("doc_id", F.lit(True).alias("differs")).distinct(), "doc_id", "left")
-    change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("differs"), "updated")
+def delta_feed(old_docs: DataFrame, new_docs: DataFrame, changed: DataFrame | None = None) -> DataFrame:
+    """url, change: added, removed or updated pages, a row for each pair of an old and a new one at a URL.
+
+    Updated where `changed` (doc_id of the new side) has rows; without it, where the pair's own `h`, a hash of the content, differs.
+    """
+    a = old_docs.select("url", F.lit(True).alias("was"), *([] if changed is not None else [F.col("h").alias("_old")]))
+    b = new_docs.select("url", F.lit(True).alias("now"), *(["doc_id"] if changed is not None else [F.col("h").alias("_new")]))
+    both = a.join(b, "url", "full_outer")
+    if changed is not None:
+        both = both.join(changed.select("doc_id", F.lit(True).alias("differs")).distinct(), "doc_id", "left")
+    differs = F.col("differs") if changed is not None else F.col("_old") != F.col("_new")
+    change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(differs, "updated")
     return both.withColumn("change", change).filter(F.col("change").isNotNull()).select("url", "change")

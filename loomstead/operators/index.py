@@ -82,8 +82,8 @@ def _part(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def bm25(blocks: DataFrame, query: str, key: str = "key", text: str = "text", where: Column | None = None, top_k: int | None = 10) -> DataFrame:
-    """(key, score) by score, ties by key. One scan; per key the query's terms are counted, so nothing is joined but one row of statistics."""
+def bm25(blocks: DataFrame, query: str, key: str = "key", text: str = "text", where: Column | None = None, top_k: int | None = 10, digits: int | None = None) -> DataFrame:
+    """(key, score) by score, of so many digits if any are given, ties by key. One scan; per key the query's terms are counted, so nothing is joined but one row of statistics."""
     terms = query_terms(query)
     names = [f"_t{k}" for k in range(len(terms))]
     if not terms:
@@ -91,20 +91,25 @@ def bm25(blocks: DataFrame, query: str, key: str = "key", text: str = "text", wh
     counted = exploded(blocks, key, text).groupBy(key).agg(F.count("*").alias("dl"), *[F.count(F.when(F.col("term") == t, 1)).alias(x) for t, x in zip(terms, names)])
     stats = counted.agg(F.count("*").alias("_n"), F.avg("dl").alias("_avgdl"), *[F.count(F.when(F.col(x) > 0, 1)).alias(f"{x}_df") for x in names])
     score = sum((F.lit(float(m)) * idf(F.col("_n"), F.col(f"{x}_df")) * _part(F.col(x), F.col("dl"), F.col("_avgdl")) for x, m in zip(names, terms.values())), F.lit(0.0))
-    scored = counted.filter(sum((F.col(x) for x in names[1:]), F.col(names[0])) > 0).crossJoin(F.broadcast(stats)).select(key, score.alias("score"))
+    scored = counted.filter(sum((F.col(x) for x in names[1:]), F.col(names[0])) > 0).crossJoin(F.broadcast(stats)).select(key, (score if digits is None else F.round(score, digits)).alias("score"))
     if where is not None:
         scored = scored.join(blocks.filter(where).select(key), key, "left_semi")
     return scored.orderBy(F.desc("score"), key).limit(top_k) if top_k else scored
 
 
-def bm25_indexed(index: Index, query: str, top_k: int = 10) -> DataFrame:
-    """The same scores from index tables: only postings of the query's terms are read."""
+def bm25_indexed(index: Index, query: str, top_k: int = 10, digits: int | None = None) -> DataFrame:
+    """The same scores from index tables: only postings of the query's terms are read.
+
+    A key's parts are added in the query's order, so that equal blocks have equal scores and their ties are left to the key.
+    """
     terms = query_terms(query)
     spark = index.postings.sparkSession
-    q = F.broadcast(spark.createDataFrame(list(terms.items()) or [("", 0)], "term string, m int"))
-    hits = index.postings.join(q, "term").join(index.terms.join(q.select("term"), "term", "left_semi"), "term").join(index.lengths, "key").crossJoin(F.broadcast(index.stats))
-    part = F.col("m") * idf(F.col("n"), F.col("df")) * _part(F.col("tf"), F.col("dl"), F.col("avgdl"))
-    return hits.groupBy("key").agg(F.sum(part).alias("score")).orderBy(F.desc("score"), "key").limit(top_k)
+    q = F.broadcast(spark.createDataFrame([(t, m, k) for k, (t, m) in enumerate(terms.items())] or [("", 0, 0)], "term string, m int, k int"))
+    hits = index.postings.join(q, "term").join(index.terms.join(q.select("term"), "term", "left_semi").select("term", "df"), "term").join(index.lengths, "key").crossJoin(F.broadcast(index.stats))
+    part = F.col("m").cast("double") * idf(F.col("n"), F.col("df")) * _part(F.col("tf"), F.col("dl"), F.col("avgdl"))
+    found = hits.groupBy("key").agg(*[F.coalesce(F.max(F.when(F.col("k") == k, part)), F.lit(0.0)).alias(f"_p{k}") for k in range(max(1, len(terms)))])
+    score = sum((F.col(f"_p{k}") for k in range(1, len(terms))), F.lit(0.0) + F.col("_p0"))
+    return found.select("key", (score if digits is None else F.round(score, digits)).alias("score")).orderBy(F.desc("score"), "key").limit(top_k)
 
 
 def keywords(blocks: DataFrame, n: int = 10, key: str = "key", text: str = "text") -> DataFrame:

@@ -177,8 +177,35 @@ ENTITY: dict[str, list[str]] = {
     "number_with_unit": [rf"\b{_N}[0-9,]*(?:[.]{_N}+)?\s?(?:{UNITS})\b"],
 }
 
+
+#: Edges of ASCII words: at a pattern's end, where a word character came before; before a digit; before a letter; before what stands in an address.
+_END, _DIGIT, _LETTER, _EITHER = r"(?![A-Za-z0-9_])", r"(?=[0-9])(?<![A-Za-z0-9_])", r"(?<![A-Za-z0-9_])", r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?=[.%+-])(?<=[A-Za-z0-9_]))"
+_SPACES = r"\t\n\f\r "
+
+
+def jvm(pattern: str) -> str:
+    r"""The pattern as SQL reads it, said so that the JVM reads it alike: \b is an edge of ASCII words (up to Java 18 letters of any script count),
+    \s has no vertical tab, and under (?i) the long s and the Kelvin sign are s and k. Repeated choices are classes, as their recursion overflows the stack.
+    """
+    p = pattern.replace(r"(?:[^\W_]|[.-])+", "[A-Za-z0-9.-]+").replace("(?:[a-z]|[A-Z]){2,}", "[A-Za-z]{2,}").replace(r"[\w.%+-]+@", r"[\w.%+-]++@")
+    fold, inside, out, i = p.startswith("(?i)"), False, [], 4 if p.startswith("(?i)") else 0
+    while i < len(p):
+        x = p[i : i + 2] if p[i] == "\\" else p[i]
+        i += len(x)
+        if x == r"\b" and not inside:
+            x = _END if i == len(p) else _DIGIT if p.startswith(_N, i) else _LETTER if p.startswith(MONTH, i) else _EITHER
+        elif x == r"\s":
+            x = _SPACES if inside else f"[{_SPACES}]"
+        elif fold and not inside and x in "sSkK":
+            x = "[sſ]" if x in "sS" else "[kK]"
+        elif x in "[]":
+            inside = x == "["
+        out.append(x)
+    return "(?i)" * fold + "".join(out)
+
+
 def entities(text: Column | str, kind: str) -> Column:
-    found = [F.regexp_extract_all(c(text), F.lit(p), F.lit(0)) for p in ENTITY[kind]]
+    found = [F.regexp_extract_all(c(text), F.lit(jvm(p)), F.lit(0)) for p in ENTITY[kind]]
     return F.concat(*found) if len(found) > 1 else found[0]
 
 

@@ -68,12 +68,15 @@ def action_graph(docs: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def reachable(transitions: DataFrame, start: DataFrame, hops: int = 1) -> DataFrame:
-    """(state, hops): states within so many transitions of start (state); each round joins only what is new."""
-    edges = transitions.select("from_state", "to_state").distinct()
+    """(state, hops): states within so many transitions of start (state); each round joins only what is new.
+
+    Of the transitions only those out of the front are kept, before anything is made distinct, so that no table of all of them is held.
+    """
+    edges = transitions.select("from_state", "to_state")
     seen = start.select("state").distinct().withColumn("hops", F.lit(0))
     front = seen
     for k in range(1, hops + 1):
-        front = front.join(edges, F.col("state") == F.col("from_state")).select(F.col("to_state").alias("state")).distinct().join(seen.select("state"), "state", "left_anti").withColumn("hops", F.lit(k))
+        front = edges.join(front.select(F.col("state").alias("from_state")), "from_state", "left_semi").select(F.col("to_state").alias("state")).distinct().join(seen.select("state"), "state", "left_anti").withColumn("hops", F.lit(k))
         seen = seen.unionByName(front)
     return seen
 

@@ -260,3 +260,14 @@ def test_indexed_scores_do_not_depend_on_the_order_of_postings(spark):
     assert [h.key for h in hits] == list(range(24)) and len({h.score for h in hits}) == 1
     near = index.Index(p.filter("key < 2"), terms, spark.createDataFrame([(0, 10), (1, 10)], "key long, dl long"), ix.stats)
     assert [h.score for h in index.bm25_indexed(near, "aa bb", 100, digits=3).collect()] == [round(hits_.score, 3) for hits_ in index.bm25_indexed(near, "aa bb", 100).collect()]
+
+
+def test_reachable_keeps_no_table_of_all_transitions(spark):
+    """Repeated transitions, and a plan in which none but those out of the front are made distinct."""
+    from loomstead.operators import graph
+
+    t = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("x", "y"), ("a", None)], "from_state string, to_state string")
+    got = graph.reachable(t, spark.createDataFrame([("a",), ("a",)], "state string"), 2)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("a", 0), ("b", 1), (None, 1), ("c", 2)], key=str)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Aggregate [" in x and "from_state" in x and "to_state" in x]

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 
 def occurrences(df: DataFrame, keys: list[str], order: str, name: str = "nth") -> DataFrame:
@@ -26,38 +30,59 @@ def similarity(a: str, b: str) -> float:
     return SequenceMatcher(None, a or "", b or "").ratio()
 
 
-def _greedy(least: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        old = pdf[pdf.side == "old"].sort_values("old_ord")
-        new = pdf[pdf.side == "new"].sort_values("new_ord")
-        taken: set[int] = set()
-        out = []
-        for o in old.itertuples():
-            best, at = least, None
-            for n in new.itertuples():
-                if n.new_ord in taken:
-                    continue
-                quick = 2 * min(len(o.text), len(n.text)) / max(1, len(o.text) + len(n.text))
-                if quick >= best and (s := similarity(o.text, n.text)) >= best and (at is None or s > best):
-                    best, at = s, n
-            if at is None:
-                out.append((o.doc_id, "removed", o.text, None, None))
-            else:
-                taken.add(at.new_ord)
-                out.append((o.doc_id, "modified", o.text, at.text, best))
-        out += [(n.doc_id, "added", None, n.text, None) for n in new.itertuples() if n.new_ord not in taken]
-        return pd.DataFrame(out, columns=["doc_id", "change", "old_text", "new_text", "similarity"])
-
-    return run
+def _greedy(doc_id: str, rows: list[dict], least: float) -> list[tuple]:
+    """Each old block takes the first of the most similar new ones that are left, of `least` or more.
+
+    What can't be similar enough by its length, or by the characters that both have, isn't compared; both are bounds of the ratio. A new
+    block is prepared once for all that it is compared with.
+    """
+    old = sorted((r for r in rows if r["side"] == "old"), key=lambda r: r["old_ord"])
+    new = sorted((r for r in rows if r["side"] == "new"), key=lambda r: r["new_ord"])
+    texts = [n["text"] or "" for n in new]
+    counts = [Counter(x) for x in texts] if old else []
+    ready: list[SequenceMatcher | None] = [None] * len(new)
+    left = list(range(len(new)))
+    out = []
+    for o in old:
+        text = o["text"] or ""
+        mine = Counter(text)
+        best, at = least, None
+        for k in left:
+            both = max(1, len(text) + len(texts[k]))
+            if 2 * min(len(text), len(texts[k])) / both < best or 2 * (mine & counts[k]).total() / both < best:
+                continue
+            m = ready[k]
+            if m is None:
+                m = ready[k] = SequenceMatcher(None, "", texts[k])
+            m.set_seq1(text)
+            s = m.ratio()
+            if s >= best and (at is None or s > best):
+                best, at = s, k
+        if at is None:
+            out.append((doc_id, "removed", o["text"], None, None))
+        else:
+            left.remove(at)
+            out.append((doc_id, "modified", o["text"], new[at]["text"], best))
+    return out + [(doc_id, "added", None, new[k]["text"], None) for k in left]
 
 
 def block_changes(old: DataFrame, new: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, change (added, removed, modified), old_text, new_text, similarity: exact matches first, then greedy fuzzy ones per document.
 
-    Only blocks without an exact match reach Python, grouped by document.
+    Only blocks without an exact match reach Python, a document in a row: a call for each document would cost more than the comparison.
     """
     rest = exact_block_diff(old, new).filter("side <> 'both'").select("doc_id", "text", "side", "old_ord", "new_ord")
-    return rest.groupBy("doc_id").applyInPandas(_greedy(least), "doc_id string, change string, old_text string, new_text string, similarity double")
+    schema = "doc_id string, change string, old_text string, new_text string, similarity double"
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                rows = [x for d, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for x in _greedy(d, b, least)]
+                yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, x)) for x in rows], schema=arrow)
+
+    return rest.groupBy("doc_id").agg(F.collect_list(F.struct("text", "side", "old_ord", "new_ord")).alias("b")).mapInArrow(run, schema)
 
 
 def action_changes(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -216,29 +216,34 @@ TYPE_WEIGHT = {"heading": 0.9, "paragraph": 0.7, "table": 0.8, "code": 0.7, "lis
 WORD_RUN, DATE_WORD, NAME_WORD = r"[\p{L}\p{N}_]+", "(?i)^(?:(?:19|20)\\p{Nd}{2}|" + "|".join(_MONTHS) + ")$", "^[A-Z][a-z]{2,}$"
 
 
+#: The same for counting in one pass over the text: whole words by what stands before and after them.
+_WORD_CHAR = r"[\p{L}\p{N}_]"
+_DATES = rf"(?i)(?=[12DNOSAJMFſ])(?<!{_WORD_CHAR})(?:(?:19|20)\p{{Nd}}{{2}}|" + "|".join(m.replace("S", "[Sſ]").replace("s", "[sſ]") for m in _MONTHS) + rf")(?!{_WORD_CHAR})"
+_NAMES = rf"(?=[A-Z])(?<!{_WORD_CHAR})[A-Z][a-z]{{2,}}+(?!{_WORD_CHAR})"
+
+
 def length_score(text: Column) -> Column:
     return 1 / (1 + F.exp(-(F.length(text) - 100) / F.lit(50.0)))
 
 
 def entity_density(text: Column) -> Column:
     """Numbers, dates and capitalised words for each character, squashed to 0..1."""
-    words = F.regexp_extract_all(text, F.lit(WORD_RUN), F.lit(0))
-    n = F.regexp_count(text, F.lit(r"\p{Nd}+")) + F.size(F.filter(words, lambda w: w.rlike(DATE_WORD))) + F.size(F.filter(words, lambda w: w.rlike(NAME_WORD)))
+    n = sum((F.regexp_count(text, F.lit(p)) for p in (_DATES, _NAMES)), F.regexp_count(text, F.lit(r"\p{Nd}+")))
     return F.when(F.length(text) == 0, 0.0).otherwise(2 / (1 + F.exp(-100.0 * n / F.length(text))) - 1)
 
 
 def link_density(text: Column) -> Column:
-    n = word_count(text)
-    return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), F.regexp_count(text, F.lit(r"https?://\S+")) / n))
+    n = F.regexp_count(text, F.lit(rf"[^{_SPACES}]+"))
+    return F.least(F.lit(1.0), F.regexp_count(text, F.lit(r"https?://\S+")) / F.greatest(n, F.lit(1)))
 
 
-def salience(kind: Column, text: Column, index: Column, total: Column, section: Column, dom_path: Column) -> Column:
-    """0..1 from type, position, richness, structure and context."""
+def salience(kind: Column, text: Column, index: Column, total: Column, section: Column, dom_path: Column, density: Column | None = None, links: Column | None = None) -> Column:
+    """0..1 from type, position, richness, structure and context. density, links: of the text, where they are columns already."""
     weight = F.coalesce(*[F.when(kind == k, F.lit(float(v))) for k, v in TYPE_WEIGHT.items()], F.lit(0.5))
     position = F.when(total <= 1, 1.0).otherwise(1 - 0.7 * index / (total - 1))
     low = F.lower(dom_path)
     tags = sum((F.when(low.contains(t), 0.3).otherwise(0.0) for t in ("main", "article", "section")), F.lit(0.0))
-    rich = 0.4 * length_score(text) + 0.3 * entity_density(text) + 0.3 * (1 - link_density(text))
+    rich = 0.4 * length_score(text) + 0.3 * (entity_density(text) if density is None else density) + 0.3 * (1 - (link_density(text) if links is None else links))
     structure = 0.4 * F.when((kind == "heading") | (F.size(section) > 0), 1.0).otherwise(0.0) + 0.3 * F.greatest(F.lit(0.0), 1 - F.regexp_count(dom_path, F.lit(">")) / 20) + 0.3 * F.when(kind.isin("table", "code", "product_spec"), 1.0).otherwise(0.0)
     context = 0.5 * F.when(low.contains("main") | low.contains("article"), 1.0).otherwise(0.0) + 0.5 * F.least(F.lit(1.0), tags)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.25 * weight + 0.15 * position + 0.2 * rich + 0.2 * structure + 0.2 * context))

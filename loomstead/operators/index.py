@@ -15,13 +15,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstead.functions import text as X
+from loomstead.operators import parse
 
 K1, B = 1.5, 0.75
 
 
 @dataclass
 class Index:
-    """postings(key, term, tf), terms(term, df), lengths(key, dl), stats(n, avgdl: one row)."""
+    """postings(key, term, tf), terms(term, df, cf), lengths(key, dl), stats(n, avgdl: one row)."""
 
     postings: DataFrame
     terms: DataFrame
@@ -37,19 +38,30 @@ class Index:
         return cls(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "lengths", "stats")])
 
 
+def by_key(blocks: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
+    """(key, text) with the rows of a key in one partition, so that its tokens are counted where they are and none is sent. Texts are smaller than their postings."""
+    return parse.spread(blocks.select(key, text), key, size=8 << 20)
+
+
 def exploded(blocks: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
     """(key, term) for each token that the index keeps."""
     return blocks.select(key, F.explode(X.tokens(text)).alias("term")).filter(X.index_token(F.col("term")))
 
 
 def postings(blocks: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
-    return exploded(blocks, key, text).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return exploded(by_key(blocks, key, text), key, text).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def block_lengths(blocks: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
+    """(key, dl): how many tokens the index keeps, counted row by row; keys without any have no row."""
+    kept = F.filter(X.tokens(text), X.index_token)
+    return blocks.select(F.col(key).alias("key"), F.size(kept).cast("long").alias("dl")).groupBy("key").agg(F.sum("dl").alias("dl")).filter("dl > 0")
 
 
 def build(blocks: DataFrame, key: str = "key", text: str = "text") -> Index:
     p = postings(blocks, key, text).withColumnRenamed(key, "key")
-    lengths = p.groupBy("key").agg(F.sum("tf").alias("dl"))
-    return Index(p, p.groupBy("term").agg(F.count("*").alias("df")), lengths, lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+    lengths = block_lengths(blocks, key, text)
+    return Index(p, p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), lengths, lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
 
 
 def add(index: Index, blocks: DataFrame) -> Index:
@@ -64,7 +76,7 @@ def remove(index: Index, keys: DataFrame) -> Index:
 
 def of_postings(p: DataFrame) -> Index:
     lengths = p.groupBy("key").agg(F.sum("tf").alias("dl"))
-    return Index(p, p.groupBy("term").agg(F.count("*").alias("df")), lengths, lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+    return Index(p, p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), lengths, lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
 
 
 def query_terms(query: str) -> dict[str, int]:
@@ -114,7 +126,7 @@ def bm25_indexed(index: Index, query: str, top_k: int = 10, digits: int | None =
 
 def keywords(blocks: DataFrame, n: int = 10, key: str = "key", text: str = "text") -> DataFrame:
     """(key, rank, term, tf): the n most frequent tokens of each block, ties by first place."""
-    pos = blocks.select(key, F.posexplode(X.tokens(text)).alias("pos", "term")).filter(X.index_token(F.col("term")))
+    pos = by_key(blocks, key, text).select(key, F.posexplode(X.tokens(text)).alias("pos", "term")).filter(X.index_token(F.col("term")))
     counted = pos.groupBy(key, "term").agg(F.count("*").alias("tf"), F.min("pos").alias("first"))
     w = Window.partitionBy(key).orderBy(F.desc("tf"), "first")
     return counted.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select(key, "rank", "term", "tf")

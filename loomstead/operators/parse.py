@@ -55,14 +55,14 @@ def _child_rows(doc_id: str, root: dom.Node) -> list[dict]:
 _KINDS = {"children": (_child_rows, CHILDREN), "assets": (_asset_rows, ASSETS), "actions": (_action_rows, ACTIONS), "blocks": (_block_rows, BLOCKS)}
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df in partitions for work that is heavy for its bytes: one for each core at least, of about 64 MB by the planner's estimate, and not merged again.
+def spread(df: DataFrame, *keys: str, size: int = 64 << 20) -> DataFrame:
+    """df in partitions for work that is heavy for its bytes: one for each core at least, of about `size` bytes, 64 MB, by the planner's estimate, and not merged again.
 
     Where the planner has no estimate (it then says exabytes), as many as shuffles have.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    whole = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     spark = df.sparkSession
-    known = -(-size // (64 << 20)) if size < 1 << 50 else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = -(-whole // size) if whole < 1 << 50 else int(spark.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(max(spark.sparkContext.defaultParallelism, known), *keys)
 
 

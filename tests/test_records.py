@@ -271,3 +271,51 @@ def test_reachable_keeps_no_table_of_all_transitions(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted([("a", 0), ("b", 1), (None, 1), ("c", 2)], key=str)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.splitlines() if "Aggregate [" in x and "from_state" in x and "to_state" in x]
+
+
+def test_tokens_are_counted_where_a_key_lies(spark):
+    """Keywords send texts once, not tokens twice; lengths explode nothing; rows that share a key count together."""
+    from loomstead.operators import index
+
+    d = spark.createDataFrame([(1, "aa bb aa"), (1, "bb cc bb"), (2, "the a"), (3, None), (4, "dd")], "key long, text string")
+    k = index.keywords(d, 2)
+    assert k._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert sorted(map(tuple, k.collect())) == [(1, 1, "bb", 3), (1, 2, "aa", 2), (4, 1, "dd", 1)]
+    ix = index.build(d)
+    assert "Generate" not in ix.stats._jdf.queryExecution().optimizedPlan().toString()
+    assert tuple(ix.stats.first()) == (2, 3.5) and sorted(map(tuple, ix.lengths.collect())) == [(1, 6), (4, 1)]
+    assert sorted(map(tuple, index.add(ix, spark.createDataFrame([(4, "aa")], "key long, text string")).terms.collect())) == [("aa", 2, 3), ("bb", 1, 3), ("cc", 1, 1)]
+
+
+def test_salience_counts_whole_words_in_one_pass(spark, tmp_path):
+    import duckdb
+
+    from loomstead.plans import catalog
+
+    texts = ["Auguſt MAY 2024 x2024 2024é Bob Bobé éBob Bo B_b", "", "  ", "March\u000bMarch http://a b", "December1 december 1999 12 Ünder Über Abc", "http://a\u000bb http://c"]
+    spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.queries()["salience_features"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(map(tuple, got.collect())) == [pytest.approx(r) for r in sorted(con.sql(catalog.oracle_sql()["salience_features"]).fetchall())]
+
+
+def test_fuzzy_diff_compares_only_what_may_be_similar(monkeypatch):
+    import random
+
+    from loomstead.operators import diff
+
+    rnd = random.Random(3)
+    text = lambda: "".join(rnd.choice("abcd ") for _ in range(rnd.randint(1, 12)))
+    old, new = [[text() for _ in range(60)] for _ in range(2)]
+    rows = [{"side": s, "text": x, "old_ord": k if s == "old" else None, "new_ord": k if s == "new" else None} for s, xs in (("old", old), ("new", new)) for k, x in enumerate(xs)]
+    want, left = [], dict(enumerate(new))
+    for o in old:
+        scores = {k: diff.similarity(o, n) for k, n in left.items()}
+        at = max((k for k in scores if scores[k] >= 0.7), key=lambda k: (scores[k], -k), default=None)
+        want.append(("d", "removed", o, None, None) if at is None else ("d", "modified", o, left[at], scores[at]))
+        left.pop(at, None)
+    made = []
+    monkeypatch.setattr(diff, "SequenceMatcher", lambda *a, real=diff.SequenceMatcher: made.append(1) or real(*a))
+    assert diff._greedy("d", rows, 0.7) == want + [("d", "added", None, n, None) for n in left.values()]
+    assert len(made) <= len(new)

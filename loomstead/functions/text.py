@@ -57,7 +57,13 @@ def tokens_by_length(text: Column | str) -> Column:
 
 
 def title_tag(html: Column | str) -> Column:
-    return F.trim(F.regexp_extract(c(html), r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1))
+    r"""\b and \s as SQL reads them: of ASCII, and without the vertical tab."""
+    return F.trim(F.regexp_extract(c(html), r"(?is)<title(?![A-Za-z0-9_])[^>]*>(.*?)</title[\t\n\f\r ]*>", 1))
+
+
+def first_h1(html: Column | str) -> Column:
+    """The source of the first h1, which may be blank; references and tags in it stand as they are."""
+    return F.trim(F.regexp_extract(c(html), "(?is)<h1[^>]*>(.*?)</h1>", 1))
 
 
 def looks_binary(text: Column | str) -> Column:

@@ -198,10 +198,9 @@ def entity_names(t):
 x AS (SELECT page_id, trim(regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1)) AS tag, trim(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)) AS h1 FROM p)
 SELECT page_id, regexp_replace(CASE WHEN tag <> '' THEN tag ELSE h1 END, '&[a-z]+;|[^a-zA-Z]', '', 'g') AS letters FROM x""")
 def page_titles(t):
-    from loomstead.operators import parse
-
-    p = t("pages").select(F.col("page_id").cast("string").alias("doc_id"), F.when(F.col("page_id") % 2 == 0, F.regexp_replace("html", "(?is)<title[^>]*>.*?</title>", "")).otherwise(F.col("html")).alias("html"))
-    return provenance.titles(p, parse.blocks(p, clean=False)).select(F.col("doc_id").cast("long").alias("page_id"), F.regexp_replace("title", "&[a-z]+;|[^a-zA-Z]", "").alias("letters"))
+    first = F.regexp_replace("html", "(?is)^(.*?)<title[^>]*>.*?</title>", "$1")  # of several titles one goes, as in the SQL
+    p = t("pages").select(F.col("page_id").alias("doc_id"), F.when(F.col("page_id") % 2 == 0, first).otherwise(F.col("html")).alias("html"))
+    return provenance.titles(p).select(F.col("doc_id").alias("page_id"), F.regexp_replace("title", "&[a-z]+;|[^a-zA-Z]", "").alias("letters"))
 
 
 @query(f"""WITH {_BLK}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type ORDER BY ord) AS r FROM b WHERE type IN ('heading', 'paragraph'))

@@ -319,3 +319,21 @@ def test_fuzzy_diff_compares_only_what_may_be_similar(monkeypatch):
     monkeypatch.setattr(diff, "SequenceMatcher", lambda *a, real=diff.SequenceMatcher: made.append(1) or real(*a))
     assert diff._greedy("d", rows, 0.7) == want + [("d", "added", None, n, None) for n in left.values()]
     assert len(made) <= len(new)
+
+
+def test_page_titles_are_those_of_the_sql(spark, tmp_path):
+    """Titles are of a page's source: references, tags inside, several titles, blank first headings, ids that repeat, null pages."""
+    import duckdb
+
+    from loomstead.plans import catalog
+
+    pages = [
+        "<h1>a &amp;lt; b &#x27;c&#39; &Eacute; &quo</h1>", "<h1>a <b>bold</b></h1>", "<title>One</title><p><svg><title>Two</title></svg><h1>Three</h1>", "<h1> </h1><h1>Second</h1>", "<h2>Only</h2>", "<!-- <h1>Said</h1> --><h1>Seen</h1>",
+        "<title\u00e9>No</title><h1>Yes</h1>", "<TITLE>Open</TITLE\u000b><h1>Next</h1>", "<title> </title><h1 hidden>Hid</h1>", "<title>Un", "", None,
+    ]
+    rows = [(2 * k + odd, x) for k, x in enumerate(pages) for odd in (0, 1)] + [(2, "<h1>Again</h1>"), (2, "<h1>Aside</h1>"), (None, "<title>T</title><h1>H</h1>")]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalog.queries()["page_titles"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(con.sql(catalog.oracle_sql()["page_titles"]).fetchall(), key=str)

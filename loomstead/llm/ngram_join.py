@@ -42,8 +42,10 @@ LEVELS = (4, 12)
 LEAF = 16
 #: Classes of a block beyond which it is cut into pairs of chunks; rows of blocks in a task of step 3.
 BLOCK_CLASSES, GROUP_ROWS = 8192, 150_000
-#: Classes of a family beyond which it is verified in pairs of chunks; shingles and classes in a task of step 4, about.
-CHUNK_DOCS, GROUP_SHINGLES, GROUP_CLASSES = 1024, 1_500_000, 2_000
+#: Classes and shingles of a family beyond which it is verified in pairs of chunks; shingles and classes in a task of step 4, about.
+CHUNK_DOCS, CHUNK_SHINGLES, GROUP_SHINGLES, GROUP_CLASSES = 1024, 600_000, 750_000, 1_000
+#: Cells of points, and items of sets, that are compared at once.
+CELLS, ITEMS = 1 << 21, 500_000
 #: Bits of the map of texts that verification needs: 8 MB, whatever the input; a set bit too many costs time alone.
 MAP_BITS = 26
 
@@ -274,8 +276,9 @@ class RTree:
         for depth in range(len(self.floors) - 1, -1, -1):
             p, least, most, e = self.floors[depth]
             keep = []
-            for lo in range(0, len(q), 8192):
-                a, b = q[lo : lo + 8192], node[lo : lo + 8192]
+            step = min(8192, max(1, CELLS // p.shape[1]))
+            for lo in range(0, len(q), step):
+                a, b = q[lo : lo + step], node[lo : lo + step]
                 bound = np.minimum(points[a], p[b]).sum(1, dtype=np.int64) + np.minimum(excess[a], e[b])
                 keep.append(_may_link(bound, sizes[a], least[b], self.num, self.den) & (self.den * sizes[a] >= self.num * least[b]) & (self.den * most[b] >= self.num * sizes[a]))
             keep = np.concatenate(keep) if keep else np.zeros(0, bool)
@@ -329,7 +332,7 @@ def _bounds(points: Points, n: np.ndarray, a: np.ndarray, b: np.ndarray, num: in
     for lv in np.unique(low[out]).tolist():
         for up in (lv, lv + 1):
             every = np.flatnonzero(out & (low == lv) & (high == up))
-            step = max(1, (1 << 21) >> lv)
+            step = max(1, CELLS >> lv)
             for lo in range(0, len(every), step):
                 at = every[lo : lo + step]
                 x, y = np.where(points.level[a[at]] == lv, a[at], b[at]), np.where(points.level[a[at]] == lv, b[at], a[at])
@@ -495,7 +498,7 @@ def overlaps(h: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.
     held = np.sort(np.repeat(np.arange(len(n)), n) * vocabulary + local)
     lo, size = 0, np.cumsum(n[x])
     while lo < len(x):
-        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + 2_000_000, "right")))
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + ITEMS, "right")))
         m = n[x[lo:hi]]
         item = np.repeat(at[x[lo:hi]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
         probe = np.repeat(y[lo:hi], m) * vocabulary + local[item]
@@ -511,13 +514,14 @@ def _verify(width: int, num: int, den: int, keep_pairs: bool):
         np.seterr(over="ignore")
         want, side = texts["cls"].to_numpy(), texts["half"].to_numpy()
         hs, keys = [], []
-        for batch in texts.select(["text"]).combine_chunks().to_batches():
+        for batch in texts.select(["text"]).to_batches():
             for _, _, h, offsets in _sets(batch, "text", width):
                 hs.append(h)
                 keys.append(np.diff(offsets))
         h = np.concatenate(hs) if hs else np.zeros(0, np.uint64)
         n = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         at = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+        del hs, keys
         # One text of each class; a text whose hash is that of another one isn't of the class.
         right = np.flatnonzero(classes_of(h, at) == want)
         ids, one = np.unique(want[right], return_index=True)
@@ -542,6 +546,8 @@ def _verify(width: int, num: int, den: int, keep_pairs: bool):
         some = np.flatnonzero(others)
         p, q = stars(a, b, len(ids))
         x, y = (a, b) if keep_pairs else (a[:0], b[:0])
+        del h, points, packed
+        K.settle()
         return pa.table({
             "kind": pa.array(np.repeat([0, 1, 2], [len(x), len(p), len(some)]).astype(np.int32)),
             "a": pa.array(ids[np.concatenate([x, p, some]).astype(np.int64)]), "b": pa.array(np.concatenate([ids[y], ids[q], others[some].astype(np.int64)])),
@@ -550,6 +556,11 @@ def _verify(width: int, num: int, den: int, keep_pairs: bool):
     return run
 
 
+def _chunks(held: DataFrame) -> DataFrame:
+    """(label, c): the chunks of a family (label, n: one row a class), few enough classes and shingles in each."""
+    return held.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / CHUNK_DOCS), F.least(F.count("*"), F.ceil(F.sum("n") / CHUNK_SHINGLES))).alias("c"))
+
+
 def jaccard_links(docs: DataFrame, num: int = 70, den: int = 100, width: int = 3, keep_pairs: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, classes, links), written tables.
 
@@ -609,8 +620,7 @@ def jaccard_links(docs: DataFrame, num: int = 70, den: int = 100, width: int = 3
     sums = held.agg(F.count("*"), F.sum("n")).first()
     # Small families share groups, as a group costs a call; large ones are split into pairs of chunks.
     few = max(1, -(-int(sums[0]) // GROUP_CLASSES), -(-int(sums[1] or 0) // GROUP_SHINGLES))
-    sizes = parts.groupBy("label").agg(F.ceil(F.count("*") / CHUNK_DOCS).alias("c"))
-    held = held.join(sizes, "label").withColumn("i", F.pmod(F.xxhash64("cls"), "c")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)))
+    held = held.join(_chunks(held), "label").withColumn("i", F.pmod(F.xxhash64("cls"), "c")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)))
     whole = F.pmod(F.xxhash64("label"), F.lit(few))
     needed = common.save(
         held.select(

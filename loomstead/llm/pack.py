@@ -33,7 +33,7 @@ from .idtable import IdTable
 
 _PIECES = "doc_id long, text_hash long, piece int, start long, length long, ids_crc32 long"
 #: Bytes of text whose parts are looked up together, and of the longest run between blanks that is split here.
-TOGETHER, LONG = 3_000_000, 96
+TOGETHER, LONG = 1_500_000, 96
 
 _BLANK, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
 _KIND = np.full(256, _ODD, np.uint8)

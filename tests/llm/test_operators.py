@@ -390,6 +390,34 @@ def test_rtree_bound_loses_nothing():
     assert set(zip(q.tolist(), p.tolist())) == want
 
 
+def test_verification_is_bounded_in_shingles(spark, monkeypatch):
+    """Long documents: a family is cut by its shingles too, with the same result, and what a group compares at once doesn't grow with their length."""
+    import tracemalloc
+
+    held = spark.createDataFrame([("long", 500_000)] * 4 + [("short", 10)] * 40 + [("huge", 50_000_000)] * 2, "label string, n long")
+    assert {r.label: r.c for r in ngram_join._chunks(held).collect()} == {"long": 4, "short": 1, "huge": 2}
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1000, 300)
+    rows = [(k, " ".join(f"w{x}" for x in np.where(rng.random(300) < 0.02 * (k % 5), rng.integers(0, 1000, 300), base))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, ngram_join.jaccard_join(docs).collect()))
+    monkeypatch.setattr(ngram_join, "CHUNK_SHINGLES", 2_000)
+    assert sorted(map(tuple, ngram_join.jaccard_join(docs).collect())) == want and any(r[2] for r in want)
+
+    points, n, excess = rng.integers(0, 16, (300, 4096)).astype(np.uint8), np.full(300, 30_000), np.zeros(300, np.int64)
+    tree = ngram_join.RTree(points, n, excess, 70, 100)
+    at = np.arange(201) * 10_000
+    h = np.sort(rng.integers(0, 2**40, at[-1]).reshape(200, -1), axis=1).ravel().astype(np.uint64)
+    x = np.arange(199)
+    peaks = []
+    for run in (lambda: tree.search(points, n, excess), lambda: ngram_join.overlaps(h, at, x, x + 1)):
+        tracemalloc.start()
+        run()
+        peaks.append(tracemalloc.get_traced_memory()[1] >> 20)
+        tracemalloc.stop()
+    assert peaks[0] < 40 and peaks[1] < 140, peaks
+
+
 # --- op5
 
 

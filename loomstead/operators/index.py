@@ -39,8 +39,11 @@ class Index:
 
 
 def by_key(blocks: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
-    """(key, text) with the rows of a key in one partition, so that its tokens are counted where they are and none is sent. Texts are smaller than their postings."""
-    return parse.spread(blocks.select(key, text), key, size=8 << 20)
+    """(key, text) with the rows of a key in one partition, so that its tokens are counted where they are and none is sent. Texts are smaller than their postings.
+
+    A task counts its tokens in some hundred times its part's bytes in storage, so that small parts keep it from spilling.
+    """
+    return parse.spread(blocks.select(key, text), key, size=2 << 20)
 
 
 def exploded(blocks: DataFrame, key: str = "key", text: str = "text") -> DataFrame:

@@ -287,6 +287,15 @@ def test_tokens_are_counted_where_a_key_lies(spark):
     assert sorted(map(tuple, index.add(ix, spark.createDataFrame([(4, "aa")], "key long, text string")).terms.collect())) == [("aa", 2, 3), ("bb", 1, 3), ("cc", 1, 1)]
 
 
+def test_tokens_are_counted_in_small_parts(spark, tmp_path):
+    """A task's memory is many times its part of the texts in storage: no part is to be of more than about 2 MB."""
+    from loomstead.operators import index
+
+    spark.range(0, 400_000, 1, 4).select(F.col("id").alias("key"), F.md5(F.col("id").cast("string")).alias("text")).write.parquet(f"{tmp_path}/d.parquet")
+    stored = sum(x.stat().st_size for x in (tmp_path / "d.parquet").glob("*.parquet"))
+    assert index.by_key(spark.read.parquet(f"{tmp_path}/d.parquet")).rdd.getNumPartitions() >= stored / 2.2e6 > 5
+
+
 def test_salience_counts_whole_words_in_one_pass(spark, tmp_path):
     import duckdb
 
